@@ -23,6 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
 
 
+#: Drops the shuffle files of a query once its result is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -31,10 +35,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/inkprint/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table that nothing will read again."""
+    for name in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def scan_partitions(df: DataFrame) -> int:
     """How many partitions a scan of ``df`` has; follows the size of the input."""
     return max(1, df.rdd.getNumPartitions())
