@@ -15,13 +15,13 @@ weights drops features that are no more than noise.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.llm.common import RecentCache, texts, tokens
@@ -178,34 +178,58 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, settings: Settings =
     return fit([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], table.column("grade").to_numpy().astype(np.int64), grades, settings)
 
 
-def rate(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row of ``docs`` with expected_grade, tail_probability and kept.
-
-    A null or blank text is judged by its length alone and never kept.  Repeated
-    rows are judged each.  An empty table gives an empty result.  All other
-    columns stay.
-    """
-    at = docs.columns.index("text")
+def _judge(model: Model) -> Callable[[], Callable]:
+    """Makes a worker's judge: texts to (expected grade, tail probability, kept)."""
     used = np.flatnonzero(model.weights)
     slots, values, cuts, bits, tail = used.astype(np.int64), model.weights[used], model.thresholds, model.bits, model.tail
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable:
         weights = np.zeros(1 << bits)
         weights[slots] = values
         made, table = Featuriser(bits), Model(weights, cuts, bits, tail)
-        for batch in batches:
+
+        def judge(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             scores, blank = [], []
-            for text in texts(batch.column(at)):
+            for text in texts(column):
                 scores.append(float(weights[made.features(text)].sum()))
                 blank.append(not text.strip())
-            below = table.below(np.array(scores)) if scores else np.zeros((0, len(cuts)))
+            below = table.below(np.array(scores, np.float64))
             best = 1.0 - below[:, -1]
-            expected = (1.0 - below).sum(axis=1)
-            kept = (best >= tail) & ~np.array(blank, bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(best), pa.array(kept)], [*batch.schema.names, "expected_grade", "tail_probability", "kept"])
+            return (1.0 - below).sum(axis=1), best, (best >= tail) & ~np.array(blank, bool)
+
+        return judge
+
+    return make
+
+
+def rate(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, expected_grade, tail_probability and kept for every row of ``docs`` (doc_id, text).
+
+    A null or blank text is judged by its length alone and never kept.  Repeated
+    rows are judged each.  An empty table gives an empty result; other columns
+    are ignored.
+    """
+    make = _judge(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, judge(batch.column(1)))], ["doc_id", "expected_grade", "tail_probability", "kept"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_probability double, kept boolean")
+
+
+def select(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that ``rate`` keeps, with all their columns."""
+    make, at = _judge(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = make()
+        for batch in batches:
+            yield batch.filter(pa.array(judge(batch.column(at))[2]))
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["expected_grade double", "tail_probability double", "kept boolean"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:

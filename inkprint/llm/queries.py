@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import bpe, fertility, language, lm, quality, repeats, sharding, simhash, topk
+from inkprint.llm import bpe, fertility, language, lm, mixture, quality, repeats, sharding, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,7 @@ def op1_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.classify(docs, _table(spark, sf_dir, "labels")).drop("text")
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +45,10 @@ def op6_centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"), _fold(4))
 
 
+def op7_rake_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.strip_repeats(_table(spark, sf_dir, "documents"), length=200)
 

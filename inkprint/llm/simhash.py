@@ -15,6 +15,7 @@ block keys of its own (min-hash bands of the shingles).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +35,8 @@ SMALL = 256
 #: Blocks over this size are cut again.
 LARGE = 4096
 GROUP = 16
+#: Ranges of the similarity sketch; a power of two.
+BINS = 256
 
 
 # ---- fingerprints
@@ -78,20 +81,41 @@ def bands(hashes: np.ndarray, count: int, rows: int) -> list[int]:
     return keys
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One byte of the smallest hash in each of ``BINS`` ranges, 0 for an empty range: of two sets, the share of equal bytes estimates the similarity."""
+    out = np.zeros(BINS, np.uint8)
+    ordered = np.sort(hashes)
+    bins, first = np.unique(ordered >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    out[bins.astype(np.int64)] = (ordered[first] & np.uint64(0xFF)).astype(np.uint8) | np.uint8(1)
+    return out
+
+
+def similarity(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sketches, row by row; 1 for two empty ones."""
+    used = ((left > 0) | (right > 0)).sum(axis=-1)
+    same = ((left == right) & (left > 0)).sum(axis=-1)
+    return np.where(used == 0, 1.0, same / np.maximum(used, 1))
+
+
 def fingerprints(docs: DataFrame, width: int, band_count: int = 0, band_rows: int = 0) -> DataFrame:
-    """(doc_id, fp long, keys array<long>) of each document; a null text is empty."""
+    """(doc_id, fp long, keys array<long>, sketch binary) of each document; a null text is empty.
+
+    Band keys and sketches are made only where ``band_count`` asks for them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, keys = [], []
+            prints, keys, sketches = [], [], []
             with np.errstate(over="ignore"):
                 for text in texts(batch.column(1)):
                     hashes = shingle_hashes(text, width)
                     prints.append(fingerprint(hashes))
                     keys.append(bands(hashes, band_count, band_rows) if band_count else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+                    sketches.append(sketch(hashes).tobytes() if band_count else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "fp", "keys", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, keys array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, keys array<long>, sketch binary")
 
 
 # ---- bit-sliced comparison
@@ -182,7 +206,7 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _links_small(fps: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _links_small(fps: np.ndarray, ends: np.ndarray, radius: int, agree: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links among sorted blocks; ends[i] is the end of the block that holds i."""
     a, b, shift = [], [], 1
     at = np.arange(len(fps))
@@ -191,6 +215,8 @@ def _links_small(fps: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.nda
         for start in range(0, len(at), CHUNK):
             part = at[start : start + CHUNK]
             hit = part[lanes(within(planes(fps[part] ^ fps[part + shift]), radius), len(part))]
+            if agree:
+                hit = hit[agree(hit, hit + shift)]
             a.append(hit)
             b.append(hit + shift)
         shift += 1
@@ -198,7 +224,7 @@ def _links_small(fps: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.nda
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _links_large(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _links_large(fps: np.ndarray, radius: int, agree: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links in one large block, grown from node to node over what isn't reached yet."""
     a, b, queue = [], [], []
     rest, sliced, waiting, first = np.arange(len(fps)), planes(fps), np.ones(len(fps), bool), 0
@@ -215,6 +241,8 @@ def _links_large(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         ask = np.uint64(0) - ((fps[node] >> bits) & np.uint64(1))
         hit = lanes(within(sliced ^ ask[:, None], radius), len(rest))
         hit = hit[waiting[hit]]
+        if agree and len(hit):
+            hit = hit[agree(np.full(len(hit), node), rest[hit])]
         if len(hit):
             a.append(np.full(len(hit), node))
             b.append(rest[hit])
@@ -227,8 +255,11 @@ def _links_large(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, smallest fp reached) between different fingerprints of the same key; both arrays sorted by (key, fp)."""
+def links(keys: np.ndarray, fps: np.ndarray, radius: int, sketches: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fp, smallest fp reached) between different fingerprints of the same key; arrays sorted by (key, fp).
+
+    With ``sketches``, a pair within the radius must also be ``least`` similar.
+    """
     if not len(keys):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -237,10 +268,11 @@ def links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, n
     small = np.repeat(sizes <= SMALL, sizes)
     pick = np.flatnonzero(small)
     remap = np.cumsum(small) - 1
-    a, b = _links_small(fps[pick], remap[ends[pick] - 1] + 1, radius)
+    test = (lambda base: lambda i, j: similarity(sketches[base[i]], sketches[base[j]]) >= least) if sketches is not None else lambda base: None
+    a, b = _links_small(fps[pick], remap[ends[pick] - 1] + 1, radius, test(pick))
     found_a, found_b = [pick[a]], [pick[b]]
     for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        a, b = _links_large(fps[start : start + size], radius)
+        a, b = _links_large(fps[start : start + size], radius, test(np.arange(start, start + size)))
         found_a.append(a + start)
         found_b.append(b + start)
     a, b = np.concatenate(found_a), np.concatenate(found_b)
@@ -250,24 +282,25 @@ def links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return fps[moved], fps[label[moved]]
 
 
-def _compare(radius: int, run_rows: int = 1 << 18) -> Callable:
-    """Compare a partition sorted by (key, fp), a run of whole blocks at a time."""
+def _compare(radius: int, least: float = 0.0, run_rows: int = 1 << 17) -> Callable:
+    """Compare a partition (key, fp, sketch) sorted by (key, fp), a run of whole blocks at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple] = []
 
-        def out(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            a, b = links(keys, fps, radius)
+        def out(keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+            table = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS) if least else None
+            a, b = links(keys, fps, radius, table, least)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            if sum(len(k) for k, _ in held) >= run_rows:
-                keys, fps = (np.concatenate(x) for x in zip(*held))
-                whole = int(np.searchsorted(keys, keys[-1]))
-                held = [(keys[whole:], fps[whole:])]
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)))
+            if sum(len(x[0]) for x in held) >= run_rows:
+                joint = [np.concatenate(x) for x in zip(*held)]
+                whole = int(np.searchsorted(joint[0], joint[0][-1]))
+                held = [tuple(x[whole:] for x in joint)]
                 if whole:
-                    yield out(keys[:whole], fps[:whole])
+                    yield out(*(x[:whole] for x in joint))
         if held:
             yield out(*(np.concatenate(x) for x in zip(*held)))
 
@@ -299,30 +332,36 @@ def _finer(fp: Column, key: Column, radius: int) -> Column:
     return F.transform(pigeonhole(turned, radius, radius + 2), lambda k: F.xxhash64(key, k))
 
 
-def group(prints: DataFrame, radius: int, large: int = LARGE) -> DataFrame:
-    """(doc_id, fp, root) for fingerprint rows (doc_id, fp, keys): root is the smallest doc_id reachable over links.
+def group(prints: DataFrame, radius: int, banded: bool = False, least: float = 0.0, large: int = LARGE) -> DataFrame:
+    """(doc_id, fp, root) for fingerprint rows: root is the smallest doc_id reachable over links.
 
-    Without keys, blocks come from the pigeonhole principle with as many fields
-    as the number of distinct fingerprints asks for.
+    Unless ``banded`` tells to use the rows' own keys, blocks come from the
+    pigeonhole principle with as many fields as the number of distinct
+    fingerprints asks for.
     """
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    if prints.schema["keys"].dataType.simpleString() == "array<bigint>" and radius > 3:
+    if banded:
         blocked = prints.select("fp", F.explode("keys").alias("key")).distinct()
     else:
         n = distinct.count()
         parts = radius + (1 if n < 1 << 20 else 2 if n < 1 << 27 else 3)
         blocked = distinct.select("fp", F.explode(pigeonhole(F.col("fp"), radius, parts)).alias("key"))
     sizes = blocked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = blocked.join(sizes, "key").select("fp", F.when(F.col("n") > large, _finer(F.col("fp"), F.col("key"), radius)).otherwise(F.array("key")).alias("key"))
-    dealt = shared.select(F.explode("key").alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    edges = materialise(dealt.mapInArrow(_compare(radius), "a long, b long").distinct(), "links")
+    shared = blocked.join(sizes, "key")
+    if not banded:
+        finer = F.when(F.col("n") > large, _finer(F.col("fp"), F.col("key"), radius)).otherwise(F.array("key"))
+        dealt = shared.select(F.explode(finer).alias("key"), "fp", F.lit(None).cast("binary").alias("sketch"))
+    else:
+        dealt = shared.select("key", "fp").join(prints.groupBy("fp").agg(F.min("sketch").alias("sketch")), "fp").select("key", "fp", "sketch")
+    dealt = dealt.repartition("key").sortWithinPartitions("key", "fp")
+    edges = materialise(dealt.mapInArrow(_compare(radius, least), "a long, b long").distinct(), "links")
     members = distinct.join(connected(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("top"))
     lowest = members.groupBy("top").agg(F.min("rep").alias("root"))
     named = members.join(lowest, "top").select("fp", "root")
     return prints.select("doc_id", "fp").join(named, "fp")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, band_count: int = 0, band_rows: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """Near-duplicate components of ``docs`` (doc_id, text): doc_id, fingerprint, component_id.
 
     A null or blank text has fingerprint zero and links like any other.  Rows
@@ -330,6 +369,42 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, band_count
     its component but never names one.  An empty table gives an empty result;
     other columns are ignored.
     """
-    prints = materialise(fingerprints(docs, width, band_count, band_rows), "prints")
-    grouped = group(prints, radius)
+    grouped = group(materialise(fingerprints(docs, width), "prints"), radius)
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("root").alias("component_id"))
+
+
+@dataclass(frozen=True)
+class Similar:
+    """Near duplicates as texts whose ``width``-word shingle sets have a similarity of ``least`` or more.
+
+    Two sets of similarity s share one of ``band_count`` keys with probability
+    1 - (1 - s**band_rows)**band_count, over 0.999 at 0.8.  Fingerprints of such
+    a pair are about 10 bits apart; ``radius`` lies two deviations above.  The
+    sketch then estimates the similarity with a deviation of 0.025 at 0.8;
+    ``slack`` is taken off ``least`` so that pairs at the limit are linked.
+    """
+
+    width: int = 5
+    least: float = 0.8
+    slack: float = 0.03
+    radius: int = 16
+    band_count: int = 8
+    band_rows: int = 2
+
+
+def keep_one(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of the smallest doc_id, and all columns.
+
+    A row without doc_id counts as larger than any other, ordered by its text's
+    hash; of rows equal in doc_id and text one stays.  Null and blank texts form
+    one group.  An empty table gives an empty result.
+    """
+    text = F.coalesce("text", F.lit(""))
+    digest = F.xxhash64(text)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.col("doc_id").cast("long"), digest).alias("k"), digest.alias("h"))
+    rows = docs.select(order.alias("doc_id"), "text")
+    prints = materialise(fingerprints(rows, similar.width, similar.band_count, similar.band_rows), "prints")
+    grouped = group(prints, similar.radius, True, similar.least - similar.slack)
+    roots = grouped.where("doc_id = root").select(F.col("root.n").alias("_n"), F.col("root.k").alias("_k"), F.col("root.h").alias("_h")).distinct()
+    named = docs.withColumns({"_n": F.col("doc_id").isNull(), "_k": F.coalesce(F.col("doc_id").cast("long"), digest), "_h": digest})
+    return named.join(roots, ["_n", "_k", "_h"], "left_semi").dropDuplicates(["_n", "_k", "_h"]).select(*docs.columns)
