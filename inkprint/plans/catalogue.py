@@ -4,7 +4,564 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkprint.functions import masking, readability, text
+from inkprint.operators import annotate, audit, metrics, model, pairwise, reduce, stats, terms
+from inkprint.plans import features, fixtures
+from inkprint.plans.fixtures import PAIRS_SQL, SCORED_SQL, english, pairs
+from inkprint.sources.tables import read_table
+from inkprint.streaming.masking import masked_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            SQL[key] = sql
+        return f
+
+    return register
+
+
+_WORDS = "list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> '')"
+
+
+def _n_words(c: str) -> str:
+    return f"len({_WORDS.format(c)})"
+
+
+# ---- audit
+
+
+@query(f"with {PAIRS_SQL} select pair_id, split, same from p where trim(text1) <> '' and trim(text2) <> '' and same in (0, 1)")
+def pair_valid_filter(spark, sf):
+    return audit.valid(pairs(spark, sf)).select("pair_id", "split", "same")
+
+
+_BOUNDED = f"{_n_words('text1')} between 50 and 2000 and {_n_words('text2')} between 50 and 2000"
+_RANK = "list_position(['train', 'validation', 'test'], split)"
+_DEDUPED = f"{PAIRS_SQL}, b as (select * from p where {_BOUNDED}), d as (select * from b qualify row_number() over (partition by least(text1, text2), greatest(text1, text2), same order by {_RANK}, pair_id) = 1)"
+
+
+@query(f"with {PAIRS_SQL} select pair_id, split, same from p where {_BOUNDED}")
+def pair_wordcount_filter(spark, sf):
+    return audit.within_words(pairs(spark, sf), 50, 2000).select("pair_id", "split", "same")
+
+
+@query(f"with {_DEDUPED} select pair_id, split, same from d")
+def pair_symmetric_dedup(spark, sf):
+    return audit.audit(pairs(spark, sf), 50, 2000).select("pair_id", "split", "same")
+
+
+@query(f"with {PAIRS_SQL} select count(*) - (select count(*) from (select distinct least(text1, text2), greatest(text1, text2), same from p)) as duplicates from p")
+def duplicate_count(spark, sf):
+    return audit.duplicates(pairs(spark, sf))
+
+
+def _rounded(df: DataFrame, digits: int) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _length_sql(side: str) -> str:
+    out = []
+    for unit, value in (("word", _n_words(side)), ("char", f"length({side})")):
+        out += [f"round({f}({value}), 3) as {side}_{n}_{unit}_length" for f, n in (("median", "median"), ("avg", "mean"), ("stddev_samp", "std"))]
+    return ", ".join(out)
+
+
+@query(
+    f"with {_DEDUPED} select split, count(*) as rows, count(*) filter (same = 0) as label_0, count(*) filter (same = 1) as label_1, "
+    f"round(count(*) filter (same = 1) / count(*)::double, 3) as label_1_ratio, {_length_sql('text1')}, {_length_sql('text2')} from d group by split"
+)
+def audit_summary(spark, sf):
+    return _rounded(audit.summary(audit.audit(pairs(spark, sf), 50, 2000), None), 3)
+
+
+@query(f"select lang, {_length_sql('text')} from documents group by lang")
+def length_stats(spark, sf):
+    return _rounded(read_table(spark, sf, "documents").groupBy("lang").agg(*audit.length_stats(None, "text", None)), 3)
+
+
+@query(f"with {PAIRS_SQL} select split, same as label, count(*) as n from p group by all")
+def label_value_counts(spark, sf):
+    return pairs(spark, sf).groupBy("split", F.col("same").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {PAIRS_SQL} select split, count(*) as n, sum(length(text1)) as chars from p group by split")
+def union_splits(spark, sf):
+    base = pairs(spark, sf)
+    frames = {s: base.where(F.col("split") == s).drop("split") for s in audit.SPLITS}
+    return audit.union_splits(frames).groupBy("split").agg(F.count("*").alias("n"), F.sum(F.length("text1")).alias("chars"))
+
+
+@query(f"with {PAIRS_SQL} select pair_id, split, same, 'text1' as side, length(text1) as chars from p union all select pair_id, split, same, 'text2', length(text2) from p")
+def text_side_unpivot(spark, sf):
+    return audit.sides(pairs(spark, sf)).select("pair_id", "split", "same", "side", F.length("text").alias("chars"))
+
+
+@query(f"with {_DEDUPED} select pair_id, split from d order by {_RANK}, pair_id limit 5")
+def stage_head(spark, sf):
+    return audit.audit(pairs(spark, sf), 50, 2000).orderBy(audit.split_rank(), "pair_id").select("pair_id", "split").limit(5)
+
+
+@query(
+    f"with w as (select {_n_words('text')} x, doc_id from documents) select x, row_number() over (order by x, doc_id) / (count(*) over ())::double as y from w"
+)
+def word_count_ecdf(spark, sf):
+    return audit.ecdf(read_table(spark, sf, "documents"), text.word_count(F.col("text")), "doc_id")
+
+
+@query("select least(floor(x / 200.0), 49)::int as bin, count(*) as n from (select length(text)::double x from documents) where x between 0 and 10000 group by bin")
+def length_histogram(spark, sf):
+    return audit.histogram(read_table(spark, sf, "documents"), F.length("text"), 0, 10_000, 50)
+
+
+# ---- normalisation; the inputs are documents with the characters in question put in
+
+_DIRTY = "concat(chr(8220), replace(replace(text, '. ', concat('. ', chr(9), chr(13), chr(10), '  ')), 'a', concat('a', chr(1))), chr(8217), chr(8211), '  ', chr(10), chr(10), chr(10), chr(10), '-', chr(13))"
+
+
+def _dirty() -> Column:
+    spaced = F.replace(F.col("text"), F.lit(". "), F.lit(". \t\r\n  "))
+    return F.concat(F.lit("“"), F.replace(spaced, F.lit("a"), F.lit("a\x01")), F.lit("’–  \n\n\n\n-\r"))
+
+
+_STEPS = {
+    "lines": (text.unify_lines, "regexp_replace({0}, '\\r\\n?', chr(10), 'g')"),
+    "control": (text.strip_control, "regexp_replace({0}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')"),
+    "quotes": (text.plain_quotes, "translate({0}, concat(chr(8216), chr(8217), chr(8220), chr(8221), chr(8211), chr(8212), chr(8722), chr(160)), '''''\"\"--- ')"),
+    "spaces": (text.collapse_spaces, "regexp_replace({0}, '[^\\S\\r\\n]+', ' ', 'g')"),
+    "trim_newlines": (text.trim_newlines, "regexp_replace({0}, '[ \\t]*\\n[ \\t]*', chr(10), 'g')"),
+    "newlines": (text.cap_newlines, "regexp_replace({0}, '\\n{{3,}}', concat(chr(10), chr(10), chr(10)), 'g')"),
+    "strip": (text.strip, "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"),
+}
+for _name, (_step, _sql) in _STEPS.items():
+    query(f"select doc_id, md5({_sql.format(_DIRTY)}) as digest from documents where lang = 'en'", f"norm_{_name}")(
+        lambda spark, sf, step=_step: english(spark, sf).select("doc_id", F.md5(step(_dirty())).alias("digest"))
+    )
+
+_chain = _DIRTY
+for _name in ("lines", "control", "quotes", "spaces", "trim_newlines", "newlines", "strip"):
+    _chain = _STEPS[_name][1].format(_chain)
+
+
+@query(f"select doc_id, md5({_chain}) as digest from documents where lang = 'en' and not contains(text, '$') and not contains(text, '\\')")
+def norm_chain(spark, sf):
+    clean = english(spark, sf).where(~F.contains(F.col("text"), F.lit("$")) & ~F.contains(F.col("text"), F.lit("\\")))
+    return clean.select("doc_id", F.md5(text.tidy(_dirty())).alias("digest"))
+
+
+_MATH = {
+    r"$\alpha$": "alpha", r"$x^2 + y^2 = z^2$": "<MATH>", "costs $5 and then $6 more": "costs <MATH>6 more", r"$$ \varphi $$ and \(\Omega\) or \[a+b\]": "phi and omega or <MATH>",
+    r"escaped \$5 and $6": r"escaped \$5 and $6", r"$\unknown$": "<MATH>", "": "", "no math": "no math",
+}
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    def lit(v):
+        return "null" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+
+    return f"select * from (values {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names})"
+
+
+@query(_values([(i, out) for i, out in enumerate(_MATH.values())], "id, out"))
+def norm_math(spark, sf):
+    return spark.createDataFrame(list(enumerate(_MATH)), "id int, x string").select("id", text.math_spans(F.col("x")).alias("out"))
+
+
+_HTML = {"a &amp; b &lt;c&gt;": "a & b <c>", "é": "é", "café &eacute;": "café é", None: ""}
+
+
+@query(_values([(i, out) for i, out in enumerate(_HTML.values())], "id, out"))
+def norm_html_nfc(spark, sf):
+    return spark.createDataFrame(list(enumerate(_HTML)), "id int, x string").select("id", text.normalize(F.col("x")).alias("out"))
+
+
+@query(f"with {PAIRS_SQL} select split, {', '.join(f'round(avg({v}), 3) as {c}_mean_{u}_length' for c in ('text1', 'text2') for u, v in (('word', _n_words(c)), ('char', f'length({c})')))} from p group by split")
+def norm_summary(spark, sf):
+    return _rounded(audit.normalization_summary(pairs(spark, sf), None), 3)
+
+
+# ---- masking
+
+_TAIL = " Mail a.b+c@d-e.co.uk or WWW.Foo.com/x_y. On 12 March 2021 at 7:05:09 PM we paid 1,200.50 EUR at 10 Downing Street to Acme Inc. and 2020-1-2 v1 1.5 3rd 1,000.5 5 dollars"
+
+
+def _re2(rule: str) -> str:
+    return masking.RULES[rule].replace("(?iU)", "(?i)").replace("(?U)", "")
+
+
+def _mask_sql(value: str, rule: str) -> str:
+    return f"regexp_replace({value}, '{_re2(rule)}', '{masking.placeholder(rule)}', 'g')"
+
+
+_TAILED = f"concat(text, '{_TAIL}')"
+for _rule in masking.RULES:
+    query(f"select doc_id, len(regexp_extract_all({_TAILED}, '{_re2(_rule)}')) as n, md5({_mask_sql(_TAILED, _rule)}) as digest from documents where lang = 'en'", f"mask_{_rule}")(
+        lambda spark, sf, rule=_rule: english(spark, sf).withColumn("t", F.concat("text", F.lit(_TAIL))).select("doc_id", masking.count(F.col("t"), rule).alias("n"), F.md5(masking.mask(F.col("t"), rule)).alias("digest"))
+    )
+
+
+def _counts_sql() -> str:
+    steps, before = [f"m0 as (select doc_id, {_TAILED} t from documents where lang = 'en')"], []
+    for i, rule in enumerate(masking.RULES):
+        steps.append(f"m{i + 1} as (select doc_id, {''.join(b + ', ' for b in before)}len(regexp_extract_all(t, '{_re2(rule)}')) {rule}_count, {_mask_sql('t', rule)} t from m{i})")
+        before.append(f"{rule}_count")
+    sums = ", ".join(f"sum({b}) as {b}" for b in before)
+    return f"with {', '.join(steps)} select doc_id % 10 as part, {sums} from m{len(masking.RULES)} group by part"
+
+
+@query(_counts_sql())
+def mask_counts(spark, sf):
+    counted = masking.mask_with_counts(english(spark, sf).withColumn("t", F.concat("text", F.lit(_TAIL))), "t")
+    return counted.groupBy((F.col("doc_id") % 10).alias("part")).agg(*(F.sum(f"{r}_count").alias(f"{r}_count") for r in masking.RULES))
+
+
+_chain_sql = _TAILED
+for _rule in masking.RULES:
+    _chain_sql = _mask_sql(_chain_sql, _rule)
+
+
+@query(f"select doc_id, md5({_chain_sql}) as digest from documents where lang = 'en'")
+def mask_chain(spark, sf):
+    return english(spark, sf).select("doc_id", F.md5(masking.mask_all(F.concat("text", F.lit(_TAIL)))).alias("digest"))
+
+
+@query()
+def stream_masking(spark, sf):
+    """The stateless stages over a file stream, run to its end."""
+    schema = read_table(spark, sf, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    made = masked_stream(stream).select("doc_id", F.md5("text").alias("digest"))
+    running = made.writeStream.format("memory").queryName("stream_masking").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table("stream_masking")
+
+
+# ---- annotation
+
+_SPLICED = [
+    (1, "Ann met Bob Lee in Rome", [(8, 15, "PERSON"), (0, 3, "PERSON"), (12, 15, "ORG"), (19, 23, "GPE")], "<PERSON> met <PERSON> in <GPE>"),
+    (2, "at the Louvre by the Nile", [(7, 13, "FAC"), (17, 25, "LOC"), (0, 2, "NOTHING")], "at the <FACILITY> by <LOCATION>"),
+    (3, "nothing here", [], "nothing here"),
+]
+
+
+def _spans(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([r[:3] for r in _SPLICED], f"id int, text string, ents array<{annotate.ENTITY}>")
+
+
+@query(_values([(r[0], r[3]) for r in _SPLICED], "id, out"))
+def ner_splice(spark, sf):
+    return _spans(spark).select("id", annotate.entity_mask(F.col("text"), F.col("ents")).alias("out"))
+
+
+@query(_values([("all", "PERSON", 2), ("all", "ORG", 1), ("all", "GPE", 1), ("all", "FAC", 1), ("all", "LOC", 1)], "split, label, n"))
+def ner_counts(spark, sf):
+    return annotate.entity_counts(_spans(spark).withColumn("split", F.lit("all")))
+
+
+_TOKENS = f"t as (select doc_id, regexp_extract_all(text, '{annotate.TOKEN_PATTERN.replace(chr(39), chr(39) * 2)}') ws from documents where lang = 'en')"
+_SMALL = ("the", "of", "and", "to", "is")
+
+
+def _tokens_that(test: str) -> str:
+    return f"list_filter(ws, lambda w: {test})"
+
+
+_ENDS = f"(len({_tokens_that("w in ('.', '!', '?')")}) + case when ws[-1] in ('.', '!', '?') then 0 else 1 end)::double"
+_SPELT = _tokens_that("not regexp_matches(w, '^\\p{P}') and not regexp_matches(w, '^<[^<>]+>$')")
+
+
+@query(
+    f"with {_TOKENS}, c as (select doc_id, len(ws) n, len({_tokens_that("regexp_matches(w, '^\\p{P}')")}) p, {_ENDS} e, len({_tokens_that(f'lower(w) in {_SMALL}')}) f, "
+    f"list_sum(list_transform({_SPELT}, lambda w: length(w)))::double chars, len({_SPELT}) words from t) "
+    "select doc_id, round((n - p) / e, 6) as avg_sentence_length_words, round(f / e, 6) as avg_function_words_per_sentence, round(p / n::double, 6) as punctuation_rate, "
+    "round(chars / words, 6) as avg_word_length, round(f / (n - p)::double, 6) as function_word_rate from c"
+)
+def stat_basic(spark, sf):
+    made = annotate.records(english(spark, sf).select("doc_id", "text"))
+    return _rounded(made.select("doc_id", *(c.alias(n) for n, c in stats.basic(_SMALL, None).items())), 6)
+
+
+_GOLDEN = {
+    "avg_sentence_length_words": 4.0, "avg_function_words_per_sentence": 1.5, "punctuation_rate": 0.2, "avg_word_length": 3.5, "function_word_rate": 0.375,
+    "phrase_noun_phrase_rate": 0.75, "phrase_prepositional_phrase_rate": 0.25, "phrase_clausal_phrase_rate": 0.0, "pos_noun_rate": 0.25, "pos_verb_rate": 0.25,
+    "pos_punctuation_rate": 0.0, "dep_root_rate": 0.25, "dep_nominal_subject_rate": 0.25,
+}
+
+
+@query(_values([(1, *_GOLDEN.values()), (2, *(0.0 for _ in _GOLDEN))], "id, " + ", ".join(_GOLDEN)).replace("0.", "0.").replace("select *", "select id, " + ", ".join(f"{k}::double as {k}" for k in _GOLDEN)))
+def stat_golden(spark, sf):
+    made = stats.document_statistics(fixtures.golden_record(spark), ("the", "it", "into"))
+    return made.select("id", *_GOLDEN)
+
+
+_WORD_TOKENS = (
+    f"k as (select doc_id, unnest({_WORDS.format('text')}) w, generate_subscripts({_WORDS.format('text')}, 1) i from documents where lang = 'en'), "
+    "g as (select doc_id, i, w, ['NOUN', 'VERB', 'ADP'][length(w) % 3 + 1] pos from k where not regexp_matches(w, '^\\p{P}+$'))"
+)
+
+
+@query(f"with {_WORD_TOKENS} select doc_id, round(count(*) filter (pos = 'NOUN') / count(*)::double, 6) as pos_noun_rate, round(count(*) filter (pos = 'VERB') / count(*)::double, 6) as pos_verb_rate, round(count(*) filter (pos = 'ADP') / count(*)::double, 6) as pos_adposition_rate from g group by doc_id")
+def stat_pos_rates(spark, sf):
+    made = fixtures.word_records(english(spark, sf))
+    return _rounded(made.select("doc_id", *(stats.pos_rates(None)[k].alias(k) for k in ("pos_noun_rate", "pos_verb_rate", "pos_adposition_rate"))), 6)
+
+
+@query()
+def stat_all_features(spark, sf):
+    """All 74 statistics of English documents by the rule backend."""
+    return stats.document_statistics(annotate.records(english(spark, sf).select("doc_id", "text"))).drop("text", "tokens", "sentences", "chunks", "ents")
+
+
+@query()
+def stat_summary(spark, sf):
+    made = annotate.records(audit.sides(pairs(spark, sf)))
+    return stats.statistics_summary(made.withColumns(stats.basic(_SMALL)))
+
+
+# ---- terms
+
+_KEPT = f"kept as (select doc_id, i, lower(w) term from g where pos in ('NOUN', 'VERB') and length(w) >= 2 and regexp_matches(lower(w), '\\p{{L}}') and lower(w) not in {_SMALL} and lower(w) not in ('that') and not (starts_with(w, '<') and ends_with(w, '>')))"
+
+
+def _lemma_counts(spark, sf) -> DataFrame:
+    made = fixtures.word_records(english(spark, sf))
+    return terms.term_counts(made, terms.ngrams(terms.content_lemmas(F.col("tokens"), _SMALL, ("that",)), 1, 2), ["doc_id"])
+
+
+_LEMMA_TERMS = f"{_WORD_TOKENS}, {_KEPT}, n2 as (select doc_id, term || ' ' || lead(term) over (partition by doc_id order by i) term from kept), every as (select doc_id, term from kept union all select doc_id, term from n2 where term is not null), c as (select doc_id, term, count(*) tf from every group by all)"
+
+
+@query(f"with {_LEMMA_TERMS} select doc_id, count(*) as terms, sum(tf) as tokens from c group by doc_id")
+def content_terms(spark, sf):
+    return _lemma_counts(spark, sf).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"))
+
+
+def _vocab_sql(top: int) -> str:
+    n = "(select count(*) from documents where lang = 'en')"
+    return f"v0 as (select term, count(*) df, sum(tf)::bigint tf from c group by term having count(*) >= 2 and count(*) <= 0.95 * {n} order by tf desc, term limit {top}), v as (select term, (row_number() over (order by term) - 1)::int term_idx, df, tf, ln((1.0::double + {n}) / (1 + df)) + 1 idf from v0)"
+
+
+def _english_count(spark, sf) -> int:
+    return english(spark, sf).count()
+
+
+@query(f"with {_LEMMA_TERMS}, {_vocab_sql(25_000)} select term, term_idx, df, tf, round(idf, 6) as idf from v")
+def lemma_tfidf_vocab(spark, sf):
+    return _rounded(terms.vocabulary(_lemma_counts(spark, sf), _english_count(spark, sf), terms.LEMMAS), 6)
+
+
+_WEIGHTS = "r as (select doc_id, term, term_idx, (1 + ln(tf)) * idf raw from c join v using (term)), x as (select doc_id, term_idx, raw / sqrt(sum(raw * raw) over (partition by doc_id)) weight from r)"
+_WEIGHTS = _WEIGHTS.replace("(1 + ln(tf)) * idf", "(1 + ln(c.tf)) * idf")
+
+
+@query(f"with {_LEMMA_TERMS}, {_vocab_sql(25_000)}, {_WEIGHTS} select doc_id, term_idx, round(weight, 5) as weight from x")
+def lemma_tfidf_weights(spark, sf):
+    counts = _lemma_counts(spark, sf)
+    made = terms.tfidf(counts, terms.vocabulary(counts, _english_count(spark, sf), terms.LEMMAS), ["doc_id"])
+    return _rounded(made.select("doc_id", "term_idx", "weight"), 5)
+
+
+_GRAMS = (
+    f"k as (select doc_id, unnest({_WORDS.format('text')}) w from documents where lang = 'en'), kw as (select doc_id, w, count(*) m from k group by all), "
+    "gr as (select doc_id, m, unnest(case when length(w) < 4 then [w] else list_transform(range(1, length(w) - 2), lambda i: substring(w, i, 4)) end) term from kw), "
+    "c as (select doc_id, term, sum(m)::bigint tf from gr group by all)"
+)
+
+
+def _gram_counts(spark, sf) -> DataFrame:
+    return terms.term_counts(english(spark, sf), terms.char_grams(F.col("text")), ["doc_id"])
+
+
+@query(f"with {_GRAMS} select doc_id, count(*) as terms, sum(tf) as grams from c group by doc_id")
+def chargram_terms(spark, sf):
+    return _gram_counts(spark, sf).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("grams"))
+
+
+@query(f"with {_GRAMS} select term, count(*) as df, sum(tf) as tf from c group by term")
+def chargram_df(spark, sf):
+    return _gram_counts(spark, sf).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(f"with {_GRAMS}, {_vocab_sql(2000)} select term, term_idx, df, tf, round(idf, 6) as idf from v")
+def chargram_vocab(spark, sf):
+    config = terms.TermConfig("char_ngrams", max_features=2000)
+    return _rounded(terms.vocabulary(_gram_counts(spark, sf), _english_count(spark, sf), config), 6)
+
+
+def _gram_weights(spark, sf) -> DataFrame:
+    counts = _gram_counts(spark, sf).persist()
+    vocab = terms.vocabulary(counts, _english_count(spark, sf), terms.TermConfig("char_ngrams", max_features=2000))
+    return terms.tfidf(counts, vocab, ["doc_id"])
+
+
+_GRAM_WEIGHTS = f"{_GRAMS}, {_vocab_sql(2000)}, {_WEIGHTS}"
+
+
+@query(f"with {_GRAM_WEIGHTS} select doc_id, term_idx, round(weight, 5) as weight from x")
+def chargram_tfidf(spark, sf):
+    return _rounded(_gram_weights(spark, sf).select("doc_id", "term_idx", "weight"), 5)
+
+
+@query(f"with {_GRAM_WEIGHTS}, d as (select doc_id, (select count(*) from x where x.doc_id = documents.doc_id) nnz from documents where lang = 'en') select round(avg(nnz), 3) as density from d")
+def density_stats(spark, sf):
+    return _rounded(terms.density(english(spark, sf), _gram_weights(spark, sf), ["doc_id"]), 3)
+
+
+@query(
+    f"with {_WORD_TOKENS}, s as (select doc_id, i, pos p0, lead(pos) over w p1, lead(pos, 2) over w p2 from g window w as (partition by doc_id order by i)), "
+    "every as (select doc_id, p0 || ' ' || p1 term from s where p1 is not null union all select doc_id, p0 || ' ' || p1 || ' ' || p2 from s where p2 is not null) "
+    "select term, count(distinct doc_id) as df, count(*) as tf from every group by term"
+)
+def pos_ngrams(spark, sf):
+    made = fixtures.word_records(english(spark, sf))
+    counts = terms.term_counts(made, terms.ngrams(terms.pos_sequence(F.col("tokens")), 2, 3), ["doc_id"])
+    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(
+    f"""with w0 as (select doc_id, text, regexp_extract_all(text, '{readability.WORD.replace("'", "''")}') ws from documents where lang = 'en'),
+    w1 as (select doc_id, greatest(1, len(regexp_extract_all(text, '[.!?]+'))) s, len(ws) w,
+      list_sum(list_transform(ws, lambda x: length(replace(x, '''', '')))) l,
+      list_transform(ws, lambda x: greatest(1, len(regexp_extract_all(lower(x), '[aeiouy]+')) - case when regexp_matches(lower(x), '[^aeiouyl]e$') then 1 else 0 end)) y from w0),
+    n as (select doc_id, s::double s, w::double w, l::double l, list_sum(y)::double y, len(list_filter(y, lambda x: x >= 3))::double h from w1)
+    select doc_id, round(0.39 * w / s + 11.8 * y / w - 15.59, 4) as readability_flesch_kincaid_grade, round(0.4 * (w / s + 100 * h / w), 4) as readability_gunning_fog,
+      case when s < 3 then 0.0::double else round(1.043 * sqrt(30 * h / s) + 3.1291, 4) end as readability_smog, round(0.0588 * (100 * l / w) - 0.296 * (100 * s / w) - 15.8, 4) as readability_coleman_liau
+    from n where w > 0"""
+)
+def readability_indices(spark, sf):
+    return _rounded(readability.add_readability(english(spark, sf).select("doc_id", "text").where(F.col("text").rlike("[A-Za-z]")), digits=8).drop("text"), 4)
+
+
+# ---- pairs
+
+
+def _pair_weights(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Pairs of neighbours by id, and the weights of both sides' character grams."""
+    weights = _gram_weights(spark, sf).withColumn("family", F.lit("char_ngrams")).persist()
+    ids = english(spark, sf).select("doc_id")
+    met = ids.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other")).join(ids, "doc_id")
+    long = met.select(F.col("doc_id").alias("pair_id"), F.explode(F.array(F.struct(F.lit("text1").alias("side"), F.col("doc_id").alias("d")), F.struct(F.lit("text2").alias("side"), F.col("other").alias("d")))).alias("s"))
+    sided = long.select("pair_id", "s.side", F.col("s.d").alias("doc_id")).join(weights, "doc_id").select("pair_id", "side", "family", "term_idx", "weight")
+    return met, sided
+
+
+_SIDED = f"{_GRAM_WEIGHTS}, en as (select doc_id from documents where lang = 'en'), pp as (select a.doc_id pair_id, b.doc_id other from en a join en b on b.doc_id = a.doc_id + 1), la as (select pair_id, term_idx, weight a from pp join x on x.doc_id = pair_id), lb as (select pair_id, term_idx, weight b from pp join x on x.doc_id = other), al as (select coalesce(la.pair_id, lb.pair_id) pair_id, coalesce(a, 0) a, coalesce(b, 0) b from la full outer join lb on la.pair_id = lb.pair_id and la.term_idx = lb.term_idx)"
+
+
+@query(f"with {_SIDED} select pair_id, count(*) as terms, round(sum(abs(a - b)), 4) as abs_diff, round(sum(a * b), 4) as product from al group by pair_id")
+def pair_local(spark, sf):
+    made = pairwise.local(_pair_weights(spark, sf)[1])
+    return _rounded(made.groupBy("pair_id").agg(F.count("*").alias("terms"), F.sum("abs_diff").alias("abs_diff"), F.sum("product").alias("product")), 4)
+
+
+@query(f"with {_SIDED} select pair_id, 'char_ngrams' as family, round(coalesce(sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0), 0), 4) as cosine, round(sum(abs(a - b)), 4) as l1, round(sqrt(sum((a - b) * (a - b))), 4) as l2 from al group by pair_id")
+def pair_global(spark, sf):
+    return _rounded(pairwise.global_features(_pair_weights(spark, sf)[1]), 4)
+
+
+@query(
+    "with z as (select a.vec_id, a.embedding::double[] x, b.embedding::double[] y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1) "
+    "select vec_id, round(list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))), 5) as cosine, "
+    "round(list_sum(list_transform(list_zip(x, y), lambda p: abs(p[1] - p[2]))), 4) as l1, round(sqrt(list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 5) as l2 from z"
+)
+def embedding_distances(spark, sf):
+    e = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    met = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
+    d = pairwise.array_distances(F.col("embedding"), F.col("other"))
+    return met.select("vec_id", F.round(d["cosine"], 5).alias("cosine"), F.round(d["l1"], 4).alias("l1"), F.round(d["l2"], 5).alias("l2"))
+
+
+_NAMES = {"tfidf_00001": "tfidf", "char4_tfidf_00002": "char_ngrams", "pos(2, 3)_tfidf_00000": "pos_ngrams", "readability_smog": "readability", "avg_word_length": "statistical", "pos_noun_rate": "statistical"}
+
+
+@query(_values(list(_NAMES.items()), "name, family"))
+def feature_families(spark, sf):
+    return spark.createDataFrame([(n,) for n in _NAMES], "name string").withColumn("family", pairwise.family_of(F.col("name")))
+
+
+@query()
+def svd_project(spark, sf):
+    e = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return reduce.project(e, "embedding", reduce.fit_svd(e, "embedding", 8), "components").select("vec_id", "components")
+
+
+@query()
+def gbt_score(spark, sf):
+    """Embedding distances as features of a boosted-tree model of equal labels."""
+    e = read_table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    met = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"), F.col("label").alias("l2nd")), "vec_id")
+    d = pairwise.array_distances(F.col("embedding"), F.col("other"))
+    rows = met.select("vec_id", (F.col("label") == F.col("l2nd")).cast("int").alias("same"), *(c.alias(n) for n, c in d.items()))
+    trees = model.fit(rows.where("vec_id % 10 < 7"), list(d), model.TrainingConfig(trees=10))
+    return model.predict(trees, rows).select("vec_id", "same", "score", metrics.decision(F.col("score"), 0.5).alias("predicted"))
+
+
+# ---- evaluation
+
+_RATES_SQL = (
+    "round((tp + tn) / (tn + fp + fn + tp)::double, 5) as accuracy, coalesce(round(tp / nullif(tp + fp, 0)::double, 5), 0) as precision, coalesce(round(tp / nullif(tp + fn, 0)::double, 5), 0) as recall, "
+    "coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 5), 0) as f1, round((coalesce(tp / nullif(tp + fn, 0)::double, 0) + coalesce(tn / nullif(tn + fp, 0)::double, 0)) / 2, 5) as balanced_accuracy, "
+    "coalesce(round(tn / nullif(tn + fp, 0)::double, 5), 0) as specificity, round(coalesce(tp / nullif(tp + fn, 0)::double, 0) + coalesce(tn / nullif(tn + fp, 0)::double, 0) - 1, 5) as youden_j"
+)
+_CONFUSED = "count(*) filter (score < t and label = 0) tn, count(*) filter (score >= t and label = 0) fp, count(*) filter (score < t and label = 1) fn, count(*) filter (score >= t and label = 1) tp"
+_GRID_SQL = f"{SCORED_SQL}, gr as (select i / 100.0::double t from range(101) r(i)), cm as (select t, {_CONFUSED} from s cross join gr group by t), m as (select t as threshold, tn, fp, fn, tp, {_RATES_SQL} from cm)"
+
+
+@query(f"with {SCORED_SQL}, cm as (select {_CONFUSED} from s cross join (select 0.5 t)) select tn, fp, fn, tp, {_RATES_SQL} from cm")
+def confusion_metrics(spark, sf):
+    return metrics.rates(fixtures.scored(spark, sf).agg(*metrics.confusion(0.5)))
+
+
+@query(f"with {SCORED_SQL}, k as (select label, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 r from s) select round((sum(r) filter (label = 1) - count(*) filter (label = 1) * (count(*) filter (label = 1) + 1) / 2.0) / (count(*) filter (label = 1) * count(*) filter (label = 0))::double, 5) as roc_auc from k")
+def roc_auc(spark, sf):
+    return metrics.roc_auc(fixtures.scored(spark, sf))
+
+
+@query(f"with {_GRID_SQL} select * from m")
+def threshold_grid(spark, sf):
+    return metrics.threshold_grid(fixtures.scored(spark, sf))
+
+
+@query(f"with {_GRID_SQL} select * from m order by youden_j desc, (threshold = 0.5)::int desc, threshold limit 1")
+def best_threshold(spark, sf):
+    return metrics.best_threshold(metrics.threshold_grid(fixtures.scored(spark, sf)))
+
+
+_PUBLISHED = [("validation", 2858, 546, 1077, 2963, 0.73342, 0.785, 0.87306), ("test", 3009, 512, 1039, 2826, 0.73118, 0.78467, 0.87719)]
+
+
+@query(_values([("validation", 0.785, 0.57302, 0.87306), ("test", 0.78467, 0.58576, 0.87719)], "split, f1, youden_j, auc_roc").replace("select *", "select f1::double as f1, youden_j::double as youden_j, auc_roc::double as auc_roc"))
+def app_metrics(spark, sf):
+    rows = spark.createDataFrame(_PUBLISHED, "split string, tn long, fp long, fn long, tp long, recall double, f1 double, roc_auc double")
+    return metrics.app_metrics(rows)
+
+
+@query(f"with {SCORED_SQL} select doc_id, case when score >= 0.9 or score <= 0.1 then 'Surely' when score >= 0.75 or score <= 0.25 then 'Very Likely' when score >= 0.6 or score <= 0.4 then 'Likely' else 'Uncertain' end as confidence, case when score >= 0.58 then 1 else 0 end as predicted from s")
+def confidence_bucket(spark, sf):
+    p = F.col("score")
+    return fixtures.scored(spark, sf).select("doc_id", metrics.confidence(p).alias("confidence"), metrics.decision(p, 0.58).alias("predicted"))
+
+
+@query(f"with {SCORED_SQL} select doc_id, 8 + score * 126 as hue, round(score * 360, 2) as angle, round(score * 100, 1) as percent from s")
+def probability_display(spark, sf):
+    d = metrics.display(F.col("score"))
+    return fixtures.scored(spark, sf).select("doc_id", *(c.alias(n) for n, c in d.items()))
+
+
+@query()
+def pair_features(spark, sf):
+    """The whole feature plan over the audited pairs: one row a pair with the global features of each family."""
+    kept = audit.audit(pairs(spark, sf), 50, 2000)
+    records = features.annotated(features.masked_sides(kept)).persist()
+    tables = {f: t.persist() for f, t in features.term_tables(records).items()}
+    vocabs = features.vocabularies(tables, records.where("split = 'train'").count())
+    return features.pair_features(kept.drop("text1", "text2"), features.weights(records, tables, vocabs))
