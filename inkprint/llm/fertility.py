@@ -59,36 +59,43 @@ class Fertility:
 
     def _reset(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.chars, self.bytes, self.second, self.ids, self.start = ([] for _ in range(5))
-        self.start = [0]
-        self.frozen = None
+        #: characters, second-vocabulary tokens, and where a word's piece ids end; then the ids
+        self.tables = [np.zeros(1 << 12, np.int32) for _ in range(4)]
+        self.filled = [0, 0, 1, 0]
+
+    def _extend(self, which: int, values: np.ndarray) -> None:
+        table, n = self.tables[which], self.filled[which]
+        while n + len(values) > len(table):
+            table = self.tables[which] = np.concatenate((table, np.zeros_like(table)))
+        table[n : n + len(values)] = values
+        self.filled[which] = n + len(values)
 
     def _learn(self, words: list[bytes]) -> None:
         strings = [w.decode() for w in words]
-        for word, text, ids, other in zip(words, strings, self.pieces.encode(strings, num_threads=1), self.bpe.encode_ordinary_batch([" " + s for s in strings], num_threads=1)):
-            self.index[word] = len(self.index)
-            self.chars.append(len(text))
-            self.second.append(len(other))
-            self.ids.extend(ids)
-            self.start.append(len(self.ids))
-        self.frozen = None
-
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        found = list(map(self.index.get, words))
-        if None in found:
-            new = list(dict.fromkeys(w for w, i in zip(words, found) if i is None))
-            if self.index and len(self.index) + len(new) > self.cache:
-                self._reset()
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-            found = list(map(self.index.get, words))
-        if self.frozen is None:
-            self.frozen = tuple(np.array(x, np.int64) for x in (self.chars, self.second, self.start)) + (np.array(self.ids, np.int32),)
-        return np.array(found, np.int64)
+        pieces = self.pieces.encode(strings, num_threads=1)
+        seconds = [self.bpe.encode_ordinary(" " + s) for s in strings]
+        base = len(self.index)
+        self.index.update(zip(words, range(base, base + len(words))))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self._extend(0, np.fromiter(map(len, strings), np.int64, len(strings)))
+        self._extend(1, np.fromiter(map(len, seconds), np.int64, len(seconds)))
+        self._extend(2, self.filled[3] + np.cumsum(sizes))
+        self._extend(3, np.fromiter((i for ids in pieces for i in ids), np.int64, int(sizes.sum())))
+
+    def look_up(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Word indices of each text.  They hold until the next call."""
+        new = {w for words in texts for w in words if w not in self.index}
+        if self.index and len(self.index) + len(new) > self.cache:
+            self._reset()
+            new = {w for words in texts for w in words}
+        if new:
+            self._learn(list(new))
+        get = self.index.__getitem__
+        return [np.fromiter(map(get, words), np.int64, len(words)) for words in texts]
 
     def measure(self, at: np.ndarray) -> tuple[int, int, float, float, float, float]:
         """(characters, piece tokens, then METRICS) of a text given as word indices."""
-        chars, second, start, ids = self.frozen
+        chars, second, start, ids = self.tables
         n_chars = int(chars[at].sum())
         begin, size = start[at], start[at + 1] - start[at]
         n = int(size.sum())
@@ -148,6 +155,19 @@ def script(text: bytes) -> str:
     return best if any(counts[a:b].sum() for a, b in zip(SCRIPTS[best][::2], SCRIPTS[best][1::2])) else "Zyyy"
 
 
+def _groups(items: Iterator[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Texts whose words are looked up together: about ``most`` bytes of them."""
+    held, size = [], 0
+    for item in items:
+        held.append(item)
+        size += len(item)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 _MEASURED = "doc_id {id}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_pieces long, piece_chars double, bpe_chars double, byte_share double, entropy double"
 
 
@@ -158,11 +178,10 @@ def measured(docs: DataFrame, pieces: str, ranks: str, pattern: str) -> DataFram
         made = _fertility(pieces, ranks, pattern)
         for batch in batches:
             rows = []
-            for text in texts(batch.column(2)):
-                words = text.split()
-                at = made.look_up(words)
-                chars, n, *rest = made.measure(at)
-                rows.append((len(words), chars, sum(text.count(c) for c in SYMBOL_BYTES), duplicate_lines(text), repeated_words(at), script(text), n, *rest))
+            for group in _groups(texts(batch.column(2))):
+                for text, at in zip(group, made.look_up([text.split() for text in group])):
+                    chars, n, *rest = made.measure(at)
+                    rows.append((len(at), chars, sum(text.count(c) for c in SYMBOL_BYTES), duplicate_lines(text), repeated_words(at), script(text), n, *rest))
             columns = list(zip(*rows)) if rows else [()] * 11
             kinds = [pa.int64()] * 5 + [pa.string(), pa.int64()] + [pa.float64()] * 4
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script", "n_pieces", *METRICS]
