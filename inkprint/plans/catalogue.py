@@ -433,12 +433,12 @@ def pos_ngrams(spark, sf):
       list_sum(list_transform(ws, lambda x: length(replace(x, '''', '')))) l,
       list_transform(ws, lambda x: greatest(1, len(regexp_extract_all(lower(x), '[aeiouy]+')) - case when regexp_matches(lower(x), '[^aeiouyl]e$') then 1 else 0 end)) y from w0),
     n as (select doc_id, s::double s, w::double w, l::double l, list_sum(y)::double y, len(list_filter(y, lambda x: x >= 3))::double h from w1)
-    select doc_id, round(0.39 * w / s + 11.8 * y / w - 15.59, 4) as readability_flesch_kincaid_grade, round(0.4 * (w / s + 100 * h / w), 4) as readability_gunning_fog,
-      case when s < 3 then 0.0::double else round(1.043 * sqrt(30 * h / s) + 3.1291, 4) end as readability_smog, round(0.0588 * (100 * l / w) - 0.296 * (100 * s / w) - 15.8, 4) as readability_coleman_liau
+    select doc_id, round(0.39 * w / s + 11.8 * y / w - 15.59, 3) as readability_flesch_kincaid_grade, round(0.4 * (w / s + 100 * h / w), 3) as readability_gunning_fog,
+      case when s < 3 then 0.0::double else round(1.043 * sqrt(30 * h / s) + 3.1291, 3) end as readability_smog, round(0.0588 * (100 * l / w) - 0.296 * (100 * s / w) - 15.8, 3) as readability_coleman_liau
     from n where w > 0"""
 )
 def readability_indices(spark, sf):
-    return _rounded(readability.add_readability(english(spark, sf).select("doc_id", "text").where(F.col("text").rlike("[A-Za-z]")), digits=8).drop("text"), 4)
+    return _rounded(readability.add_readability(english(spark, sf).select("doc_id", "text").where(F.col("text").rlike("[A-Za-z]")), digits=None).drop("text"), 3)
 
 
 # ---- pairs
@@ -508,9 +508,9 @@ def gbt_score(spark, sf):
 # ---- evaluation
 
 _RATES_SQL = (
-    "round((tp + tn) / (tn + fp + fn + tp)::double, 5) as accuracy, coalesce(round(tp / nullif(tp + fp, 0)::double, 5), 0) as precision, coalesce(round(tp / nullif(tp + fn, 0)::double, 5), 0) as recall, "
-    "coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 5), 0) as f1, round((coalesce(tp / nullif(tp + fn, 0)::double, 0) + coalesce(tn / nullif(tn + fp, 0)::double, 0)) / 2, 5) as balanced_accuracy, "
-    "coalesce(round(tn / nullif(tn + fp, 0)::double, 5), 0) as specificity, round(coalesce(tp / nullif(tp + fn, 0)::double, 0) + coalesce(tn / nullif(tn + fp, 0)::double, 0) - 1, 5) as youden_j"
+    "round_even((tp + tn) / (tn + fp + fn + tp)::double, 5) as accuracy, coalesce(round_even(tp / nullif(tp + fp, 0)::double, 5), 0) as precision, coalesce(round_even(tp / nullif(tp + fn, 0)::double, 5), 0) as recall, "
+    "coalesce(round_even(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 5), 0) as f1, round_even((coalesce(tp / nullif(tp + fn, 0)::double, 0) + coalesce(tn / nullif(tn + fp, 0)::double, 0)) / 2, 5) as balanced_accuracy, "
+    "coalesce(round_even(tn / nullif(tn + fp, 0)::double, 5), 0) as specificity, round_even(coalesce(tp / nullif(tp + fn, 0)::double, 0) + coalesce(tn / nullif(tn + fp, 0)::double, 0) - 1, 5) as youden_j"
 )
 _CONFUSED = "count(*) filter (score < t and label = 0) tn, count(*) filter (score >= t and label = 0) fp, count(*) filter (score < t and label = 1) fn, count(*) filter (score >= t and label = 1) tp"
 _GRID_SQL = f"{SCORED_SQL}, gr as (select i / 100.0::double t from range(101) r(i)), cm as (select t, {_CONFUSED} from s cross join gr group by t), m as (select t as threshold, tn, fp, fn, tp, {_RATES_SQL} from cm)"
@@ -551,7 +551,7 @@ def confidence_bucket(spark, sf):
     return fixtures.scored(spark, sf).select("doc_id", metrics.confidence(p).alias("confidence"), metrics.decision(p, 0.58).alias("predicted"))
 
 
-@query(f"with {SCORED_SQL} select doc_id, 8 + score * 126 as hue, round(score * 360, 2) as angle, round(score * 100, 1) as percent from s")
+@query(f"with {SCORED_SQL} select doc_id, 8 + score * 126 as hue, round((score * 360)::varchar::decimal(24, 16), 2)::double as angle, round((score * 100)::varchar::decimal(24, 16), 1)::double as percent from s")
 def probability_display(spark, sf):
     d = metrics.display(F.col("score"))
     return fixtures.scored(spark, sf).select("doc_id", *(c.alias(n) for n, c in d.items()))
