@@ -11,7 +11,7 @@ from inkprint.functions import masking, readability, text
 from inkprint.operators import annotate, audit, metrics, model, pairwise, reduce, stats, terms
 from inkprint.plans import features, fixtures
 from inkprint.plans.fixtures import PAIRS_SQL, SCORED_SQL, english, pairs
-from inkprint.sources.tables import read_table
+from inkprint.sources.tables import read_table, shared_folder
 from inkprint.streaming.masking import masked_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,11 +237,11 @@ def mask_chain(spark, sf):
 def stream_masking(spark, sf):
     """The stateless stages over a file stream, run to its end."""
     schema = read_table(spark, sf, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*")  # a pattern, so that it may be one file or a folder
+    folder = shared_folder(spark)
     made = masked_stream(stream).select("doc_id", F.md5("text").alias("digest"))
-    running = made.writeStream.format("memory").queryName("stream_masking").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table("stream_masking")
+    made.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    return spark.read.schema("doc_id long, digest string").parquet(f"{folder}/rows")
 
 
 # ---- annotation

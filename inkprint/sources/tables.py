@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from dataclasses import asdict, is_dataclass
 from pathlib import Path
 from typing import Any
@@ -17,6 +19,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, of its own for this call; a temporary one where none is configured."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="inkprint-")
+    return f"{base.rstrip('/')}/inkprint/{uuid.uuid4().hex}"
+
+
 def load_splits(spark: SparkSession, folder: str, stem: str = "authorship_verification_{}") -> DataFrame:
     """One table from a Parquet table for each split, tagged and with a stable pair_id."""
     tagged = union_splits({s: spark.read.parquet(f"{folder}/{stem.format(s)}") for s in SPLITS})
