@@ -355,9 +355,11 @@ def group(prints: DataFrame, radius: int, banded: bool = False, least: float = 0
         dealt = shared.select("key", "fp").join(prints.groupBy("fp").agg(F.min("sketch").alias("sketch")), "fp").select("key", "fp", "sketch")
     dealt = dealt.repartition("key").sortWithinPartitions("key", "fp")
     edges = materialise(dealt.mapInArrow(_compare(radius, least), "a long, b long").distinct(), "links")
-    members = distinct.join(connected(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("top"))
-    lowest = members.groupBy("top").agg(F.min("rep").alias("root"))
-    named = members.join(lowest, "top").select("fp", "root")
+    # Tables written first: both sides of the last two joins then come straight
+    # from an exchange, where the rows of a hot fingerprint or component can be split.
+    members = materialise(distinct.join(connected(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("top")), "members")
+    lowest = materialise(members.groupBy("top").agg(F.min("rep").alias("root")), "lowest")
+    named = materialise(members.join(lowest, "top").select("fp", "root"), "named")
     return prints.select("doc_id", "fp").join(named, "fp")
 
 
