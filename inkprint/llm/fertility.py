@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from inkprint.llm.common import materialise, texts
 
 SYMBOLS = b"#*$%&|<>"
+#: Bands are broadcast up to this many languages and scripts, and joined by a shuffle beyond.
+BROADCAST_ROWS = 10_000
 METRICS = ("piece_chars", "bpe_chars", "byte_share", "entropy")
 #: UTF-8 lead bytes that start the letters of a script, in the order tried.
 SCRIPTS = {"Latn": (0x41, 0x5B, 0x61, 0x7B, 0xC3, 0xCA), "Grek": (0xCD, 0xD0), "Cyrl": (0xD0, 0xD4), "Hebr": (0xD6, 0xD8), "Arab": (0xD8, 0xDC), "Deva": (0xE0, 0xE1), "Kana": (0xE3, 0xE4), "Hani": (0xE4, 0xEA), "Hang": (0xEA, 0xEE)}
@@ -224,7 +226,8 @@ def judge(docs: DataFrame, pieces: str, ranks: str, pattern: str, limits: Bands
     An empty table gives an empty result; other columns are ignored.
     """
     rows = materialise(measured(docs, pieces, ranks, pattern).withColumn("usual", F.coalesce("lang", "script")), "measures")
-    judged = rows.join(bands(rows, limits.accuracy), "usual", "left")
+    table = materialise(bands(rows, limits.accuracy), "bands")
+    judged = rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, "usual", "left")
     wide, entropy = (limits.wide, limits.short), (limits.entropy_wide, limits.entropy_short)
     strange = (
         _outside("piece_chars", wide, limits.least, True, True)
