@@ -17,8 +17,8 @@ the corpus.  Candidates come first, without moving text:
     tree; intervals at least ``length`` deep whose occurrences differ in the
     byte to the left are the maximal repeats, each with all its occurrences.
 
-An anchor with more than ``hot`` different segments isn't gathered: its windows
-go out one by one as hashes and are counted, each a leaf interval of its own.
+An anchor found more than ``hot`` times isn't gathered: its windows go out one
+by one as hashes and are counted, each a leaf interval of its own.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkprint.llm.common import discard, materialise, texts, utf8
@@ -40,6 +40,8 @@ _WEIGHT = _RNG.integers(1, 2**63, (2, 256), dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes hashed at once; also how far positions reach in an anchor's low bits.
 SPAN = 1 << 20
+#: Parts that the rows of one segment are counted in.
+SALTS = 256
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -358,14 +360,22 @@ def repeat_ranges(docs: DataFrame, length: int = 200, gram: int = 32, hot: int =
     rows = _identified(docs.select("doc_id", "text"))
     parts = materialise(rows.select("text", "r1", "r2").mapInArrow(_find(length, gram), "r1 long, r2 long, key long, seg long, at int, lo int, n int"), "segments")
     keys = parts.groupBy("key").agg(F.count("*").alias("times"), F.min("seg").alias("one"), F.max("seg").alias("other")).where("times > 1")
-    shared = materialise(parts.join(keys.select("key", (F.col("one") == F.col("other")).alias("pure")), "key"), "shared")
+    # Written first, so that both sides of the join below come straight from an
+    # exchange, where a hot anchor's rows can be split among tasks.
+    keys = materialise(keys.select("key", "times", (F.col("one") == F.col("other")).alias("pure")), "keys")
+    shared = materialise(parts.join(keys, "key"), "shared")
     discard(parts)
-    mixed = shared.where("not pure")
-    different = mixed.groupBy("key", "seg").agg(F.count("*").alias("same"), F.min(F.struct("r1", "r2", "lo", "n")).alias("rep"))
+    # Which of the mixed segments occur again byte for byte: counted within salts
+    # first, so a segment of any number of rows is shared among tasks; then one row
+    # of each salt is counted again.
+    salted = shared.where("not pure").withColumn("salt", F.pmod("r1", F.lit(SALTS)))
+    within = Window.partitionBy("key", "seg", "salt")
+    first = materialise(salted.withColumns({"same": F.count("*").over(within), "nth": F.row_number().over(within.orderBy("r1", "r2", "lo"))}), "mixed")
+    across = Window.partitionBy("key", "seg")
+    heads = materialise(first.where("nth = 1").withColumns({"salts": F.count("*").over(across), "head": F.row_number().over(across.orderBy("salt"))}), "heads")
     whole = lambda df: df.select("r1", "r2", "lo", (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("hi"))
-    resolved = whole(shared.where("pure")).unionByName(whole(mixed.join(different.where("same > 1").select("key", "seg"), ["key", "seg"])))
-    crowd = different.groupBy("key").agg(F.count("*").alias("crowd"))
-    wanted = different.join(crowd, "key").select("rep.r1", "rep.r2", F.struct("key", "rep.lo", "rep.n", (F.col("crowd") > hot).alias("hot")).alias("w"))
+    resolved = whole(shared.where("pure")).unionByName(whole(first.where("same > 1"))).unionByName(whole(heads.where("same = 1 and salts > 1")))
+    wanted = heads.where("head = 1").select("r1", "r2", F.struct("key", "lo", "n", (F.col("times") > hot).alias("hot")).alias("w"))
     wanted = wanted.groupBy("r1", "r2").agg(F.collect_list("w").alias("wanted"))
     fetched = rows.join(wanted, ["r1", "r2"]).select("r1", "r2", "text", "wanted")
     bodies = materialise(fetched.mapInArrow(_fetch(length), "r1 long, r2 long, key long, lo int, n int, hot boolean, body binary"), "bodies")
