@@ -8,8 +8,8 @@ counts, and words in which every lane is beyond the radius are abandoned.
 Blocks come from the pigeonhole principle (exact for a small radius): of m bit
 fields at most ``radius`` can differ, so any two linked fingerprints agree on
 some m - radius fields.  Blocks that are still large are cut again on the
-fields left over, by the same principle.  For wide radii the caller gives
-block keys of its own (min-hash bands of the shingles).
+fields left over, by the same principle.  Near duplicates by similarity are
+nodes of one shingle set each, in blocks by min-hash bands of the shingles.
 """
 
 from __future__ import annotations
@@ -97,25 +97,39 @@ def similarity(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where(used == 0, 1.0, same / np.maximum(used, 1))
 
 
-def fingerprints(docs: DataFrame, width: int, band_count: int = 0, band_rows: int = 0) -> DataFrame:
-    """(doc_id, fp long, keys array<long>, sketch binary) of each document; a null text is empty.
+def fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, fp long) of each document; a null text is empty."""
 
-    Band keys and sketches are made only where ``band_count`` asks for them.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [fingerprint(shingle_hashes(text, width)) for text in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "fp"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+
+
+def signatures(docs: DataFrame, width: int, band_count: int, band_rows: int) -> DataFrame:
+    """(doc_id, node long, fp long, keys array<long>, sketch binary) of each document; a null text is empty.
+
+    ``node`` is a hash of the shingle set: rows with the same one have similarity 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, keys, sketches = [], [], []
+            nodes, prints, keys, sketches = [], [], [], []
             with np.errstate(over="ignore"):
                 for text in texts(batch.column(1)):
                     hashes = shingle_hashes(text, width)
+                    nodes.append(xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED))
                     prints.append(fingerprint(hashes))
-                    keys.append(bands(hashes, band_count, band_rows) if band_count else [])
-                    sketches.append(sketch(hashes).tobytes() if band_count else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "fp", "keys", "sketch"])
+                    keys.append(bands(hashes, band_count, band_rows))
+                    sketches.append(sketch(hashes).tobytes())
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "node", "fp", "keys", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, keys array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fp long, keys array<long>, sketch binary")
 
 
 # ---- bit-sliced comparison
@@ -255,11 +269,13 @@ def _links_large(fps: np.ndarray, radius: int, agree: Callable | None = None) ->
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def links(keys: np.ndarray, fps: np.ndarray, radius: int, sketches: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, smallest fp reached) between different fingerprints of the same key; arrays sorted by (key, fp).
+def links(keys: np.ndarray, fps: np.ndarray, radius: int, sketches: np.ndarray | None = None, least: float = 0.0, nodes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node reached) between different nodes of the same key; arrays sorted by (key, node).
 
-    With ``sketches``, a pair within the radius must also be ``least`` similar.
+    A fingerprint is its own node unless ``nodes`` are given.  With ``sketches``,
+    a pair within the radius must also be ``least`` similar.
     """
+    nodes = fps if nodes is None else nodes
     if not len(keys):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -278,23 +294,24 @@ def links(keys: np.ndarray, fps: np.ndarray, radius: int, sketches: np.ndarray |
     a, b = np.concatenate(found_a), np.concatenate(found_b)
     label = _forest(len(fps), a, b)
     moved = np.flatnonzero(label != np.arange(len(fps)))
-    moved = moved[fps[moved] != fps[label[moved]]]
-    return fps[moved], fps[label[moved]]
+    moved = moved[nodes[moved] != nodes[label[moved]]]
+    return nodes[moved], nodes[label[moved]]
 
 
 def _compare(radius: int, least: float = 0.0, run_rows: int = 1 << 17) -> Callable:
-    """Compare a partition (key, fp, sketch) sorted by (key, fp), a run of whole blocks at a time."""
+    """Compare a partition (key, fp) or (key, node, fp, sketch) sorted by its first two columns, a run of whole blocks at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def out(keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
-            table = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS) if least else None
-            a, b = links(keys, fps, radius, table, least)
+        def out(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray | None = None, sketches: np.ndarray | None = None) -> pa.RecordBatch:
+            table = None if sketches is None else np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BINS)
+            nodes, fps = nodes.view(np.uint64), (nodes if fps is None else fps).view(np.uint64)
+            a, b = links(keys, fps, radius, table, least, nodes)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)))
+            held.append(tuple(x.to_numpy(zero_copy_only=False) for x in batch.columns))
             if sum(len(x[0]) for x in held) >= run_rows:
                 joint = [np.concatenate(x) for x in zip(*held)]
                 whole = int(np.searchsorted(joint[0], joint[0][-1]))
@@ -332,34 +349,37 @@ def _finer(fp: Column, key: Column, radius: int) -> Column:
     return F.transform(pigeonhole(turned, radius, radius + 2), lambda k: F.xxhash64(key, k))
 
 
-def group(prints: DataFrame, radius: int, banded: bool = False, least: float = 0.0, large: int = LARGE) -> DataFrame:
+def _shared(blocked: DataFrame) -> DataFrame:
+    """``blocked`` with the size ``n`` of the block, without blocks of one row."""
+    sizes = blocked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return blocked.join(sizes, "key")
+
+
+def _named(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest ``rep`` reachable from each node of ``distinct`` (node, rep) over ``edges`` (a, b).
+
+    Tables are written first: both sides of the last two joins then come straight
+    from an exchange, where the rows of a hot node or component can be split.
+    """
+    members = materialise(distinct.join(connected(edges), "node", "left").select("node", "rep", F.coalesce("root", "node").alias("top")), "members")
+    lowest = materialise(members.groupBy("top").agg(F.min("rep").alias("root")), "lowest")
+    return materialise(members.join(lowest, "top").select("node", "root"), "named")
+
+
+def group(prints: DataFrame, radius: int, large: int = LARGE) -> DataFrame:
     """(doc_id, fp, root) for fingerprint rows: root is the smallest doc_id reachable over links.
 
-    Unless ``banded`` tells to use the rows' own keys, blocks come from the
-    pigeonhole principle with as many fields as the number of distinct
-    fingerprints asks for.
+    Blocks come from the pigeonhole principle with as many fields as the number
+    of distinct fingerprints asks for.
     """
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    if banded:
-        blocked = prints.select("fp", F.explode("keys").alias("key")).distinct()
-    else:
-        n = distinct.count()
-        parts = radius + (1 if n < 1 << 20 else 2 if n < 1 << 27 else 3)
-        blocked = distinct.select("fp", F.explode(pigeonhole(F.col("fp"), radius, parts)).alias("key"))
-    sizes = blocked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = blocked.join(sizes, "key")
-    if not banded:
-        finer = F.when(F.col("n") > large, _finer(F.col("fp"), F.col("key"), radius)).otherwise(F.array("key"))
-        dealt = shared.select(F.explode(finer).alias("key"), "fp", F.lit(None).cast("binary").alias("sketch"))
-    else:
-        dealt = shared.select("key", "fp").join(prints.groupBy("fp").agg(F.min("sketch").alias("sketch")), "fp").select("key", "fp", "sketch")
-    dealt = dealt.repartition("key").sortWithinPartitions("key", "fp")
-    edges = materialise(dealt.mapInArrow(_compare(radius, least), "a long, b long").distinct(), "links")
-    # Tables written first: both sides of the last two joins then come straight
-    # from an exchange, where the rows of a hot fingerprint or component can be split.
-    members = materialise(distinct.join(connected(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("top")), "members")
-    lowest = materialise(members.groupBy("top").agg(F.min("rep").alias("root")), "lowest")
-    named = materialise(members.join(lowest, "top").select("fp", "root"), "named")
+    n = distinct.count()
+    parts = radius + (1 if n < 1 << 20 else 2 if n < 1 << 27 else 3)
+    shared = _shared(distinct.select("fp", F.explode(pigeonhole(F.col("fp"), radius, parts)).alias("key")))
+    finer = F.when(F.col("n") > large, _finer(F.col("fp"), F.col("key"), radius)).otherwise(F.array("key"))
+    dealt = shared.select(F.explode(finer).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    edges = materialise(dealt.mapInArrow(_compare(radius), "a long, b long").distinct(), "links")
+    named = _named(distinct.withColumnRenamed("fp", "node"), edges).withColumnRenamed("node", "fp")
     return prints.select("doc_id", "fp").join(named, "fp")
 
 
@@ -394,6 +414,17 @@ class Similar:
     band_rows: int = 2
 
 
+def similar_groups(rows: DataFrame, similar: Similar) -> DataFrame:
+    """(doc_id, node, root) for ``rows`` (doc_id, text): root is the smallest doc_id reachable over similar texts."""
+    prints = materialise(signatures(rows, similar.width, similar.band_count, similar.band_rows), "prints")
+    distinct = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")), "nodes")
+    shared = _shared(distinct.select("node", F.explode("keys").alias("key")).distinct())
+    dealt = shared.select("key", "node").join(distinct.select("node", "fp", "sketch"), "node").select("key", "node", "fp", "sketch")
+    dealt = dealt.repartition("key").sortWithinPartitions("key", "node")
+    edges = materialise(dealt.mapInArrow(_compare(similar.radius, similar.least - similar.slack), "a long, b long").distinct(), "links")
+    return prints.select("doc_id", "node").join(_named(distinct.select("node", "rep"), edges), "node")
+
+
 def keep_one(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest doc_id, and all columns.
 
@@ -405,8 +436,7 @@ def keep_one(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
     digest = F.xxhash64(text)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.col("doc_id").cast("long"), digest).alias("k"), digest.alias("h"))
     rows = docs.select(order.alias("doc_id"), "text")
-    prints = materialise(fingerprints(rows, similar.width, similar.band_count, similar.band_rows), "prints")
-    grouped = group(prints, similar.radius, True, similar.least - similar.slack)
+    grouped = similar_groups(rows, similar)
     roots = grouped.where("doc_id = root").select(F.col("root.n").alias("_n"), F.col("root.k").alias("_k"), F.col("root.h").alias("_h")).distinct()
     named = docs.withColumns({"_n": F.col("doc_id").isNull(), "_k": F.coalesce(F.col("doc_id").cast("long"), digest), "_h": digest})
     return named.join(roots, ["_n", "_k", "_h"], "left_semi").dropDuplicates(["_n", "_k", "_h"]).select(*docs.columns)
