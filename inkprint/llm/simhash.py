@@ -112,7 +112,8 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
 def signatures(docs: DataFrame, width: int, band_count: int, band_rows: int) -> DataFrame:
     """(doc_id, node long, fp long, keys array<long>, sketch binary) of each document; a null text is empty.
 
-    ``node`` is a hash of the shingle set: rows with the same one have similarity 1.
+    All are made from distinct shingles.  ``node`` is a hash of their set: rows
+    with the same one have similarity 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +121,8 @@ def signatures(docs: DataFrame, width: int, band_count: int, band_rows: int) ->
             nodes, prints, keys, sketches = [], [], [], []
             with np.errstate(over="ignore"):
                 for text in texts(batch.column(1)):
-                    hashes = shingle_hashes(text, width)
-                    nodes.append(xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED))
+                    hashes = np.unique(shingle_hashes(text, width))
+                    nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                     prints.append(fingerprint(hashes))
                     keys.append(bands(hashes, band_count, band_rows))
                     sketches.append(sketch(hashes).tobytes())
@@ -324,6 +325,66 @@ def _compare(radius: int, least: float = 0.0, run_rows: int = 1 << 17) -> Callab
     return run
 
 
+# ---- exact similarity
+
+
+def alike(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of non-empty ``sets`` (each of distinct values) that are ``least`` similar, grown like that of a large block."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    present = np.zeros(flat.max() + 1, bool)
+    a, b = [], []
+    rest, held, starts, waiting, left = np.arange(len(sets)), flat, bounds[:-1], np.ones(len(sets), bool), len(sets)
+    for first in range(len(sets)):
+        queue = [first] if waiting[first] else []
+        left -= len(queue)
+        waiting[first] = False
+        while queue and left:
+            node = queue.pop()
+            if 2 * left < len(rest):
+                rest = rest[waiting[rest]]
+                held = np.concatenate([flat[bounds[i] : bounds[i + 1]] for i in rest])
+                starts = np.concatenate(([0], np.cumsum(sizes[rest])[:-1]))
+            own = flat[bounds[node] : bounds[node + 1]]
+            present[own] = True
+            both = np.add.reduceat(present[held], starts, dtype=np.int64)
+            present[own] = False
+            hit = rest[waiting[rest] & (both / (sizes[rest] + sizes[node] - both) >= least)]
+            a.append(np.full(len(hit), node))
+            b.append(hit)
+            queue += hit.tolist()
+            waiting[hit] = False
+            left -= len(hit)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _decide(width: int, least: float) -> Callable:
+    """Links among the texts of each component in a partition (top, node, text) sorted by (top, node), one component at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets = None, [], []
+
+        def out() -> pa.RecordBatch:
+            a, b = alike(sets, least) if len(sets) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            named = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(named[a]), pa.array(named[b])], ["a", "b"])
+
+        for batch in batches:
+            for top, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
+                if top != now:
+                    if nodes:
+                        yield out()
+                    now, nodes, sets = top, [], []
+                if not nodes or nodes[-1] != node:  # rows equal in id and text come more than once
+                    nodes.append(node)
+                    sets.append(np.unique(shingle_hashes(text, width)))
+        if nodes:
+            yield out()
+
+    return run
+
+
 # ---- blocks
 
 
@@ -400,28 +461,38 @@ class Similar:
     """Near duplicates as texts whose ``width``-word shingle sets have a similarity of ``least`` or more.
 
     Two sets of similarity s share one of ``band_count`` keys with probability
-    1 - (1 - s**band_rows)**band_count, over 0.999 at 0.8.  Fingerprints of such
-    a pair are about 10 bits apart; ``radius`` lies two deviations above.  The
-    sketch then estimates the similarity with a deviation of 0.025 at 0.8;
-    ``slack`` is taken off ``least`` so that pairs at the limit are linked.
+    1 - (1 - s**band_rows)**band_count, all but 5e-6 at 0.8.  Fingerprints of
+    such a pair are about 10 bits apart with a deviation of 3, sketches estimate
+    its similarity with one of 0.025; ``radius`` and ``least - slack`` lie over
+    five deviations off, so these two only spare work.  What they leave is
+    decided on the shingle sets themselves.
     """
 
     width: int = 5
     least: float = 0.8
-    slack: float = 0.03
-    radius: int = 16
-    band_count: int = 8
+    slack: float = 0.15
+    radius: int = 26
+    band_count: int = 12
     band_rows: int = 2
 
 
 def similar_groups(rows: DataFrame, similar: Similar) -> DataFrame:
-    """(doc_id, node, root) for ``rows`` (doc_id, text): root is the smallest doc_id reachable over similar texts."""
+    """(doc_id, node, root) for ``rows`` (doc_id, text): root is the smallest doc_id reachable over similar texts.
+
+    Blocks find components of pairs that may be similar; in each of them all
+    pairs count by their exact similarity.
+    """
     prints = materialise(signatures(rows, similar.width, similar.band_count, similar.band_rows), "prints")
     distinct = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")), "nodes")
     shared = _shared(distinct.select("node", F.explode("keys").alias("key")).distinct())
     dealt = shared.select("key", "node").join(distinct.select("node", "fp", "sketch"), "node").select("key", "node", "fp", "sketch")
     dealt = dealt.repartition("key").sortWithinPartitions("key", "node")
-    edges = materialise(dealt.mapInArrow(_compare(similar.radius, similar.least - similar.slack), "a long, b long").distinct(), "links")
+    loose = materialise(dealt.mapInArrow(_compare(similar.radius, similar.least - similar.slack), "a long, b long").distinct(), "loose")
+    pieces = materialise(connected(loose).select("node", F.col("root").alias("top")), "pieces")
+    pieces = pieces.unionByName(pieces.select(F.col("top").alias("node"), "top").distinct())
+    met = pieces.join(distinct.select("node", F.col("rep").alias("doc_id")), "node")
+    sets = rows.join(met, "doc_id").select("top", "node", "text").repartition("top").sortWithinPartitions("top", "node")
+    edges = materialise(sets.mapInArrow(_decide(similar.width, similar.least), "a long, b long"), "links")
     return prints.select("doc_id", "node").join(_named(distinct.select("node", "rep"), edges), "node")
 
 
