@@ -397,9 +397,14 @@ def chargram_vocab(spark, sf):
     return _rounded(terms.vocabulary(_gram_counts(spark, sf), _english_count(spark, sf), config), 6)
 
 
-def _gram_weights(spark, sf) -> DataFrame:
+@query(SQL["chargram_vocab"].replace("limit 2000)", "limit 50000)"))
+def chargram_vocab_full(spark, sf):
+    return _rounded(terms.vocabulary(_gram_counts(spark, sf), _english_count(spark, sf), terms.CHARS), 6)
+
+
+def _gram_weights(spark, sf, config=terms.TermConfig("char_ngrams", max_features=2000)) -> DataFrame:
     counts = _gram_counts(spark, sf).persist()
-    vocab = terms.vocabulary(counts, _english_count(spark, sf), terms.TermConfig("char_ngrams", max_features=2000))
+    vocab = terms.vocabulary(counts, _english_count(spark, sf), config)
     return terms.tfidf(counts, vocab, ["doc_id"])
 
 
@@ -416,6 +421,16 @@ def density_stats(spark, sf):
     return _rounded(terms.density(english(spark, sf), _gram_weights(spark, sf), ["doc_id"]), 3)
 
 
+@query(SQL["chargram_tfidf"].replace("limit 2000)", "limit 50000)"))
+def chargram_tfidf_full(spark, sf):
+    return _rounded(_gram_weights(spark, sf, terms.CHARS).select("doc_id", "term_idx", "weight"), 5)
+
+
+@query(SQL["density_stats"].replace("limit 2000)", "limit 50000)"))
+def density_stats_full(spark, sf):
+    return _rounded(terms.density(english(spark, sf), _gram_weights(spark, sf, terms.CHARS), ["doc_id"]), 3)
+
+
 @query(
     f"with {_WORD_TOKENS}, s as (select doc_id, i, pos p0, lead(pos) over w p1, lead(pos, 2) over w p2 from g window w as (partition by doc_id order by i)), "
     "every as (select doc_id, p0 || ' ' || p1 term from s where p1 is not null union all select doc_id, p0 || ' ' || p1 || ' ' || p2 from s where p2 is not null) "
@@ -444,9 +459,9 @@ def readability_indices(spark, sf):
 # ---- pairs
 
 
-def _pair_weights(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _pair_weights(spark, sf, *config) -> tuple[DataFrame, DataFrame]:
     """Pairs of neighbours by id, and the weights of both sides' character grams."""
-    weights = _gram_weights(spark, sf).withColumn("family", F.lit("char_ngrams")).persist()
+    weights = _gram_weights(spark, sf, *config).withColumn("family", F.lit("char_ngrams")).persist()
     ids = english(spark, sf).select("doc_id")
     met = ids.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other")).join(ids, "doc_id")
     long = met.select(F.col("doc_id").alias("pair_id"), F.explode(F.array(F.struct(F.lit("text1").alias("side"), F.col("doc_id").alias("d")), F.struct(F.lit("text2").alias("side"), F.col("other").alias("d")))).alias("s"))
@@ -458,14 +473,24 @@ _SIDED = f"{_GRAM_WEIGHTS}, en as (select doc_id from documents where lang = 'en
 
 
 @query(f"with {_SIDED} select pair_id, count(*) as terms, round(sum(abs(a - b)), 4) as abs_diff, round(sum(a * b), 4) as product from al group by pair_id")
-def pair_local(spark, sf):
-    made = pairwise.local(_pair_weights(spark, sf)[1])
+def pair_local(spark, sf, *config):
+    made = pairwise.local(_pair_weights(spark, sf, *config)[1])
     return _rounded(made.groupBy("pair_id").agg(F.count("*").alias("terms"), F.sum("abs_diff").alias("abs_diff"), F.sum("product").alias("product")), 4)
 
 
 @query(f"with {_SIDED} select pair_id, 'char_ngrams' as family, round(coalesce(sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0), 0), 4) as cosine, round(sum(abs(a - b)), 4) as l1, round(sqrt(sum((a - b) * (a - b))), 4) as l2 from al group by pair_id")
-def pair_global(spark, sf):
-    return _rounded(pairwise.global_features(_pair_weights(spark, sf)[1]), 4)
+def pair_global(spark, sf, *config):
+    return _rounded(pairwise.global_features(_pair_weights(spark, sf, *config)[1]), 4)
+
+
+@query(SQL["pair_local"].replace("limit 2000)", "limit 50000)"))
+def pair_local_full(spark, sf):
+    return pair_local(spark, sf, terms.CHARS)
+
+
+@query(SQL["pair_global"].replace("limit 2000)", "limit 50000)"))
+def pair_global_full(spark, sf):
+    return pair_global(spark, sf, terms.CHARS)
 
 
 @query(
