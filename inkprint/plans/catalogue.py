@@ -157,6 +157,12 @@ def norm_chain(spark, sf):
     return clean.select("doc_id", F.md5(text.tidy(_dirty())).alias("digest"))
 
 
+@query()
+def norm_chain_full(spark, sf):
+    """The chain over all English documents, spans of formulas included; RE2 can't express these."""
+    return english(spark, sf).select("doc_id", F.md5(text.tidy(_dirty())).alias("digest"))
+
+
 _MATH = {
     r"$\alpha$": "alpha", r"$x^2 + y^2 = z^2$": "<MATH>", "costs $5 and then $6 more": "costs <MATH>6 more", r"$$ \varphi $$ and \(\Omega\) or \[a+b\]": "phi and omega or <MATH>",
     r"escaped \$5 and $6": r"escaped \$5 and $6", r"$\unknown$": "<MATH>", "": "", "no math": "no math",
