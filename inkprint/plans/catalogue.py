@@ -122,6 +122,17 @@ def length_histogram(spark, sf):
     return audit.histogram(read_table(spark, sf, "documents"), F.length("text"), 0, 10_000, 50)
 
 
+@query(
+    f"with w as (select {_n_words("coalesce(text, '')")}::double x from documents), r as (select min(x) lo, greatest(max(x), min(x) + 1) hi from w) "
+    "select least(floor((x - lo) / ((hi - lo) / 50)), 49)::int as bin, count(*) as n from w cross join r group by bin"
+)
+def word_count_histogram(spark, sf):
+    """50 bins from the smallest to the largest count."""
+    docs, count = read_table(spark, sf, "documents"), text.word_count(text.coerce(F.col("text")))
+    low, high = docs.agg(F.min(count), F.max(count)).first()
+    return audit.histogram(docs, count, low or 0, max(high or 0, (low or 0) + 1), 50)
+
+
 # ---- normalisation; the inputs are documents with the characters in question put in
 
 _DIRTY = "concat(chr(8220), replace(replace(text, '. ', concat('. ', chr(9), chr(13), chr(10), '  ')), 'a', concat('a', chr(1))), chr(8217), chr(8211), '  ', chr(10), chr(10), chr(10), chr(10), '-', chr(13))"
