@@ -454,9 +454,22 @@ def density_stats_full(spark, sf):
     "select term, count(distinct doc_id) as df, count(*) as tf from every group by term"
 )
 def pos_ngrams(spark, sf):
+    return _pos_counts(spark, sf).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+def _pos_counts(spark, sf) -> DataFrame:
     made = fixtures.word_records(english(spark, sf))
-    counts = terms.term_counts(made, terms.ngrams(terms.pos_sequence(F.col("tokens")), 2, 3), ["doc_id"])
-    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return terms.term_counts(made, terms.ngrams(terms.pos_sequence(F.col("tokens")), 2, 3), ["doc_id"])
+
+
+_POS_EVERY = SQL["pos_ngrams"].rpartition(" select term, count(distinct doc_id)")[0]
+
+
+@query(f"{_POS_EVERY}, c as (select doc_id, term, count(*) tf from every group by all), {_vocab_sql(5000)}, {_WEIGHTS} select doc_id, term_idx, round(weight, 5) as weight from x")
+def pos_tfidf(spark, sf):
+    counts = _pos_counts(spark, sf)
+    made = terms.tfidf(counts, terms.vocabulary(counts, _english_count(spark, sf), terms.POS), ["doc_id"])
+    return _rounded(made.select("doc_id", "term_idx", "weight"), 5)
 
 
 @query(
