@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 from dataclasses import asdict, is_dataclass
+from functools import lru_cache
 from pathlib import Path
 from typing import Any
 
@@ -19,10 +20,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="inkprint-")
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a local session gets a temporary folder; a cluster
+    raises, as each executor would write to a disk of its own.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_folder()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, of its own for this call; a temporary one where none is configured."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="inkprint-")
-    return f"{base.rstrip('/')}/inkprint/{uuid.uuid4().hex}"
+    """A folder of its own for this call in the shared one."""
+    return f"{shared_base(spark)}/inkprint/{uuid.uuid4().hex}"
 
 
 def load_splits(spark: SparkSession, folder: str, stem: str = "authorship_verification_{}") -> DataFrame:
