@@ -1,12 +1,19 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
-Each component of a block of vectors is one sorted list.  The lists are read
-from their best end (the top for a positive query weight, the bottom for a
-negative one) in lockstep to growing depths.  What has been read gives every
-vector a lower and an upper bound: an unread component lies between the list's
-far end and the frontier.  A vector whose upper bound is under the k-th lower
-bound can't qualify; reading stops once few are left, and those are resolved
-to final scores.  All bounds are integers held in float64, so they are exact.
+Each component of a block of vectors is one list of (value, vector), sorted by
+value.  For a query a list's entry is worth weight times value; it is read in
+order from its best end, the top for a positive weight and the bottom for a
+negative one.  What has been read of a vector adds up to a partial score; an
+entry not yet read is worth no more than the list's frontier and no less than
+its far end, which gives each vector an upper and a lower bound.
+
+Lists are advanced in small steps, the ones with the widest gap between
+frontier and far end first, so lists that can't change the order are left for
+last.  A vector whose upper bound is under the k-th lower bound can't qualify
+any more and is dropped; vectors never met have the sum of the frontiers as
+upper bound.  Once few are left, reading goes on for these alone until their
+scores are final.  No list is ever entered at a vector's place.  All bounds are
+integers held in float64, so they are exact.
 
 Queries and vectors are cut into blocks of bounded size and meet block by
 block; each meeting keeps k rows a query, and a partial rank limit goes before
@@ -17,17 +24,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEPTHS = (0.125, 0.5, 1.0)
-#: Queries whose bounds are held at once; memory is this times the block size.
-LANES = 64
-#: Reading stops when this share of the block can still qualify.
-FEW = 0.02
+#: A list is read in this many steps, and a round advances one in so many of the lists.
+STEPS = 8
+SHARE = 8
+#: Bounds are looked at again once the sum of the gaps has shrunk to this share.
+SHRUNK = 0.9
 
 
 def integers(vector: str, scale: int = 1024) -> str:
@@ -40,42 +48,102 @@ def usable(vector: str) -> str:
     return f"{vector} is not null and forall({vector}, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('infinity'))"
 
 
-def bounds(lists: np.ndarray, block: np.ndarray, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper scores (queries x vectors) once ``depth`` entries of each list are read."""
-    n = len(block)
-    high, low, top, bottom = lists[n - depth], lists[depth - 1], lists[-1], lists[0]
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    read_up, read_down = block >= high, block <= low
-    upper = up @ np.where(read_up, block, high).T + down @ np.where(read_down, block, low).T
-    if depth == n:
-        return upper, upper
-    return up @ np.where(read_up, block, bottom).T + down @ np.where(read_down, block, top).T, upper
-
-
-def aggregate_block(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per query: (repeated query id, vector ids, scores) of its k best in this block, best first."""
-    n, found = len(block), []
-    lists = np.sort(block, axis=0)
-    for start in range(0, len(queries), LANES):
-        lane_ids, lane = query_ids[start : start + LANES], queries[start : start + LANES]
-        left = np.arange(len(lane))
-        for share in DEPTHS:
-            depth = n if share == 1.0 else max(1, math.ceil(n * share))
-            lower, upper = bounds(lists, block, lane[left], depth)
-            own = lane_ids[left][:, None] == ids[None, :]
-            lower, upper = np.where(own, -np.inf, lower), np.where(own, -np.inf, upper)
-            floor = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(left), -np.inf)
-            open_ = (upper >= floor[:, None]) & ~own
-            done = (open_.sum(axis=1) <= max(4 * k, FEW * n)) | (depth == n)
-            for row in np.flatnonzero(done):
-                c = np.flatnonzero(open_[row])
-                score = block[c] @ lane[left[row]]
-                order = np.lexsort((ids[c], -score))[:k]
-                found.append((np.full(len(order), lane_ids[left[row]]), ids[c][order], score[order]))
-            left = left[~done]
-            if not len(left):
-                break
-    return found
+@dataclass
+class Lists:
+    """Sorted lists of a block: entry i of list j is vector ``who[j, i]`` with value ``value[j, i]``, ascending."""
+
+    who: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, block: np.ndarray) -> Lists:
+        columns = np.ascontiguousarray(block.T)
+        who = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
+        return cls(who, np.take_along_axis(columns, who, axis=1))
+
+
+class Reader:
+    """Reads the lists for one query; ``read`` counts the entries read, ``decided`` those until few vectors were left."""
+
+    def __init__(self, lists: Lists, weights: np.ndarray):
+        self.lists, self.weights = lists, weights
+        self.width, self.n = lists.who.shape
+        rising = weights < 0
+        self.rising = rising.tolist()
+        self.far = weights * np.where(rising, lists.value[:, -1], lists.value[:, 0])
+        self.frontier = weights * np.where(rising, lists.value[:, 0], lists.value[:, -1])
+        self.depth = np.zeros(self.width, np.int64)
+        self.partial = np.zeros(self.n)
+        #: Vectors that can still qualify, their place in ``unread``, and which of their entries weren't read.
+        self.alive = np.arange(self.n)
+        self.place = np.arange(self.n)
+        self.unread = np.ones((self.n, self.width))
+        self.read = self.decided = 0
+
+    def advance(self, j: int, entries: int) -> None:
+        """Read list ``j`` on by so many entries, in order."""
+        a, b = int(self.depth[j]), min(self.n, int(self.depth[j]) + entries)
+        part = slice(a, b) if self.rising[j] else slice(self.n - b, self.n - a)
+        who, worth = self.lists.who[j, part], self.weights[j] * self.lists.value[j, part]
+        self.partial[who] += worth
+        at = self.place[who]
+        self.unread[at[at >= 0], j] = 0.0
+        self.depth[j], self.read = b, self.read + b - a
+        self.frontier[j] = worth[-1] if self.rising[j] else worth[0]
+
+    def round(self) -> bool:
+        """Advance the lists of widest gap by a step; false once all are at their end."""
+        open_ = np.flatnonzero(self.depth < self.n)
+        gap = self.frontier[open_] - self.far[open_]
+        step = -(-self.n // STEPS)
+        for j in open_[np.argsort(-gap, kind="stable")][: max(1, self.width // SHARE)].tolist():
+            self.advance(j, step)
+        return len(open_) > 0
+
+    def gap(self) -> float:
+        """How far the bounds of a vector not met yet are apart."""
+        return float((self.frontier - self.far)[self.depth < self.n].sum())
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bound of the score of each vector alive."""
+        return tuple(self.partial[self.alive][:, None].T + (self.unread @ np.column_stack((self.far, self.frontier))).T)
+
+    def keep(self, chosen: np.ndarray) -> None:
+        """Go on with the chosen ones of the vectors alive."""
+        self.alive, self.unread = self.alive[chosen], self.unread[chosen]
+        self.place = np.full(self.n, -1)
+        self.place[self.alive] = np.arange(len(self.alive))
+
+    def best(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indices and final scores of all vectors that may be among the ``k`` best: ``k`` at least, unless there are fewer."""
+        seen = math.inf
+        while len(self.alive) > 4 * k and self.round():
+            if (gap := self.gap()) > SHRUNK * seen:
+                continue
+            seen = gap
+            lower, upper = self.bounds()
+            floor = np.partition(lower, len(lower) - k)[len(lower) - k]
+            chosen = upper >= floor
+            if chosen.sum() < 0.7 * len(chosen) or chosen.sum() <= 4 * k:
+                self.keep(chosen)
+        self.decided = self.read
+        for j in np.flatnonzero(self.depth < self.n).tolist():
+            while self.unread[:, j].any():
+                self.advance(j, -(-self.n // (4 * STEPS)))
+        return self.alive, self.partial[self.alive]
+
+
+def aggregate_block(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, tuple[float, float]]]:
+    """Per query: (repeated query id, vector ids, scores) of its k best in this block, best first, and the shares of all entries that were read: until few vectors were left, and in all."""
+    lists = Lists.of(block)
+    for query_id, weights in zip(query_ids.tolist(), queries):
+        reader = Reader(lists, weights)
+        others = ids != query_id
+        if not others.all():
+            reader.keep(others)
+        at, score = reader.best(k)
+        order = np.lexsort((ids[at], -score))[:k]
+        yield np.full(len(order), query_id), ids[at][order], score[order], (reader.decided / block.size, reader.read / block.size)
 
 
 def _matrix(rows: list, width: int) -> np.ndarray:
@@ -85,46 +153,49 @@ def _matrix(rows: list, width: int) -> np.ndarray:
     return out
 
 
-def _exact(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _exact(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For components too large for float64: arithmetic on Python integers, kept within 64 bits at the end."""
-    found, limit = [], 2**63
+    limit = 2**63
     for q, w in zip(queries["vec_id"], queries["v"]):
         scored = sorted(((-max(-limit, min(limit - 1, sum(int(a) * int(b) for a, b in zip(v, w)))), i) for i, v in zip(vectors["vec_id"], vectors["v"]) if i != q))[:k]
-        found.append((np.full(len(scored), q), np.array([i for _, i in scored], np.int64), np.array([-s for s, _ in scored], np.int64)))
-    return found
+        yield np.full(len(scored), q), np.array([i for _, i in scored], np.int64), np.array([-s for s, _ in scored], np.int64)
 
 
 def _meet(k: int):
     def meet(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        names = ("query_id", "vec_id", "score")
         if not len(queries) or not len(vectors):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            return pd.DataFrame({name: [] for name in names}, dtype="int64")
         width = max(1, *(len(v) for v in vectors["v"]), *(len(v) for v in queries["v"]))
         block, asked = _matrix(list(vectors["v"]), width), _matrix(list(queries["v"]), width)
-        if np.abs(block).max() * np.abs(asked).max() * width < 2**52:
-            found = aggregate_block(vectors["vec_id"].to_numpy(), block, queries["vec_id"].to_numpy(), asked, k)
+        if np.abs(block).max() * np.abs(asked).max() * width < 2**51:
+            found = list(aggregate_block(vectors["vec_id"].to_numpy(), block, queries["vec_id"].to_numpy(), asked, k))
         else:
-            found = _exact(vectors, queries, k)
-        return pd.DataFrame({name: np.concatenate([x[i] for x in found]).astype("int64") for i, name in enumerate(("query_id", "vec_id", "score"))})
+            found = list(_exact(vectors, queries, k))
+        return pd.DataFrame({name: np.concatenate([x[i] for x in found]).astype("int64") for i, name in enumerate(names)})
 
     return meet
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 8192, asked: int = 1024) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 8192, asked: int = 4096) -> DataFrame:
     """The ``k`` best of ``vectors`` for each row of ``queries`` (both: vec_id, embedding).
 
     Returns query_id, rank, vec_id, score; ties go to the smaller vec_id.  A
     query never meets rows of its own id.  Null ids, null vectors and vectors
-    with a null or non-finite component take no part.  Shorter vectors count as
-    padded with zeros.  Repeated candidate rows each take a rank; repeated
+    with a null or non-finite component take no part.  Shorter vectors, however
+    long the longest, count as padded with zeros.  Repeated candidate rows each
+    take a rank (``k`` copies are all that can, so no more are sent); repeated
     query rows are asked once.  Fewer than k candidates give fewer rows, an
-    empty table none.  Other columns are ignored.
+    empty table none.  Other columns, whatever their names, are ignored.
     """
     whole = lambda df: df.where(f"vec_id is not null and {usable('embedding')}").selectExpr("cast(vec_id as bigint) as vec_id", f"{integers('embedding')} as v")
-    rows, wanted = whole(vectors), whole(queries).dropDuplicates(["vec_id", "v"])
+    copies = whole(vectors).groupBy("vec_id", "v").agg(F.count("*").alias("n"))
+    rows = copies.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("copy")).drop("copy")
+    wanted = whole(queries).dropDuplicates(["vec_id", "v"])
     blocks = max(1, math.ceil(vectors.count() / block))
     asks = max(1, math.ceil(queries.count() / asked))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
-    wanted = wanted.withColumn("ask", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(asks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
+    wanted = wanted.withColumn("ask", F.pmod(F.xxhash64("vec_id", "v", F.lit(2)), F.lit(asks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = wanted.groupBy("ask", "block").cogroup(rows.groupBy("ask", "block")).applyInPandas(_meet(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
