@@ -8,17 +8,20 @@ the corpus.  Candidates come first, without moving text:
     window's bytes alone, so equal windows have equal anchors at equal offsets.
     Consecutive windows with one anchor make a segment; a document is cut into
     about one segment every ``(length - gram) / 2`` bytes.
-2.  A segment whose anchor hash occurs once is new text.  A segment that occurs
-    again byte for byte is a repeat as a whole.  What is left are segments that
-    share the anchor but differ somewhere: only of these is text moved, one
-    representative for each different segment.
-3.  Segments of an anchor meet in one batch.  A suffix array with common-prefix
-    lengths is built over them; a stack scan of the lengths walks the interval
-    tree; intervals at least ``length`` deep whose occurrences differ in the
-    byte to the left are the maximal repeats, each with all its occurrences.
-
-An anchor found more than ``hot`` times isn't gathered: its windows go out one
-by one as hashes and are counted, each a leaf interval of its own.
+2.  A segment whose anchor hash occurs once is new text.  Of all others one
+    representative for each different segment is fetched, with the number of
+    places where it occurs; only of these is text moved.
+3.  Segments of an anchor meet in one batch, one that occurs in several places
+    beside a twin of itself.  A suffix array with common-prefix lengths is built
+    over them; a stack scan of the lengths walks the interval tree; intervals at
+    least ``length`` deep whose occurrences differ in the byte to the left are
+    the maximal repeats, each with all its occurrences.  What is removed comes
+    from these: at the representative's place, or at all places of a segment
+    that occurs more than once.
+
+An anchor whose different segments have more than ``group_bytes`` isn't
+gathered: the windows of its segments go out one by one as hashes and are
+counted, each a leaf interval of its own.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from inkprint.llm.common import discard, materialise, texts, utf8
 
@@ -42,6 +46,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 SPAN = 1 << 20
 #: Parts that the rows of one segment are counted in.
 SALTS = 256
+#: Segments of one anchor are compared in one task up to so many bytes: its suffix array takes about 80 times as much.
+GROUP_BYTES = 2 << 20
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -155,12 +161,12 @@ def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     Doubling ends once all ranks differ; ``depth`` bounds how far lengths are told apart.
     """
     n = len(symbols)
-    ranks = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)]
+    ranks = [np.unique(symbols, return_inverse=True)[1].astype(np.int32)]
     width = 1
     while ranks[-1].max(initial=0) + 1 < n and width < depth:
-        after = np.full(n, -1, np.int64)
-        after[: n - width] = ranks[-1][width:]
-        ranks.append(np.unique(ranks[-1] * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64))
+        after = np.zeros(n, np.int64)
+        after[: n - width] = ranks[-1][width:] + 1
+        ranks.append(np.unique(ranks[-1] * np.int64(n + 1) + after, return_inverse=True)[1].astype(np.int32))
         width *= 2
     sa = np.argsort(ranks[-1], kind="stable")
     lcp = np.zeros(n, np.int64)
@@ -235,32 +241,18 @@ def _scan(strings: list[bytes], least: int) -> Iterator[tuple[int, int, int, np.
         yield depth, first, last, owner, offset
 
 
-def covered(strings: list[bytes], counts: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
-    """Byte ranges of each segment that repeats of ``length`` bytes or more among all of them cover.
+def covered(strings: list[bytes], times: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
+    """Byte ranges of each segment that the maximal repeats of ``length`` bytes or more among all of them cover.
 
-    Only windows whose hash occurs again can be part of one, so the suffix array
-    is built over the stretches of such windows.
+    ``times[i]`` is the number of places where segment i occurs; with more than
+    one it is met by a twin of itself.
     """
     found: list[list[tuple[int, int]]] = [[] for _ in strings]
-    sizes = np.array([len(s) for s in strings], np.int64)
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    row = np.repeat(np.arange(len(sizes)), counts)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    with np.errstate(over="ignore"):
-        start = bounds[row] + at
-        hashes = Rolling(data, 0).hash(start, start + length)
-    _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
-    again = np.flatnonzero(times[back] > 1)
-    if not len(again):
-        return found
-    cut = np.concatenate(([True], (np.diff(again) > 1) | (np.diff(row[again]) > 0)))
-    heads, tails = again[cut], again[np.concatenate((cut[1:], [True]))]
-    stretches = [strings[r][a : b + length] for r, a, b in zip(row[heads].tolist(), at[heads].tolist(), at[tails].tolist())]
-    for depth, first, last, owner, offset in _scan(stretches, length):
-        for o, s in set(zip(owner[first : last + 1].tolist(), offset[first : last + 1].tolist())):
-            begin = int(at[heads[o]]) + s
-            found[int(row[heads[o]])].append((begin, begin + depth))
+    twins = np.flatnonzero(times > 1).tolist()
+    of = [*range(len(strings)), *twins]
+    for depth, first, last, owner, offset in _scan(strings + [strings[i] for i in twins], length):
+        for o, at in zip(owner[first : last + 1].tolist(), offset[first : last + 1].tolist()):
+            found[of[o]].append((at, at + depth))
     return [_merged(x) for x in found]
 
 
@@ -274,20 +266,29 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: A segment's representative: its anchor, its hash, one place of it, the number of places.
+_HEAD = {"key": "long", "seg": "long", "r1": "long", "r2": "long", "lo": "int", "n": "int", "total": "long"}
+_FOUND = "key long, seg long, total long, r1 long, r2 long, lo int, hi int"
+
+
+def _found(table: pa.Table, which: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """Ranges lo-hi of the segments in the rows ``which`` of ``table``."""
+    taken = [pa.array(table.column(c).to_numpy()[which]) for c in ("key", "seg", "total", "r1", "r2")]
+    return pa.RecordBatch.from_arrays([*taken, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["key", "seg", "total", "r1", "r2", "lo", "hi"])
+
+
 def _compare(length: int, batch_bytes: int = 1 << 19) -> Callable:
-    """Scan a partition sorted by key, whole keys at a time: (r1, r2, lo, hi) of what is covered."""
+    """Scan a partition sorted by key, whole keys at a time, for what is covered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def out(table: pa.Table) -> pa.RecordBatch:
-            rows = table.num_rows
-            lo, n = (table.column(c).to_numpy() for c in ("lo", "n"))
-            ranges = covered(list(texts(table.column("body"))), n.astype(np.int64), length)
-            which = np.repeat(np.arange(rows), [len(x) for x in ranges])
+            ranges = covered(list(texts(table.column("body"))), table.column("total").to_numpy(), length)
+            which = np.repeat(np.arange(table.num_rows), [len(x) for x in ranges])
             flat = np.array([y for x in ranges for y in x], np.int64).reshape(-1, 2)
-            columns = [table.column("r1").to_numpy()[which], table.column("r2").to_numpy()[which], (lo[which] + flat[:, 0]).astype(np.int32), (lo[which] + flat[:, 1]).astype(np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["r1", "r2", "lo", "hi"])
+            base = table.column("lo").to_numpy()[which]
+            return _found(table, which, base + flat[:, 0], base + flat[:, 1])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -308,41 +309,41 @@ def _compare(length: int, batch_bytes: int = 1 << 19) -> Callable:
 
 def _fetch(length: int) -> Callable:
     """Cut the wanted segments out of their texts."""
+    names = [*_HEAD, "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(3)
+            wanted = batch.column(1)
             flat = wanted.flatten()
-            per = np.diff(wanted.offsets.to_numpy())
-            which = np.repeat(np.arange(batch.num_rows), per)
-            fields = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("key", "lo", "n", "hot")]
-            lo, n = fields[1], fields[2]
-            bodies, view, own = [], list(texts(batch.column(2))), which.tolist()
-            for i, (r, a, m) in enumerate(zip(own, lo.tolist(), n.tolist())):
+            own = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy())).tolist()
+            lo, n = (flat.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("lo", "n"))
+            bodies, view = [], list(texts(batch.column(0)))
+            for i, (r, a, m) in enumerate(zip(own, lo, n)):
                 bodies.append(view[r][a : a + m + length - 1])
                 if len(bodies) == 4096 or i + 1 == len(own):
-                    part = slice(i + 1 - len(bodies), i + 1)
-                    names = [batch.column(c).to_numpy(zero_copy_only=False)[which[part]] for c in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*names, *(f[part] for f in fields))] + [pa.array(bodies, pa.binary())], ["r1", "r2", "key", "lo", "n", "hot", "body"])
+                    first = i + 1 - len(bodies)
+                    yield pa.RecordBatch.from_arrays([flat.field(c).slice(first, len(bodies)) for c in names] + [pa.array(bodies, pa.binary())], [*names, "body"])
                     bodies = []
 
     return run
 
 
 def _windows(length: int) -> Callable:
-    """Hash every window of the segments of hot anchors."""
+    """Hash every window of the segments of wide anchors: the columns of what is found, and two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = utf8(batch.column(3))
-            n = batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
+            table = pa.Table.from_batches([batch])
+            data, bounds = utf8(table.column("body"))
+            n = table.column("n").to_numpy().astype(np.int64)
             row = np.repeat(np.arange(len(n)), n)
             at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             start = bounds[row] + at
             with np.errstate(over="ignore"):
-                a, b = (Rolling(data, w).hash(start, start + length).view(np.int64) for w in (0, 1))
-            r1, r2, lo = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (r1, r2, (lo + at).astype(np.int32), a, b)], ["r1", "r2", "lo", "w1", "w2"])
+                hashes = [pa.array(Rolling(data, w).hash(start, start + length).view(np.int64)) for w in (0, 1)]
+            lo = table.column("lo").to_numpy()[row] + at
+            made = _found(table, row, lo, lo + length)
+            yield pa.RecordBatch.from_arrays([*made.columns, *hashes], [*made.schema.names, "w1", "w2"])
 
     return run
 
@@ -355,36 +356,38 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.withColumn("r1", F.xxhash64("doc_id", "text")).withColumn("r2", F.xxhash64(F.lit(1), "text"))
 
 
-def repeat_ranges(docs: DataFrame, length: int = 200, gram: int = 32, hot: int = 100_000) -> DataFrame:
+def repeat_ranges(docs: DataFrame, length: int = 200, gram: int = 32, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(r1, r2, lo, hi): byte ranges of rows covered by strings of ``length`` bytes that also start elsewhere."""
     rows = _identified(docs.select("doc_id", "text"))
     parts = materialise(rows.select("text", "r1", "r2").mapInArrow(_find(length, gram), "r1 long, r2 long, key long, seg long, at int, lo int, n int"), "segments")
-    keys = parts.groupBy("key").agg(F.count("*").alias("times"), F.min("seg").alias("one"), F.max("seg").alias("other")).where("times > 1")
     # Written first, so that both sides of the join below come straight from an
     # exchange, where a hot anchor's rows can be split among tasks.
-    keys = materialise(keys.select("key", "times", (F.col("one") == F.col("other")).alias("pure")), "keys")
-    shared = materialise(parts.join(keys, "key"), "shared")
-    discard(parts)
-    # Which of the mixed segments occur again byte for byte: counted within salts
-    # first, so a segment of any number of rows is shared among tasks; then one row
-    # of each salt is counted again.
-    salted = shared.where("not pure").withColumn("salt", F.pmod("r1", F.lit(SALTS)))
+    keys = materialise(parts.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "keys")
+    # One row of each segment: counted within salts first, so a segment of any
+    # number of rows is shared among tasks.
+    salted = parts.join(keys, "key").withColumn("salt", F.pmod("r1", F.lit(SALTS)))
     within = Window.partitionBy("key", "seg", "salt")
-    first = materialise(salted.withColumns({"same": F.count("*").over(within), "nth": F.row_number().over(within.orderBy("r1", "r2", "lo"))}), "mixed")
-    across = Window.partitionBy("key", "seg")
-    heads = materialise(first.where("nth = 1").withColumns({"salts": F.count("*").over(across), "head": F.row_number().over(across.orderBy("salt"))}), "heads")
-    whole = lambda df: df.select("r1", "r2", "lo", (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("hi"))
-    resolved = whole(shared.where("pure")).unionByName(whole(first.where("same > 1"))).unionByName(whole(heads.where("same = 1 and salts > 1")))
-    wanted = heads.where("head = 1").select("r1", "r2", F.struct("key", "lo", "n", (F.col("times") > hot).alias("hot")).alias("w"))
+    counted = salted.select("key", "seg", "r1", "r2", "lo", "n", F.count("*").over(within).alias("same"), F.row_number().over(within.orderBy("r1", "r2", "lo")).alias("nth"))
+    shared = materialise(counted, "shared")
+    discard(parts)
+    place = F.min(F.struct("r1", "r2", "lo", "n")).alias("one")
+    heads = materialise(shared.where("nth = 1").groupBy("key", "seg").agg(place, F.sum("same").alias("total")).select("key", "seg", "one.*", "total"), "heads")
+    # Anchors met by one segment with no other place are left; what the rest weighs decides how they are compared.
+    weight = F.sum((F.col("n") + F.lit(length - 1)) * F.least("total", F.lit(2)))
+    weighed = heads.groupBy("key").agg(weight.alias("bytes")).where(F.col("bytes") > group_bytes).select("key", F.lit(True).alias("wide"))
+    wanted = heads.join(weighed, "key", "left").select("r1", "r2", F.struct(*_HEAD, F.coalesce("wide", F.lit(False)).alias("wide")).alias("w"))
     wanted = wanted.groupBy("r1", "r2").agg(F.collect_list("w").alias("wanted"))
-    fetched = rows.join(wanted, ["r1", "r2"]).select("r1", "r2", "text", "wanted")
-    bodies = materialise(fetched.mapInArrow(_fetch(length), "r1 long, r2 long, key long, lo int, n int, hot boolean, body binary"), "bodies")
-    cold = bodies.where("not hot").repartition("key").sortWithinPartitions("key")
-    scanned = cold.mapInArrow(_compare(length), "r1 long, r2 long, lo int, hi int")
-    windows = bodies.where("hot").select("r1", "r2", "lo", "body", "n").mapInArrow(_windows(length), "r1 long, r2 long, lo int, w1 long, w2 long")
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
-    counted = windows.join(again, ["w1", "w2"]).select("r1", "r2", "lo", (F.col("lo") + F.lit(length)).alias("hi"))
-    return resolved.unionByName(scanned).unionByName(counted)
+    fetched = rows.join(wanted, ["r1", "r2"]).select("text", "wanted")
+    bodies = materialise(fetched.mapInArrow(_fetch(length), ", ".join(f"{c} {t}" for c, t in _HEAD.items()) + ", wide boolean, body binary"), "bodies")
+    narrow = bodies.where("not wide").repartition("key").sortWithinPartitions("key")
+    scanned = narrow.mapInArrow(_compare(length), _FOUND)
+    windows = bodies.where("wide").mapInArrow(_windows(length), f"{_FOUND}, w1 long, w2 long")
+    again = windows.groupBy("w1", "w2").agg(F.sum("total").alias("times")).where("times > 1").select("w1", "w2")
+    found = materialise(scanned.unionByName(windows.join(again, ["w1", "w2"]).drop("w1", "w2")), "repeats")
+    # A segment with several places is a repeat as a whole, and its places are those of all its rows.
+    several = found.where("total > 1").select("key", "seg").distinct()
+    places = shared.join(several, ["key", "seg"]).select("r1", "r2", "lo", (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("hi"))
+    return found.where("total = 1").select("r1", "r2", "lo", "hi").unionByName(places)
 
 
 def _kept(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -402,7 +405,10 @@ def _kept(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(out), removed, spans
 
 
-def _strip(keep_text: bool, extra: int) -> Callable:
+_RESULT = StructType().add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept_text", "string")
+
+
+def _strip(keep_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, spans, digests, kept = [], [], [], [], []
@@ -417,30 +423,40 @@ def _strip(keep_text: bool, extra: int) -> Callable:
                 removed.append(gone)
                 spans.append(runs)
                 digests.append(hashlib.sha256(left).hexdigest())
-                if keep_text:
-                    kept.append(left.decode(errors="ignore"))
-            columns = [pa.array(x, pa.int64()) for x in (sizes, removed, spans)] + [pa.array(digests, pa.string())]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if keep_text:
-                columns.append(pa.array(kept, pa.string()))
-                names.append("kept_text")
-            yield pa.RecordBatch.from_arrays([batch.column(2 + i) for i in range(extra)] + columns, [batch.schema.names[2 + i] for i in range(extra)] + names)
+                kept.append(left.decode(errors="ignore") if keep_text else None)
+            made = [pa.array(x, pa.int64()) for x in (sizes, removed, spans)] + [pa.array(x, pa.string()) for x in (digests, kept)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.StructArray.from_arrays(made, _RESULT.names)], ["row", "made"])
 
     return run
 
 
-def strip_repeats(docs: DataFrame, length: int = 200, gram: int = 32, hot: int = 100_000, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def _stripped(docs: DataFrame, row: Column, length: int, gram: int, group_bytes: int, keep_text: bool) -> DataFrame:
+    """(row, made): ``row`` as it was, and the result for its text.  No column of ``docs`` but doc_id and text is seen by name."""
+    ranges = repeat_ranges(docs, length, gram, group_bytes).groupBy("r1", "r2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    rows = _identified(docs.select("doc_id", "text", row.alias("row"))).join(ranges, ["r1", "r2"], "left").select("text", "ranges", "row")
+    return rows.mapInArrow(_strip(keep_text), StructType([rows.schema["row"], StructField("made", _RESULT)]))
+
+
+def strip_repeats(docs: DataFrame, length: int = 200, gram: int = 32, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts elsewhere in ``docs`` (doc_id, text).
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, with ``keep_text``
-    also what is left as kept_text (a character cut in two is dropped), and the
-    columns named in ``carry``.  Strings are judged on the input; all places
-    go, the first too.  A null text is empty; texts shorter than ``length`` have
-    nothing to remove; rows equal in doc_id and text are two places each.  An
-    empty table gives an empty result.
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256.  Strings are judged
+    on the input; all places go, the first too.  A null text is empty; texts
+    shorter than ``length`` have nothing to remove; very long ones are cut into
+    ranges of windows; rows equal in doc_id and text are two places each.  An
+    empty table gives an empty result; other columns, whatever their names, are
+    ignored.
+    """
+    return _stripped(docs, F.struct("doc_id"), length, gram, group_bytes, False).select("row.doc_id", "made.n_bytes", "made.n_removed", "made.n_spans", "made.kept_sha256")
+
+
+def cut_repeats(docs: DataFrame, length: int = 200, gram: int = 32, group_bytes: int = GROUP_BYTES, size: str | None = None) -> DataFrame:
+    """``docs`` with all rows and columns and what ``strip_repeats`` leaves as text; the column ``size``, if named, gets its characters.
+
+    A character cut in two is dropped.  A null text stays null.  Every other
+    column keeps its value, whatever its name.
     """
-    ranges = repeat_ranges(docs, length, gram, hot).groupBy("r1", "r2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    names = ("doc_id", *carry)
-    rows = _identified(docs.select("text", *names)).join(ranges, ["r1", "r2"], "left").select("text", "ranges", *names)
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept_text string"] * keep_text
-    return rows.mapInArrow(_strip(keep_text, len(names)), ", ".join(schema))
+    made = _stripped(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), length, gram, group_bytes, True)
+    left = F.when(F.col("row.text").isNotNull(), F.col("made.kept_text"))
+    new = {"text": left} | ({size: F.length(left).cast("long")} if size in docs.columns else {})
+    return made.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
