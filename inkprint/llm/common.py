@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="inkprint-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
+from inkprint.sources.tables import shared_base
 
 
 #: Drops the shuffle files of a query once its result is written.
@@ -34,7 +24,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     reader sees the one committed attempt of each task.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/inkprint/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark)}/inkprint/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:

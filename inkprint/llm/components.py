@@ -8,21 +8,34 @@ from pyspark.sql import functions as F
 from inkprint.llm.common import materialise
 
 
-def _smallest(pairs: DataFrame) -> DataFrame:
-    """(u, m): the smallest neighbour of u; combined before the shuffle, so a hub is no hot task."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m"))
+#: Nodes with over one in this many of all rows are joined by broadcast; there are at most so many.
+HUBS = 1000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(pairs: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs with m, the smallest neighbour v of u; the table (u, m) alone).
+
+    Neighbours are combined before the shuffle.  The rows of a hub meet its m
+    where they are, by a broadcast of at most ``HUBS`` rows; those of the other
+    nodes are at most ``rows / HUBS`` each and meet it in a shuffle.
+    """
+    least = materialise(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    hubs = least.where(F.col("n") > rows // HUBS).select("u", F.col("m").alias("hub"))
+    met = pairs.join(F.broadcast(hubs), "u", "left")
+    others = met.where("hub is null").select("u", "v").join(least.where(F.col("n") <= rows // HUBS).select("u", "m"), "u")
+    return met.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionByName(others), least.select("u", "m")
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    root = _smallest(both).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(root, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    met, _ = _with_least(both, 2 * rows)
+    return met.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    root = _smallest(down)
-    return down.join(root, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(root.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    met, root = _with_least(down, rows)
+    return met.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(root.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -36,7 +49,8 @@ def connected(edges: DataFrame) -> DataFrame:
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     was = state(now)
     while was[0]:
-        now = materialise(_small_star(_large_star(now)).where("a <> b").distinct(), "edges")
+        # a large star gives as many rows as there were edges
+        now = materialise(_small_star(_large_star(now, was[0]), was[0]).where("a <> b").distinct(), "edges")
         if (got := state(now)) == was:
             break
         was = got

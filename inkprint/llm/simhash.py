@@ -501,13 +501,15 @@ def keep_one(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
 
     A row without doc_id counts as larger than any other, ordered by its text's
     hash; of rows equal in doc_id and text one stays.  Null and blank texts form
-    one group.  An empty table gives an empty result.
+    one group; a text under ``similar.width`` words is one shingle; very long
+    ones count whole.  Every column keeps its value, whatever its name.  An
+    empty table gives an empty result.
     """
     text = F.coalesce("text", F.lit(""))
     digest = F.xxhash64(text)
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.col("doc_id").cast("long"), digest).alias("k"), digest.alias("h"))
-    rows = docs.select(order.alias("doc_id"), "text")
-    grouped = similar_groups(rows, similar)
-    roots = grouped.where("doc_id = root").select(F.col("root.n").alias("_n"), F.col("root.k").alias("_k"), F.col("root.h").alias("_h")).distinct()
-    named = docs.withColumns({"_n": F.col("doc_id").isNull(), "_k": F.coalesce(F.col("doc_id").cast("long"), digest), "_h": digest})
-    return named.join(roots, ["_n", "_k", "_h"], "left_semi").dropDuplicates(["_n", "_k", "_h"]).select(*docs.columns)
+    key = {"n": F.col("doc_id").isNull(), "k": F.coalesce(F.col("doc_id").cast("long"), digest), "h": digest}
+    rows = docs.select(F.struct(*(c.alias(n) for n, c in key.items())).alias("doc_id"), "text")
+    roots = similar_groups(rows, similar).where("doc_id = root").select("root.*").distinct()
+    # the columns travel in one struct, so that no name of theirs meets one made here
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in key.items()))
+    return packed.join(roots, list(key), "left_semi").dropDuplicates(list(key)).select("row.*")
