@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import texts
+from inkprint.llm.common import materialise, texts
 
 DIMENSIONS = 1 << 14
 #: Training documents a language has in the clustering sample, about.
@@ -27,7 +27,10 @@ SAMPLE = 400
 CENTROIDS = 4
 #: Members farther from their centroid than this share of them shape no distance limit.
 STRAY = 0.005
-MOST_LANGUAGES = 1024
+#: Languages whose centroids are held at once; with more, texts are compared block by block.
+BLOCK = 256
+#: Sizes of groups are broadcast up to so many groups, and joined by a shuffle beyond.
+BROADCAST_ROWS = 10_000
 _ROWS, _BYTES = 64, 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 _BLANKED = np.arange(256, dtype=np.uint8)
@@ -64,7 +67,7 @@ def vectors(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return out / np.maximum(norm, 1e-12)
 
 
-def _groups(items: Iterator[bytes]) -> Iterator[list[bytes]]:
+def groups(items: Iterator[bytes]) -> Iterator[list[bytes]]:
     held, size = [], 0
     for item in items:
         held.append(item)
@@ -92,11 +95,11 @@ def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.
     return centre, np.array(floor)
 
 
-def _document_frequency(train: DataFrame) -> tuple[int, np.ndarray]:
+def document_frequency(train: DataFrame) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(DIMENSIONS, np.int64)
         for batch in batches:
-            for group in _groups(texts(batch.column(0))):
+            for group in groups(texts(batch.column(0))):
                 df += (counts(group) > 0).sum(axis=0)
                 n += len(group)
         hit = np.flatnonzero(df)
@@ -111,60 +114,82 @@ def _document_frequency(train: DataFrame) -> tuple[int, np.ndarray]:
     return total.get(-1, 0), df
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(language of each centroid, centroids, least cosines, idf) from ``docs`` (doc_id, text, lang) with text and lang."""
+def drawn(docs: DataFrame, by: list[str], sample: int) -> DataFrame:
+    """About ``sample`` different texts of each group of ``docs`` (doc_id, text, ...), by hash; equal rows are one.
+
+    Groups are counted by different rows too, so that copies neither fill the
+    sample nor empty it.
+    """
+    marked = docs.select(*by, "doc_id", "text", F.xxhash64("doc_id", "text", F.lit(5)).alias("h"))
+    sizes = materialise(marked.groupBy(*by).agg(F.approx_count_distinct("h", 0.02).alias("n")), "sizes")
+    u = F.pmod(F.col("h"), F.lit(1 << 20)).cast("double") / (1 << 20)
+    if by:
+        joined = marked.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, by)
+    else:
+        joined = marked.withColumn("n", F.lit(sizes.first()["n"]))
+    return joined.where(u * F.col("n") < sample).groupBy(*by, "h").agg(F.min("text").alias("text"))
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> tuple[DataFrame, np.ndarray]:
+    """(table lang, centre, floor of the centroids, idf) from ``docs`` (doc_id, text, lang) with text and lang."""
     known = docs.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string"))
-    per = known.groupBy("lang").agg(F.count("*").alias("n"))
-    sizes = {r["lang"]: r["n"] for r in per.limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    n, df = _document_frequency(known)
+    n, df = document_frequency(known)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
     def fit(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["doc_id", "text"])
-        rows = np.concatenate([vectors(counts(g), idf) for g in _groups(t.encode() for t in table["text"])])
+        table = table.sort_values(["h", "text"])
+        rows = np.concatenate([vectors(counts(g), idf) for g in groups(t.encode() for t in table["text"])])
         centre, floor = cluster(rows, k)
         return pd.DataFrame({"lang": table["lang"].iloc[0], "centre": [c.astype("float32") for c in centre], "floor": floor})
 
-    u = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)).cast("double") / (1 << 20)
-    drawn = known.join(F.broadcast(per), "lang").where(u * F.col("n") < sample).drop("n")
-    found = sorted(drawn.groupBy("lang").applyInPandas(fit, "lang string, centre array<float>, floor double").collect(), key=lambda r: (r["lang"], r["floor"]))
-    return [r["lang"] for r in found], np.array([r["centre"] for r in found], np.float32).reshape(-1, DIMENSIONS), np.array([r["floor"] for r in found]), idf
+    fitted = drawn(known, ["lang"], sample).groupBy("lang").applyInPandas(fit, "lang string, centre array<float>, floor double")
+    return materialise(fitted, "centroids"), idf
+
+
+def _nearest(names: list[str], centres: np.ndarray, floors: np.ndarray, idf: np.ndarray, batch: list[bytes]) -> list[tuple[str, float, bool]]:
+    """(language, cosine, rejected) of the nearest centroid to each text; ``und`` for one without a letter."""
+    sims = vectors(counts(batch), idf) @ centres.T
+    out = []
+    for text, best, row in zip(batch, np.argmax(sims, axis=1).tolist(), sims):
+        score = min(1.0, max(0.0, float(row[best])))
+        out.append((names[best], score, score < floors[best]) if _LETTER.search(text.decode()) else ("und", 0.0, True))
+    return out
 
 
-def identify(docs: DataFrame, held_out: Column, sample: int = SAMPLE, k: int = CENTROIDS) -> DataFrame:
+def identify(docs: DataFrame, held_out: Column, sample: int = SAMPLE, k: int = CENTROIDS, block: int = BLOCK) -> DataFrame:
     """Predict the language of every text of ``docs`` (doc_id, text, lang), learning where ``held_out`` is false.
 
     Returns doc_id, held_out, lang_pred, score (cosine), rejected.  ``lang_pred``
     is a learnt language, or ``und`` with score 0 for a null text, a text without
-    a letter, and where nothing could be learnt.  A null ``held_out`` counts as
-    false.  Repeated rows are predicted each.  An empty table gives an empty
-    result; other columns are ignored.
+    a letter, and where nothing could be learnt.  Of equally near centroids the
+    one of the smaller language wins.  A null ``held_out`` counts as false.  Very
+    long texts are counted whole, piece by piece.  Repeated rows are predicted
+    each.  Any number of languages can be learnt: the centroids of ``block`` of
+    them are held at once.  An empty table gives an empty result; other columns,
+    whatever their names, are ignored.
     """
     rows = docs.select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    names, centres, floors, idf = train(rows.where("not held_out"), sample, k)
-    sent = docs.sparkSession.sparkContext.broadcast((names, centres, floors, idf))  # at most MOST_LANGUAGES * k vectors
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, centres, floors, idf = sent.value
-        for batch in batches:
-            langs, scores, rejected = [], [], []
-            for group in _groups(texts(batch.column(2))):
-                if names:
-                    sims = vectors(counts(group), idf) @ centres.T
-                    best = np.argmax(sims, axis=1)
-                for i, text in enumerate(group):
-                    if not names or not _LETTER.search(text.decode()):
-                        langs.append("und")
-                        scores.append(0.0)
-                        rejected.append(True)
-                    else:
-                        score = min(1.0, max(0.0, float(sims[i, best[i]])))
-                        langs.append(names[best[i]])
-                        scores.append(score)
-                        rejected.append(score < floors[best[i]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
-
+    table, idf = train(rows.where("not held_out"), sample, k)
+    langs = sorted(r["lang"] for r in table.select("lang").distinct().collect())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    result = ["lang_pred", "score", "rejected"]
+    made = rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"), "text")
+    for at in range(0, len(langs), block):
+        some = table.where(F.col("lang").isin(langs[at : at + block])).collect()  # at most block * k vectors
+        found = sorted(some, key=lambda r: (r["lang"], r["floor"]))
+        names, floors = [r["lang"] for r in found], np.array([r["floor"] for r in found])
+        sent = docs.sparkSession.sparkContext.broadcast((names, np.array([r["centre"] for r in found], np.float32), floors, idf))
+        kept = ["text"] if at + block < len(langs) else []
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, kept=kept) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                best = []
+                for group in groups(texts(batch.column(5))):
+                    best += _nearest(*sent.value, group)
+                had = zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))
+                best = [old if old[0] != "und" and old[1] >= new[1] else new for old, new in zip(had, best)]
+                columns = [pa.array(x, t) for x, t in zip(zip(*best) if best else ((), (), ()), (pa.string(), pa.float64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns, *(batch.column(5) for _ in kept)], ["doc_id", "held_out", *result, *kept])
+
+        made = made.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean" + ", text string" * len(kept))
+    return made.select("doc_id", "held_out", *result)

@@ -1,5 +1,9 @@
 """Mixing documents to target token weights by iterative proportional fitting.
 
+Topics are learnt: hashed TF-IDF vectors, less the mean of their language, are
+clustered by cosine on a bounded sample, with document frequencies over all
+rows, and every text gets the topic of its nearest centroid.
+
 Tokens are summed by cell (source, language, topic).  Raking multiplies the
 cells' keep rates so that each margin in turn meets its target, no rate above
 one, until all margins hold.  A document is then kept if a uniform number made
@@ -15,13 +19,19 @@ number; beyond it the same steps run as aggregations and joins.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from inkprint.llm.common import materialise
+from inkprint.llm.common import materialise, texts
+from inkprint.llm.language import cluster, counts, document_frequency, drawn, groups, vectors
 
 MARGINS = ("source", "lang", "topic")
 UNKNOWN = "unknown"
@@ -35,8 +45,13 @@ class Targets:
     volume: float = 0.7
     temper: dict[str, float] = field(default_factory=lambda: {"source": 0.7, "lang": 0.8, "topic": 0.8})
     shares: dict[str, dict[str, float]] = field(default_factory=dict)
-    sweeps: int = 50
+    sweeps: int = 200
     tolerance: float = 1e-6
+    #: Topics, and the different texts that their clusters are learnt from.
+    topics: int = 12
+    sample: int = 2000
+    #: A margin's share may miss its target by this much before it counts as not met.
+    slack: float = 0.005
     #: More cells than this are raked by aggregations.
     local_cells: int = 200_000
 
@@ -46,25 +61,65 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def topic(text: Column) -> Column:
-    """A topic by layout: of the text as a whole, not of its subject, which no column gives."""
-    size = F.greatest(F.length(text), F.lit(1))
-    share = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / size
-    return (
-        F.when(text.isNull() | (F.trim(text) == ""), UNKNOWN)
-        .when(share("#*$%&|<>{}=_") > 0.02, "markup")
-        .when(share("0123456789") > 0.02, "figures")
-        .when(share("\n") > 0.012, "lines")
-        .when(F.length(text) < 1000, "note")
-        .otherwise("prose")
-    )
+#: Languages with a mean of their own; texts of any other are compared with the mean of all.
+OWN_MEANS = 32
+
+
+def _apart(rows: np.ndarray, langs: list[str], means: dict[str, np.ndarray]) -> np.ndarray:
+    """What sets each text apart from its language, so that topics don't repeat the languages."""
+    left = rows - np.array([means.get(x, means[""]) for x in langs], np.float32).reshape(rows.shape)
+    return left / np.maximum(np.linalg.norm(left, axis=1, keepdims=True), 1e-12)
+
+
+def learn_topics(docs: DataFrame, targets: Targets) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(mean vector of each language and of all, topic centroids, idf) of ``docs`` (doc_id, text, lang)."""
+    known = docs.where("text is not null").select("doc_id", F.concat_ws("\n", margins()["lang"], "text").alias("text"))
+    n, df = document_frequency(docs.where("text is not null"))
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+
+    def fit(table: pd.DataFrame) -> pd.DataFrame:
+        langs, bodies = zip(*(t.split("\n", 1) for t in table.sort_values(["h", "text"])["text"]))
+        rows = np.concatenate([vectors(counts(g), idf) for g in groups(t.encode() for t in bodies)])
+        at = np.array(langs)
+        means = {x: rows[at == x].mean(axis=0) for x, _ in Counter(langs).most_common(OWN_MEANS)} | {"": rows.mean(axis=0)}
+        centres = cluster(_apart(rows, list(langs), means), targets.topics)[0]
+        made = [(x, m) for x, m in sorted(means.items())] + [(None, c) for c in centres]
+        return pd.DataFrame({"lang": [x for x, _ in made], "at": range(len(made)), "vector": [v.astype("float32") for _, v in made]})
+
+    sampled = drawn(known, [], targets.sample).withColumn("every", F.lit(0))
+    found = sorted(sampled.groupBy("every").applyInPandas(fit, "lang string, at int, vector array<float>").collect(), key=lambda r: r["at"])
+    means = {r["lang"]: np.array(r["vector"], np.float32) for r in found if r["lang"] is not None}
+    return means, np.array([r["vector"] for r in found if r["lang"] is None], np.float32).reshape(-1, len(idf)), idf
+
+
+def margins() -> dict[str, Column]:
+    """The margins that are columns, as text; null is a value of its own."""
+    return {m: F.coalesce(F.col(m).cast("string"), F.lit(UNKNOWN)) for m in ("source", "lang")}
+
 
+def cells_of(docs: DataFrame, targets: Targets, row: Column | None = None) -> DataFrame:
+    """u (see ``uniform``), the three margins, n_tokens and ``row`` (doc_id, if none is given) of each row.
 
-def cells_of(docs: DataFrame, topics: Column | None = None) -> DataFrame:
-    """doc_id, the three margins (null: unknown) and n_tokens of each row."""
-    named = {"_topic": topics if topics is not None else topic(F.col("text")), "_tokens": token_count(F.col("text"))}
-    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN))
-    return docs.withColumns(named).select("doc_id", known("source").alias("source"), known("lang").alias("lang"), F.coalesce("_topic", F.lit(UNKNOWN)).alias("topic"), F.col("_tokens").alias("n_tokens"))
+    A topic is named t00, t01, ...; a text without a word, or the only kind of
+    texts there are, is of the topic ``unknown``.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(learn_topics(docs, targets))  # OWN_MEANS + topics vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        means, centres, idf = sent.value
+        for batch in batches:
+            topics, sizes, langs = [], [], batch.column(3).to_pylist()
+            for group in groups(texts(batch.column(0))):
+                own = langs[len(topics) : len(topics) + len(group)]
+                best = np.argmax(_apart(vectors(counts(group), idf), own, means) @ centres.T, axis=1) if len(centres) else np.zeros(len(group), int)
+                for text, at in zip(group, best.tolist()):
+                    sizes.append(len(text.split()))
+                    topics.append(f"t{at:02d}" if sizes[-1] and len(centres) else UNKNOWN)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(topics, pa.string()), pa.array(sizes, pa.int64())], [*batch.schema.names[1:], "topic", "n_tokens"])
+
+    read = docs.select("text", uniform(71).alias("u"), *(c.alias(m) for m, c in margins().items()), (F.col("doc_id") if row is None else row).alias("row"))
+    kinds = StructType([*read.schema.fields[1:], StructField("topic", StringType()), StructField("n_tokens", LongType())])
+    return read.mapInArrow(run, kinds)
 
 
 def _wanted(present: dict[str, float], margin: str, targets: Targets) -> dict[str, float]:
@@ -128,18 +183,38 @@ def rake_table(cells: DataFrame, targets: Targets = Targets()) -> DataFrame:
 
 
 def rates(rows: DataFrame, targets: Targets = Targets()) -> DataFrame:
-    """(source, lang, topic, rate) for rows of ``cells_of``; marked for broadcast where its size was checked."""
+    """(source, lang, topic, tokens, rate) for rows of ``cells_of``; marked for broadcast where its size was checked."""
     cells = materialise(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     if cells.count() > targets.local_cells:
-        return rake_table(cells, targets).select(*MARGINS, "rate")
+        return rake_table(cells, targets).select(*MARGINS, "tokens", "rate")
     found = sorted(cells.collect())
     rate = rake([tuple(r[:3]) for r in found], np.array([r[3] for r in found], np.float64), targets)
-    table = _table(rows, [(*r[:3], float(x)) for r, x in zip(found, rate)])
+    table = rows.sparkSession.createDataFrame([(*r[:4], float(x)) for r, x in zip(found, rate)], "source string, lang string, topic string, tokens long, rate double")
     return F.broadcast(table)
 
 
-def _table(rows: DataFrame, data: list[tuple]) -> DataFrame:
-    return rows.sparkSession.createDataFrame(data, "source string, lang string, topic string, rate double")
+def report(cells: DataFrame, targets: Targets = Targets()) -> DataFrame:
+    """How near the rates come to what was wanted, from rows of ``rates``.
+
+    Returns margin, value, tokens, target and expected (both shares of the kept
+    tokens), residual (expected - target), met (within ``targets.slack``) and
+    capped (tokens of the value that are kept whole, as a share of its tokens).
+    A target is out of reach where all of a value's tokens together are fewer
+    than it asks for: capped is 1 and met false.
+    """
+    out = None
+    total = cells.agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("rate")).alias("k")).first()
+    for margin in MARGINS:
+        per = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("rate")).alias("kept"), F.sum(F.when(F.col("rate") >= 1, F.col("tokens")).otherwise(0)).alias("whole"))
+        raw = F.pow(F.col("tokens") / F.lit(float(total["t"] or 1)), F.lit(targets.temper[margin]))
+        if given := targets.shares.get(margin):
+            raw = F.coalesce(F.create_map(*(F.lit(x) for kv in given.items() for x in kv))[F.col("value")], F.lit(0.0))
+        per = per.where("tokens > 0").withColumn("raw", raw)
+        norm = per.agg(F.sum("raw")).first()[0] or 1.0
+        rows = per.select(F.lit(margin).alias("margin"), "value", "tokens", (F.col("raw") / norm).alias("target"), (F.col("kept") / F.lit(float(total["k"] or 1))).alias("expected"), (F.col("whole") / F.col("tokens")).alias("capped"))
+        out = rows if out is None else out.unionByName(rows)
+    missed = F.col("expected") - F.col("target")
+    return out.withColumn("residual", missed).withColumn("met", F.abs(missed) <= targets.slack)
 
 
 def uniform(seed: int) -> Column:
@@ -147,21 +222,35 @@ def uniform(seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
-def mix(docs: DataFrame, targets: Targets = Targets(), seed: int = 71, topics: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
     """Every row of ``docs`` (doc_id, text, source, lang) with its cell, keep rate and decision.
 
-    Returns doc_id, source, lang, topic, n_tokens, rate, kept.  Null source and
-    language count as ``unknown``, a null or blank text has that topic and no
-    tokens.  Rows of one doc_id are kept or dropped together.  An empty table
-    gives an empty result; other columns are ignored.
+    Returns doc_id, source, lang, topic, n_tokens, rate, kept, and for each
+    margin its target share and the share expected of the sample, so that a
+    target which can't be met shows (``report`` has them as a table).  Null
+    source and language count as ``unknown``; a null or blank text has that topic
+    and no tokens; very long texts count whole.  Rows of one doc_id get one
+    number.  An empty table gives an empty result; other columns, whatever their
+    names, are ignored.
     """
-    rows = materialise(cells_of(docs, topics), "tokens")
-    return rows.join(rates(rows, targets), list(MARGINS)).select("doc_id", *MARGINS, "n_tokens", "rate", (uniform(seed) < F.col("rate")).alias("kept"))
+    rows = materialise(cells_of(docs, targets), "tokens")
+    cells = rates(rows, targets)
+    made = rows.join(cells.drop("tokens"), list(MARGINS))
+    told = materialise(report(cells, targets).select("margin", "value", "target", "expected"), "report")
+    few = told.count() <= targets.local_cells
+    for margin in MARGINS:
+        own = told.where(F.col("margin") == margin).select(F.col("value").alias(margin), F.col("target").alias(f"{margin}_target"), F.col("expected").alias(f"{margin}_expected"))
+        made = made.join(F.broadcast(own) if few else own, margin, "left")
+    shares = [f"{m}_{s}" for m in MARGINS for s in ("target", "expected")]
+    return made.select(F.col("row").alias("doc_id"), *MARGINS, "n_tokens", "rate", (F.col("u") < F.col("rate")).alias("kept"), *shares)
 
 
-def sample(docs: DataFrame, targets: Targets = Targets(), seed: int = 71) -> DataFrame:
-    """The rows of ``docs`` that ``mix`` keeps, with all their columns."""
-    table = rates(materialise(cells_of(docs), "tokens"), targets).withColumnsRenamed({m: f"_{m}" for m in MARGINS} | {"rate": "_rate"})
-    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN))
-    named = docs.withColumns({"_source": known("source"), "_lang": known("lang"), "_topic": topic(F.col("text"))})
-    return named.join(table, ["_source", "_lang", "_topic"]).where(uniform(seed) < F.col("_rate")).select(*docs.columns)
+def sample(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` keeps, with all their columns.
+
+    Nulls, blank and very long texts, repeated rows and empty tables are as in
+    ``mix``.  Every column keeps its value, whatever its name.
+    """
+    # written once: whether a row is kept then can't differ between the counts and the sample
+    rows = materialise(cells_of(docs, targets, F.struct(*(F.col(f"`{c}`") for c in docs.columns))), "cells-of-rows")
+    return rows.join(rates(rows, targets).drop("tokens"), list(MARGINS)).where("u < rate").select("row.*")
