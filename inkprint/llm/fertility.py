@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkprint.llm.common import materialise, texts
@@ -44,7 +44,8 @@ class Bands:
     byte_slack: float = 0.1
     #: Least interquartile range, as a share of the median.
     least: float = 0.01
-    accuracy: int = 10_000
+    #: Bins of a measure for each unit.
+    steps: int = 1000
 
 
 class Fertility:
@@ -195,10 +196,20 @@ def measured(docs: DataFrame, pieces: str, ranks: str, pattern: str) -> DataFram
 SYMBOL_BYTES = [SYMBOLS[i : i + 1] for i in range(len(SYMBOLS))]
 
 
-def bands(rows: DataFrame, accuracy: int) -> DataFrame:
-    """Quartiles of each measure by language or script, over all rows with a token."""
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], accuracy).alias(f"q_{m}") for m in METRICS]
-    return rows.where("n_pieces > 0").groupBy("usual").agg(*quartiles)
+def bands(rows: DataFrame, steps: int) -> DataFrame:
+    """Quartiles of each measure by language or script, over all rows with a token.
+
+    Measures are counted in bins of 1 / ``steps`` first, so the result doesn't
+    depend on how rows are dealt, and a quartile is found among the bins of a
+    measure: no more than its range times ``steps``, however many rows there
+    are.  It is the lower edge of the first bin that reaches its share of rows.
+    """
+    cells = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.floor(F.col(m) * steps).alias("bin")) for m in METRICS)))
+    counts = rows.where("n_pieces > 0").select("usual", cells.alias("c")).groupBy("usual", "c.metric", "c.bin").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("usual", "metric")
+    reached = counts.withColumns({"upto": F.sum("n").over(own.orderBy("bin")), "all": F.sum("n").over(own)})
+    at = lambda m, q: F.min(F.when((F.col("metric") == m) & (F.col("upto") >= q * F.col("all")), F.col("bin"))) / steps
+    return reached.groupBy("usual").agg(*(F.array(*(at(m, q) for q in (0.25, 0.5, 0.75))).alias(f"q_{m}") for m in METRICS))
 
 
 def _outside(metric: str, widths: tuple[float, float], least: float, lower: bool, upper: bool, slack: float = 0.0) -> Column:
@@ -222,11 +233,13 @@ def judge(docs: DataFrame, pieces: str, ranks: str, pattern: str, limits: Bands
     if that failed or a measure lies outside its band.
 
     A null or blank text has no words, fails the base rule and shapes no band.  A
-    null language stands for the text's script.  Repeated rows are judged each.
-    An empty table gives an empty result; other columns are ignored.
+    null language stands for the text's script.  Very long texts are measured
+    whole; their words are looked up text by text.  Repeated rows are judged
+    each.  An empty table gives an empty result; other columns, whatever their
+    names, are ignored.
     """
     rows = materialise(measured(docs, pieces, ranks, pattern).withColumn("usual", F.coalesce("lang", "script")), "measures")
-    table = materialise(bands(rows, limits.accuracy), "bands")
+    table = materialise(bands(rows, limits.steps), "bands")
     judged = rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, "usual", "left")
     wide, entropy = (limits.wide, limits.short), (limits.entropy_wide, limits.entropy_short)
     strange = (

@@ -160,7 +160,12 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int, settings: Settings = Settings()) -> Model:
-    """Fit on at most about ``settings.sample`` rows of ``docs`` that ``ratings`` (doc_id, grade) covers, drawn by hash."""
+    """Fit on at most about ``settings.sample`` rows of ``docs`` that ``ratings`` (doc_id, grade) covers, drawn by hash.
+
+    A null text is empty; of an id's rows the text of least hash counts; a very
+    long text has no more than 2**bits features.  Without a labelled row the
+    model keeps nothing apart: equal weights, and cuts that accept any text.
+    """
     total = ratings.count()
     share = min(1.0, settings.sample / max(1, total))
     drawn = ratings.where(F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -171,7 +176,10 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, settings: Settings =
             found = [made.features(t).astype(np.int32) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "grade", "features"])
 
-    rows = docs.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "text", F.col("grade").cast("int")).mapInArrow(run, "doc_id long, grade int, features array<int>")
+    # one text for each id, so that a repeated id can't pass the bound
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(drawn, "doc_id")
+    one = met.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("grade").cast("int").alias("grade"))
+    rows = one.select("doc_id", "text", "grade").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, features array<int>")
     table = rows.toArrow().sort_by("doc_id")
     features = table.column("features").combine_chunks()
     flat, ends = features.flatten().to_numpy(), features.offsets.to_numpy() if table.num_rows else np.zeros(1, np.int64)
@@ -221,7 +229,11 @@ def rate(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def select(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that ``rate`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``rate`` keeps, with all their columns and values.
+
+    Null and blank texts go; repeated rows are judged each; an empty table gives
+    an empty one.
+    """
     make, at = _judge(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
