@@ -159,13 +159,31 @@ def test_topk_block_equals_product():
     block, asked = rng.integers(-1000, 1000, (400, 16)).astype(float), rng.integers(-1000, 1000, (30, 16)).astype(float)
     block[50:90] = block[50]
     ids, qids = np.arange(400), np.arange(0, 300, 10)
-    got = {int(q[0]): (v.tolist(), s.tolist()) for q, v, s in topk.aggregate_block(ids, block, qids, asked, 10)}
+    got = {int(q[0]): (v.tolist(), s.tolist()) for q, v, s, _ in topk.aggregate_block(ids, block, qids, asked, 10)}
     for i, q in enumerate(qids):
         scores = block @ asked[i]
         order = sorted((-scores[j], j) for j in range(400) if j != q)[:10]
         assert got[q] == ([j for _, j in order], [-s for s, _ in order])
 
 
+def test_topk_reads_in_order_and_stops():
+    rng = np.random.default_rng(11)
+    block = np.floor(rng.normal(size=(3000, 12)) * 1000 * 0.4 ** np.arange(12))
+    query = block[7]
+    reader = topk.Reader(topk.Lists.of(block), query)
+    scores, last = block @ query, reader.gap()
+    while reader.round():
+        lower, upper = reader.bounds()
+        assert (lower <= scores).all() and (scores <= upper).all() and reader.gap() <= last
+        for j in range(12):  # what was read of a list is its best end
+            read = reader.unread[:, j] == 0
+            assert read.sum() == reader.depth[j] and (read.all() or not read.any() or (block * query)[read, j].min() >= (block * query)[~read, j].max())
+        last = reader.gap()
+    assert (lower == scores).all() and (upper == scores).all()
+    ((_, found, _, (decided, read)),) = topk.aggregate_block(np.arange(3000), block, np.array([7]), query[None], 10)
+    assert decided < 0.6 and read < 1 and found.tolist() == [i for i in np.argsort(-scores, kind="stable").tolist() if i != 7][:10]
+
+
 def test_pack():
     counts = np.array([0, 1, 254, 255, 256, 10**6])
     assert (lm.unpack(lm.pack(counts), 6) == counts).all()

@@ -16,7 +16,8 @@ from inkprint.llm import bpe, fertility, language, lm, mixture, quality, queries
 from inkprint.llm.components import connected
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, _n string, topic string"
+EXTRA = "kept _n _k _h _rate _source _topic topic rate u row r1 r2 ranges kept_text n_bytes n_removed node key copy tokens n_tokens".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
 LONG = "lorem ipsum dolor " * 4000
 ODD = [
     (1, "a plain text of some words that is long enough to be kept by the rules", "en", "s", 1, "x", "y", "z"),
@@ -32,6 +33,9 @@ ODD = [
 ]
 
 
+ODD = [(*row[:5], *(f"{c}-{i}" if i % 3 else None for c in EXTRA)) for i, row in enumerate(ODD)]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -84,7 +88,22 @@ def test_odd_results(odd):
     assert not any(r.kept for r in OPERATORS["quality"](odd).collect() if r.doc_id in (2, 3, 4))
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 5, 7, None])
-    assert mixture.sample(odd).columns == odd.columns
+
+
+@pytest.mark.parametrize("stage", ["quality_classifier", "simhash_near_dedup", "suffix_array_dedup", "mixing"])
+def test_stages_keep_every_column(spark, odd, none, stage):
+    import corpus_pipeline
+
+    made = dict(corpus_pipeline.STAGES)[stage](spark, odd, SF)
+    rows = made.collect()
+    assert made.columns == odd.columns and (rows or stage == "quality_classifier")
+    changed = ("text", "n_chars") if stage == "suffix_array_dedup" else ()
+    plain = lambda r: tuple(v for c, v in zip(odd.columns, r) if c not in changed)
+    assert not Counter(map(plain, rows)) - Counter(map(plain, ODD))
+    if changed:
+        assert Counter(map(plain, rows)) == Counter(map(plain, ODD))
+        assert {r.text for r in rows if r.doc_id in (5, 6)} == {""} and {r.n_chars for r in rows if r.doc_id == 5} == {0}
+    assert dict(corpus_pipeline.STAGES)[stage](spark, none, SF).collect() == []
 
 
 def test_shards(spark, docs):
@@ -162,7 +181,7 @@ def test_language(spark):
 
 
 def test_mixture_tables_agree(spark):
-    cells = mixture.cells_of(spark.read.parquet(f"{SF}/documents.parquet"))
+    cells = mixture.materialise(mixture.cells_of(spark.read.parquet(f"{SF}/documents.parquet"), mixture.Targets()), "cells-of")
     few, many = (mixture.rates(cells, mixture.Targets(sweeps=4, local_cells=n)).collect() for n in (10**6, 0))
     one, two = ({tuple(r[:3]): r.rate for r in rows} for rows in (few, many))
     assert one == pytest.approx(two)
@@ -173,11 +192,11 @@ def test_mixture_decides_by_rate(spark):
     assert all(0 <= r.rate <= 1 for r in rows) and 0.4 < sum(r.n_tokens for r in rows if r.kept) / sum(r.n_tokens for r in rows) < 0.95
 
 
-@pytest.mark.parametrize("hot", [100_000, 0])
-def test_repeats(spark, docs, hot):
+@pytest.mark.parametrize("group_bytes", [repeats.GROUP_BYTES, 0])
+def test_repeats(spark, docs, group_bytes):
     length = 200
     count = Counter(t[i : i + length] for t in (d.encode() for d in docs.values()) for i in range(len(t) - length + 1))
-    for r in repeats.strip_repeats(spark.read.parquet(f"{SF}/documents.parquet"), length, hot=hot).collect():
+    for r in repeats.strip_repeats(spark.read.parquet(f"{SF}/documents.parquet"), length, group_bytes=group_bytes).collect():
         text = docs[r.doc_id].encode()
         mark, until = bytearray(len(text)), 0
         for i in range(len(text) - length + 1):
@@ -241,7 +260,7 @@ def test_topk(spark):
 def test_topk_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, []), (8, [2.0]), (None, [1.0, 1.0]), (100, [1e30, -1e30])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(c) for c in ("query_id", "score", "rank", "block", "ask", "v", "n", "copy")})
     got = topk.search(table, table.where("vec_id = 0"), 4).orderBy("rank").collect()
     assert [r.vec_id for r in got][1:] == [8, 1, 2] and got[0].vec_id == 100
     assert topk.search(table.where("false"), table.where("false")).collect() == []
