@@ -189,14 +189,16 @@ def test_pack():
     assert (lm.unpack(lm.pack(counts), 6) == counts).all()
 
 
-def test_automaton_weights_sum_to_one():
-    words, bigrams = np.array([5, 3, 0]), np.array([4, 0, 1])
-    machine = lm.Automaton(words, 0, bigrams, 8, 2)
-    unknown = 1 / (8 + 2 + 1)
-    assert machine.unigram()[:2].sum() + unknown == pytest.approx(1)
-    root = np.append(machine.unigram()[:2], unknown)
-    arcs = np.array([4, 1, 0])
-    assert (10 ** lm.weights(np.full(3, 5), arcs, root, 7.0)).sum() == pytest.approx(1)
+@pytest.mark.parametrize("bits", [8, 16, 40, 44, 50, 56])
+@pytest.mark.parametrize("n", [0, 1, 300, 9000])
+def test_coded_keys(bits, n):
+    values = np.sort(np.random.default_rng(n).integers(0, 1 << bits, n, dtype=np.uint64))
+    assert (lm.decode(lm.encode(values, bits), bits) == values).all()
+
+
+def test_weights_of_a_state_sum_to_one():
+    lower, arcs = np.array([0.5, 0.3, 0.2]), np.array([4, 1, 0])
+    assert lm.weights(np.full(3, 5), arcs, lower, 7.0).sum() == pytest.approx(1)
 
 
 def test_repeated_words():

@@ -132,14 +132,60 @@ def test_lm(spark, docs):
         words = [*docs[r.doc_id].encode().lower().split(), None]
         assert (r.held_out, r.n_tokens, r.train_tokens, r.n_known) == (out(r.doc_id), len(words), n, sum(count[w] > 0 for w in words))
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words))
-    # on so few documents some chunks differ from one another only by chance; all together the bigrams help
-    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
-
-
-def test_lm_is_the_same_for_any_chunks(spark):
+    texts = [([*docs[r.doc_id].encode().lower().split(), None], r.held_out) for r in rows]
+    assert [r.score for r in rows] == pytest.approx(_backoff(texts))
+    assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
+
+
+def _backoff(texts: list[tuple[list, bool]]) -> list[float]:
+    """Scores by the definition: dictionaries of n-grams, one token after the other, failure arcs followed one by one."""
+    start = ("start",)
+    one, two, three = Counter(), Counter(), Counter()
+    for words, out in texts:
+        if not out:
+            one.update((w,) for w in words)
+            two.update(zip([start, *words], words))
+            three.update(zip([start, *words], words, words[1:]))
+    n, v = sum(one.values()), len(one)
+    count = lambda h: one[(None,)] if h == (start,) else one[h] if len(h) == 1 else two[h]
+    is_state = lambda h: not h or (count(h) > 0 if len(h) == 1 else count(h) >= lm.STATE)
+    which = lambda c: sum(c >= x for x in lm.RANGES)
+
+    def p(h: tuple, w, k: dict, less: int) -> float:
+        if not h:
+            return (one[(w,)] - less + 1) / (n - less + v + 1)
+        c = count(h)
+        lower = p(h[1:], w, k, less)
+        arc = (two if len(h) == 1 else three)[(*h, w)]
+        pseudo = k[len(h)][which(c)]
+        return (arc - less + pseudo * lower) / (c - less + pseudo) if c > less else lower
+
+    def walk(words: list):
+        state, before = (start,) if is_state((start,)) else (), start
+        for w in words:
+            yield state, w
+            state = next(h for h in ((before, w), (w,), ()) if is_state(h))
+            before = w
+
+    k: dict[int, list[float]] = {1: [lm.PSEUDO[-1]] * (len(lm.RANGES) + 1)}
+    for size in (1, 2):  # the pseudo counts of pairs first, then those of triples over them
+        sums = [[0.0] * len(lm.PSEUDO) for _ in range(len(lm.RANGES) + 1)]
+        for words, out in texts:
+            before = [start, *words]
+            for i, (state, w) in enumerate(walk(words) if not out else ()):
+                h = state if size == 2 else (before[i],)
+                if len(h) == size and count(h) > 1:
+                    for at, pseudo in enumerate(lm.PSEUDO):
+                        sums[which(count(h))][at] += math.log10(p(h, w, {**k, size: [pseudo] * len(sums)}, 1))
+        k[size] = [lm.PSEUDO[max(range(len(lm.PSEUDO)), key=lambda at: (row[at], at))] for row in sums]
+    return [sum(math.log10(p(h, w, k, 0)) for h, w in walk(words)) for words, _ in texts]
+
+
+@pytest.mark.parametrize("sizes", [(1 << 16, 1 << 30, 10), (1 << 16, 1 << 14, 10), (1 << 15, 1 << 14, 2)])
+def test_lm_is_the_same_for_any_chunks_and_buckets(spark, sizes):
     table = spark.read.parquet(f"{SF}/documents.parquet")
-    one, many = ({r.doc_id: r.score for r in lm.score(table, held(), size).collect()} for size in (1 << 24, 1 << 16))
-    assert one == pytest.approx(many)
+    one, many = ({r.doc_id: (r.train_tokens, pytest.approx(r.score)) for r in lm.score(table, held(), *s).collect()} for s in ((1 << 24,), sizes))
+    assert one == many
 
 
 def test_quality(spark):
