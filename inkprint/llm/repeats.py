@@ -11,13 +11,13 @@ the corpus.  Candidates come first, without moving text:
 2.  A segment whose anchor hash occurs once is new text.  Of all others one
     representative for each different segment is fetched, with the number of
     places where it occurs; only of these is text moved.
-3.  Segments of an anchor meet in one batch, one that occurs in several places
-    beside a twin of itself.  A suffix array with common-prefix lengths is built
-    over them; a stack scan of the lengths walks the interval tree; intervals at
-    least ``length`` deep whose occurrences differ in the byte to the left are
-    the maximal repeats, each with all its occurrences.  What is removed comes
-    from these: at the representative's place, or at all places of a segment
-    that occurs more than once.
+3.  Segments of an anchor meet in one batch.  A suffix array with common-prefix
+    lengths is built over them; a stack scan of the lengths walks the interval
+    tree; intervals at least ``length`` deep whose occurrences differ in the
+    byte to the left are the maximal repeats, each with all its occurrences.  A
+    segment that stands for several places is a leaf of the tree that is a
+    repeat by itself.  What is removed comes from these: at the place of a
+    segment, or at all places of one that has several.
 
 An anchor whose different segments have more than ``group_bytes`` isn't
 gathered: the windows of its segments go out one by one as hashes and are
@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -44,10 +44,8 @@ _WEIGHT = _RNG.integers(1, 2**63, (2, 256), dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes hashed at once; also how far positions reach in an anchor's low bits.
 SPAN = 1 << 20
-#: Parts that the rows of one segment are counted in.
-SALTS = 256
-#: Segments of one anchor are compared in one task up to so many bytes: its suffix array takes about 80 times as much.
-GROUP_BYTES = 2 << 20
+#: Segments of one anchor are compared in one task up to so many bytes: its suffix array takes about 100 times as much.
+GROUP_BYTES = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -155,30 +153,94 @@ def _find(length: int, gram: int) -> Callable:
 # ---- enhanced suffix array
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order and common-prefix lengths of neighbours (lcp[i]: of sa[i-1] and sa[i]), by rank doubling.
+#: Bytes that the first ranks tell apart at once.
+WORD = 8
 
-    Doubling ends once all ranks differ; ``depth`` bounds how far lengths are told apart.
+
+class Suffixes:
+    """Suffixes of strings laid end to end, in order, with common-prefix lengths.
+
+    Ranks start from words of eight bytes and are refined by doubling; only
+    suffixes that share their rank with another are sorted again.  The end of a
+    string is unlike any byte and any other end.  ``ranks[k]`` tells apart the
+    first ``WORD * 2**k`` bytes: equal ranks are equal bytes.
     """
-    n = len(symbols)
-    ranks = [np.unique(symbols, return_inverse=True)[1].astype(np.int32)]
-    width = 1
-    while ranks[-1].max(initial=0) + 1 < n and width < depth:
-        after = np.zeros(n, np.int64)
-        after[: n - width] = ranks[-1][width:] + 1
-        ranks.append(np.unique(ranks[-1] * np.int64(n + 1) + after, return_inverse=True)[1].astype(np.int32))
-        width *= 2
-    sa = np.argsort(ranks[-1], kind="stable")
-    lcp = np.zeros(n, np.int64)
-    if n > 1:
-        a, b, live = sa[:-1].copy(), sa[1:].copy(), np.zeros(n - 1, np.int64)
-        for k in reversed(range(len(ranks))):
-            inside = (a < n) & (b < n)
-            same = inside & (ranks[k][np.minimum(a, n - 1)] == ranks[k][np.minimum(b, n - 1)])
-            step = np.where(same, 1 << k, 0)
-            a, b, live = a + step, b + step, live + step
-        lcp[1:] = live
-    return sa, lcp
+
+    def __init__(self, strings: list[bytes], depth: int):
+        self.sizes = np.array([len(s) for s in strings], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        data = np.frombuffer(b"".join(strings), np.uint8)
+        self.data, n = data, len(data)
+        self.owner = np.repeat(np.arange(len(strings), dtype=np.int32), self.sizes)
+        #: Bytes from each place to the end of its string.
+        self.left = np.repeat(self.starts + self.sizes, self.sizes) - np.arange(n)
+        wide = np.concatenate((data, np.zeros(WORD, np.uint8))).astype(np.uint64)
+        words = np.zeros(n, np.uint64)
+        for k in range(WORD):
+            words = (words << np.uint64(8)) | np.where(k < self.left, wide[k : n + k], np.uint64(0))
+        self.words = words
+        short = self.left < WORD
+        order = np.argsort(words)
+        equal = words[order[1:]] == words[order[:-1]]
+        if (equal & (short[order[1:]] != short[order[:-1]])).any():  # bytes of zero: an end looks like a word
+            order = np.lexsort((np.where(short, np.arange(n) + 1, 0), words))
+        fresh = np.ones(n, bool)
+        fresh[1:] = (words[order[1:]] != words[order[:-1]]) | short[order[1:]] | short[order[:-1]]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        self.ranks, width = [rank], WORD
+        tied = np.ones(n, bool)
+        while width < depth:
+            tied = self._shared(rank, order, tied)
+            at = np.flatnonzero(tied)
+            if not len(at):
+                break
+            # both halves lie within one string: a shorter suffix has a rank of its own by now
+            second = rank[np.minimum(at + width, n - 1)].astype(np.int64)
+            mine = np.argsort(rank[at] * np.int64(n + 1) + second, kind="stable")
+            at, key = at[mine], (rank[at] * np.int64(n + 1) + second)[mine]
+            places = np.sort(rank[at].astype(np.int64))  # the first place of its group, for each
+            first = np.concatenate(([True], places[1:] != places[:-1]))
+            places += np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            fresh = np.concatenate(([True], key[1:] != key[:-1]))
+            new = rank.copy()
+            new[at] = places[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+            order = order.copy()
+            order[places] = at
+            rank = new
+            self.ranks.append(rank)
+            width *= 2
+        self.order, self.width = order, width
+
+    @staticmethod
+    def _shared(rank: np.ndarray, order: np.ndarray, tied: np.ndarray) -> np.ndarray:
+        """Which suffixes have the rank of another."""
+        ordered = rank[order]
+        same = np.zeros(len(rank), bool)
+        equal = ordered[1:] == ordered[:-1]
+        same[order[1:][equal]] = same[order[:-1][equal]] = True
+        return same & tied
+
+    def common(self, least: int) -> np.ndarray:
+        """Common-prefix length of each suffix and the one before it in order; 0 where it is under ``least``."""
+        n, out = len(self.order), np.zeros(len(self.order), np.int64)
+        level = min(len(self.ranks) - 1, max(0, (least // WORD).bit_length() - 1))
+        near = np.flatnonzero(self.ranks[level][self.order[1:]] == self.ranks[level][self.order[:-1]]) + 1
+        a, b, length = self.order[near - 1], self.order[near], np.zeros(len(near), np.int64)
+        room = np.minimum(self.left[a], self.left[b])
+        for k in reversed(range(len(self.ranks))):
+            inside = length + (WORD << k) <= room
+            i, j = np.where(inside, a + length, a), np.where(inside, b + length, b)
+            length += np.where(inside & (self.ranks[k][i] == self.ranks[k][j]), WORD << k, 0)
+        rest = room - length
+        i, j = np.minimum(a + length, n - 1), np.minimum(b + length, n - 1)
+        differ = self.words[i] ^ self.words[j]
+        same = WORD - np.ceil(np.log2(differ.astype(np.float64) + 1) / 8).astype(np.int64)
+        # the logarithm is that of a rounded number: at the edge of a byte look again
+        same = np.where((same < WORD) & (differ >> np.uint64(8) * (WORD - 1 - np.minimum(same, WORD - 1)).astype(np.uint64) == 0), same + 1, same)
+        length += np.minimum(rest, same)
+        out[near] = np.where(length >= least, length, 0)
+        return out
 
 
 def intervals(sa: np.ndarray, lcp: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -214,45 +276,34 @@ def intervals(sa: np.ndarray, lcp: np.ndarray, left: np.ndarray, least: int) ->
     return out
 
 
-def maximal_repeats(strings: list[bytes], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Maximal repeats of ``least`` bytes or more among ``strings``: (length, [(string, offset), ...]) with all occurrences."""
-    out = []
-    for depth, first, last, owner, offset in _scan(strings, least):
-        out.append((depth, list(zip(owner[first : last + 1].tolist(), offset[first : last + 1].tolist()))))
-    return out
-
+def maximal_repeats(strings: list[bytes], least: int, times: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Maximal repeats of ``least`` bytes or more among ``strings``: (length, strings, offsets) with all occurrences.
 
-def _scan(strings: list[bytes], least: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    A string that stands for several places (``times``) is a repeat as a whole:
+    its leaf in the interval tree is an interval of its own.
+    """
     sizes = np.array([len(s) for s in strings], np.int64)
-    if not len(sizes) or not sizes.sum():
+    if not sizes.sum():
         return
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    symbols = np.empty(int((sizes + 1).sum()), np.int64)
-    body = np.ones(len(symbols), bool)
-    body[starts + sizes] = False
-    symbols[body] = np.frombuffer(b"".join(strings), np.uint8)
-    symbols[starts + sizes] = 256 + np.arange(len(strings))
-    sa, lcp = suffix_array(symbols, 1 << max(1, int(sizes.max())).bit_length())
-    before = np.where(sa > 0, symbols[sa - 1], -2)
-    before = np.where(before >= 256, -2 - before, before)
-    owner = np.searchsorted(starts, sa, "right") - 1
-    offset = sa - starts[owner]
-    for depth, first, last in intervals(sa, lcp, before, least):
-        yield depth, first, last, owner, offset
+    made = Suffixes(strings, int(sizes.max()))
+    before = np.where(made.order == made.starts[made.owner[made.order]], -2 - made.owner[made.order].astype(np.int64), made.data[np.maximum(made.order, 1) - 1])
+    owner = made.owner[made.order]
+    offset = made.order - made.starts[owner]
+    for depth, first, last in intervals(made.order, made.common(least), before, least):
+        yield depth, owner[first : last + 1], offset[first : last + 1]
+    for i in np.flatnonzero((times > 1) & (sizes >= least)).tolist() if times is not None else ():
+        yield int(sizes[i]), np.array([i]), np.array([0])
 
 
 def covered(strings: list[bytes], times: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
     """Byte ranges of each segment that the maximal repeats of ``length`` bytes or more among all of them cover.
 
-    ``times[i]`` is the number of places where segment i occurs; with more than
-    one it is met by a twin of itself.
+    ``times[i]`` is the number of places where segment i occurs.
     """
     found: list[list[tuple[int, int]]] = [[] for _ in strings]
-    twins = np.flatnonzero(times > 1).tolist()
-    of = [*range(len(strings)), *twins]
-    for depth, first, last, owner, offset in _scan(strings + [strings[i] for i in twins], length):
-        for o, at in zip(owner[first : last + 1].tolist(), offset[first : last + 1].tolist()):
-            found[of[o]].append((at, at + depth))
+    for depth, owner, offset in maximal_repeats(strings, length, times):
+        for o, at in zip(owner.tolist(), offset.tolist()):
+            found[o].append((at, at + depth))
     return [_merged(x) for x in found]
 
 
@@ -277,7 +328,7 @@ def _found(table: pa.Table, which: np.ndarray, lo: np.ndarray, hi: np.ndarray) -
     return pa.RecordBatch.from_arrays([*taken, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["key", "seg", "total", "r1", "r2", "lo", "hi"])
 
 
-def _compare(length: int, batch_bytes: int = 1 << 19) -> Callable:
+def _compare(length: int, batch_bytes: int = 1 << 18) -> Callable:
     """Scan a partition sorted by key, whole keys at a time, for what is covered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,18 +414,14 @@ def repeat_ranges(docs: DataFrame, length: int = 200, gram: int = 32, group_byte
     # Written first, so that both sides of the join below come straight from an
     # exchange, where a hot anchor's rows can be split among tasks.
     keys = materialise(parts.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "keys")
-    # One row of each segment: counted within salts first, so a segment of any
-    # number of rows is shared among tasks.
-    salted = parts.join(keys, "key").withColumn("salt", F.pmod("r1", F.lit(SALTS)))
-    within = Window.partitionBy("key", "seg", "salt")
-    counted = salted.select("key", "seg", "r1", "r2", "lo", "n", F.count("*").over(within).alias("same"), F.row_number().over(within.orderBy("r1", "r2", "lo")).alias("nth"))
-    shared = materialise(counted, "shared")
+    shared = materialise(parts.join(keys, "key").select("key", "seg", "r1", "r2", "lo", "n"), "shared")
     discard(parts)
+    # One place of each segment and their number, added up before the shuffle: a
+    # segment of any number of rows is one row a task.
     place = F.min(F.struct("r1", "r2", "lo", "n")).alias("one")
-    heads = materialise(shared.where("nth = 1").groupBy("key", "seg").agg(place, F.sum("same").alias("total")).select("key", "seg", "one.*", "total"), "heads")
-    # Anchors met by one segment with no other place are left; what the rest weighs decides how they are compared.
-    weight = F.sum((F.col("n") + F.lit(length - 1)) * F.least("total", F.lit(2)))
-    weighed = heads.groupBy("key").agg(weight.alias("bytes")).where(F.col("bytes") > group_bytes).select("key", F.lit(True).alias("wide"))
+    heads = materialise(shared.groupBy("key", "seg").agg(place, F.count("*").alias("total")).select("key", "seg", "one.*", "total"), "heads")
+    # What the different segments of an anchor weigh decides how they are compared.
+    weighed = heads.groupBy("key").agg(F.sum(F.col("n") + F.lit(length - 1)).alias("bytes")).where(F.col("bytes") > group_bytes).select("key", F.lit(True).alias("wide"))
     wanted = heads.join(weighed, "key", "left").select("r1", "r2", F.struct(*_HEAD, F.coalesce("wide", F.lit(False)).alias("wide")).alias("w"))
     wanted = wanted.groupBy("r1", "r2").agg(F.collect_list("w").alias("wanted"))
     fetched = rows.join(wanted, ["r1", "r2"]).select("text", "wanted")

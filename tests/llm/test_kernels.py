@@ -74,16 +74,34 @@ def test_maximal_repeats(seed):
     rng = random.Random(seed)
     strings, length = _strings(rng), 25
     got = [[False] * len(s) for s in strings]
-    for depth, places in repeats.maximal_repeats(strings, length):
+    for depth, owner, offset in repeats.maximal_repeats(strings, length):
+        places = list(zip(owner.tolist(), offset.tolist()))
         assert len(set(places)) > 1 and len({strings[o][p : p + depth] for o, p in places}) == 1
         before = {strings[o][p - 1 : p] if p else (o, "start") for o, p in places}
         after = {strings[o][p + depth : p + depth + 1] or (o, "end") for o, p in places}
         assert len(before) > 1 and len(after) > 1  # can't be longer
+        everywhere = {(o, p) for o, s in enumerate(strings) for p in range(len(s)) if s[p : p + depth] == strings[places[0][0]][places[0][1] : places[0][1] + depth]}
+        assert set(places) == everywhere  # all occurrences
         for o, p in places:
             got[o][p : p + depth] = [True] * depth
     assert got == _marks(strings, length)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_suffix_order(seed):
+    rng = random.Random(seed)
+    strings = [s for s in _strings(rng) if s] + [b"\0" * 13, b"\0" * 9, b"\xff\xfe" * 20, b"a" * 40]
+    made = repeats.Suffixes(strings, max(map(len, strings)))
+    places = [(o, int(i - made.starts[o])) for i, o in zip(made.order, made.owner[made.order])]
+    assert sorted(places) == [(o, p) for o, s in enumerate(strings) for p in range(len(s))]
+    common = made.common(repeats.WORD)
+    for (a, p), (b, q), n in zip(places, places[1:], common[1:].tolist()):
+        x, y = strings[a][p:], strings[b][q:]
+        same = next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
+        assert n == (same if same >= repeats.WORD else 0)
+        assert same in (len(x), len(y)) or x[same] < y[same]
+
+
 def test_segments_agree_on_equal_windows():
     rng = np.random.default_rng(1)
     passage = rng.integers(97, 123, 400, dtype=np.uint8)
