@@ -49,7 +49,7 @@ class Targets:
     tolerance: float = 1e-6
     #: Topics, and the different texts that their clusters are learnt from.
     topics: int = 12
-    sample: int = 2000
+    sample: int = 1000
     #: A margin's share may miss its target by this much before it counts as not met.
     slack: float = 0.005
     #: More cells than this are raked by aggregations.
@@ -66,9 +66,11 @@ OWN_MEANS = 32
 
 
 def _apart(rows: np.ndarray, langs: list[str], means: dict[str, np.ndarray]) -> np.ndarray:
-    """What sets each text apart from its language, so that topics don't repeat the languages."""
-    left = rows - np.array([means.get(x, means[""]) for x in langs], np.float32).reshape(rows.shape)
-    return left / np.maximum(np.linalg.norm(left, axis=1, keepdims=True), 1e-12)
+    """``rows``, changed in place to what sets each text apart from its language, so that topics don't repeat the languages."""
+    for i, lang in enumerate(langs):
+        rows[i] -= means.get(lang, means[""])
+        rows[i] /= max(float(np.linalg.norm(rows[i])), 1e-12)
+    return rows
 
 
 def learn_topics(docs: DataFrame, targets: Targets) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -79,7 +81,10 @@ def learn_topics(docs: DataFrame, targets: Targets) -> tuple[dict[str, np.ndarra
 
     def fit(table: pd.DataFrame) -> pd.DataFrame:
         langs, bodies = zip(*(t.split("\n", 1) for t in table.sort_values(["h", "text"])["text"]))
-        rows = np.concatenate([vectors(counts(g), idf) for g in groups(t.encode() for t in bodies)])
+        rows, filled = np.zeros((len(bodies), len(idf)), np.float32), 0
+        for group in groups(t.encode() for t in bodies):
+            rows[filled : filled + len(group)] = vectors(counts(group), idf)
+            filled += len(group)
         at = np.array(langs)
         means = {x: rows[at == x].mean(axis=0) for x, _ in Counter(langs).most_common(OWN_MEANS)} | {"": rows.mean(axis=0)}
         centres = cluster(_apart(rows, list(langs), means), targets.topics)[0]

@@ -61,7 +61,7 @@ class Model:
 class Featuriser:
     """Feature numbers of a text; those of recent words are remembered."""
 
-    def __init__(self, bits: int, cache: int = 400_000):
+    def __init__(self, bits: int, cache: int = 200_000):
         self.mask = (1 << bits) - 1
         self.words = RecentCache(cache)
 
@@ -100,24 +100,34 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, count: int, settings: Settin
     if not len(rows):
         return Model(np.zeros(size), np.linspace(-1, 1, count - 1) - 2.0, settings.bits, settings.tail)
     n = len(rows)
-    flat = np.concatenate(rows)
+    sizes = np.fromiter(map(len, rows), np.int64, n)
+    flat = np.concatenate(rows).astype(np.int32, copy=False)
     df = np.bincount(flat, minlength=size)
     used = np.flatnonzero((df >= settings.least_documents) & (df <= n - settings.least_documents))
-    to = np.full(size, -1, np.int64)
+    to = np.full(size, -1, np.int32)
     to[used] = np.arange(len(used))
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    # the sparse matrix by rows and by columns, as two arrays of numbers; sums run over stretches of them
     col = to[flat]
-    row, col = row[col >= 0], col[col >= 0]
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)[col >= 0]
+    col = col[col >= 0]
+    del flat
+    by_column = row[np.argsort(col, kind="stable")]
+    row_starts = np.flatnonzero(np.diff(row, prepend=-1))
+    filled = row[row_starts]
+    del row
+    column_starts = np.cumsum(df[used]) - df[used]
     share = df[used] / n
     spread = np.sqrt(share * (1 - share))
-    value = 1.0 / spread[col]
     centre = share / spread
 
     def times(w: np.ndarray) -> np.ndarray:
-        return np.bincount(row, value * w[col], n) - centre @ w
+        out = np.zeros(n)
+        if len(filled):
+            out[filled] = np.add.reduceat((w / spread)[col], row_starts)
+        return out - centre @ w
 
     def back(r: np.ndarray) -> np.ndarray:
-        return np.bincount(col, value * r[row], len(used)) - centre * r.sum()
+        return (np.add.reduceat(r[by_column], column_starts) / spread if len(used) else np.zeros(0)) - centre * r.sum()
 
     w = np.random.default_rng(1).normal(size=len(used)) if len(used) else np.zeros(0)
     top = 1.0
@@ -180,10 +190,12 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, settings: Settings =
     met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(drawn, "doc_id")
     one = met.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("grade").cast("int").alias("grade"))
     rows = one.select("doc_id", "text", "grade").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, features array<int>")
-    table = rows.toArrow().sort_by("doc_id")
-    features = table.column("features").combine_chunks()
-    flat, ends = features.flatten().to_numpy(), features.offsets.to_numpy() if table.num_rows else np.zeros(1, np.int64)
-    return fit([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], table.column("grade").to_numpy().astype(np.int64), grades, settings)
+    table = rows.toArrow()
+    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+    features, known = table.column("features").combine_chunks(), table.column("grade").to_numpy().astype(np.int64)[order]
+    del table
+    flat, ends = features.flatten().to_numpy(), features.offsets.to_numpy() if len(order) else np.zeros(1, np.int64)
+    return fit([flat[ends[i] : ends[i + 1]] for i in order.tolist()], known, grades, settings)
 
 
 def _judge(model: Model) -> Callable[[], Callable]:
