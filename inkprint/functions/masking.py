@@ -43,3 +43,10 @@ def mask_with_counts(df, column: str, prefix: str = ""):
     for rule in RULES:
         df = df.withColumn(f"{prefix}{rule}_count", count(F.col(column), rule)).withColumn(column, mask(F.col(column), rule))
     return df
+
+
+def replacement_counts(pairs):
+    """One row a split: its rows, and each rule's replacements over both texts, every rule counted on what those before it left."""
+    sided = pairs.select("split", F.explode(F.array(F.struct(F.lit(1).alias("one"), F.col("text1").alias("text")), F.struct(F.lit(0).alias("one"), F.col("text2").alias("text")))).alias("s"))
+    counted = mask_with_counts(sided.select("split", "s.one", "s.text"), "text")
+    return counted.groupBy("split").agg(F.sum("one").alias("num_rows"), *(F.sum(f"{r}_count").alias(f"{r}_count") for r in RULES))

@@ -4,14 +4,13 @@ A record is tokens array<struct<text,lower,lemma,pos,dep,is_punct,is_space>>,
 sentences and chunks array<struct<start,end>> (half-open token ranges), and
 ents array<struct<start,end,label>> (character ranges).
 
-``rules`` is the backend that needs no model: native expressions over word
-lists and endings.  ``spacy_records`` fills the same schema where that library
-and a model are installed.
+``records`` is the backend that needs no model: native expressions over word
+lists and endings.  ``model_records`` fills the same schema from a model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -28,7 +27,7 @@ RECORD = f"tokens array<{TOKEN}>, sentences array<{SPAN}>, chunks array<{SPAN}>,
 
 #: Placeholders stay whole; words keep inner apostrophes; anything else is one sign.
 TOKEN_PATTERN = r"<[A-Z_]+>|\p{L}+(?:['’]\p{L}+)*|\p{N}+(?:[.,]\p{N}+)*|[^\s\p{L}\p{N}]"
-_CLASSES = {
+CLASSES = {
     "DET": "the a an this that these those each every some any no all both",
     "PRON": "i you he she it we they me him her us them my your his its our their who whom whose which what myself himself herself itself ourselves themselves",
     "ADP": "of in to for on with at by from about as into like through after over between out against during without before under around among",
@@ -36,8 +35,9 @@ _CLASSES = {
     "SCONJ": "if because although while since unless whereas though whether",
     "AUX": "is are was were be been being am has have had do does did will would can could shall should may might must",
     "PART": "not n't",
+    "VERB": "go goes went make makes made say says said see sees saw know knows knew take takes took get gets got come comes came think thinks thought want wants give gives gave find finds found tell tells told run runs ran keep keeps kept let lets put puts seem seems feel feels felt become becomes became leave leaves left",
 }
-_ENDINGS = {"ADV": "ly", "VERB": "ing ed ize ise", "ADJ": "ous ful ive able ible al ic less"}
+ENDINGS = {"ADV": "ly", "VERB": "ing ed ize ise", "ADJ": "ous ful ive able ible al ic less"}
 
 
 def _in(word: Column, words: str) -> Column:
@@ -46,44 +46,48 @@ def _in(word: Column, words: str) -> Column:
 
 def _pos(text: Column, lower: Column) -> Column:
     out = F.when(text.rlike(r"^<[A-Z_]+>$"), "X").when(text.rlike(r"^\p{N}"), "NUM").when(~text.rlike(r"^\p{L}"), F.when(text.rlike(r"^\p{P}"), "PUNCT").otherwise("SYM"))
-    for tag, words in _CLASSES.items():
+    for tag, words in CLASSES.items():
         out = out.when(_in(lower, words), tag)
     out = out.when(text.rlike(r"^\p{Lu}\p{Ll}"), "PROPN")
-    for tag, endings in _ENDINGS.items():
+    for tag, endings in ENDINGS.items():
         out = out.when(lower.rlike(rf"\p{{L}}{{3}}(?:{'|'.join(endings.split())})$"), tag)
     return out.otherwise("NOUN")
 
 
 def _lemma(lower: Column, pos: Column) -> Column:
     stem = F.when((pos == "VERB") & lower.rlike("ing$"), F.regexp_replace(lower, "ing$", "")).when((pos == "VERB") & lower.rlike("ed$"), F.regexp_replace(lower, "ed$", ""))
-    return stem.when((pos == "NOUN") & lower.rlike("[^s]s$"), F.regexp_replace(lower, "s$", "")).otherwise(lower)
+    return stem.when(pos.isin("NOUN", "VERB") & lower.rlike("[^s]s$"), F.regexp_replace(lower, "s$", "")).otherwise(lower)
 
 
-_DEPS = {"DET": "det", "ADP": "prep", "CCONJ": "cc", "SCONJ": "mark", "AUX": "aux", "PART": "neg", "ADJ": "amod", "ADV": "advmod", "NUM": "nummod", "PUNCT": "punct", "VERB": "conj", "X": "dep", "SYM": "dep"}
+#: Roles by part of speech alone: all that rules without a parse can tell.
+DEPS = {
+    "DET": "det", "ADP": "prep", "CCONJ": "cc", "SCONJ": "mark", "AUX": "aux", "PART": "neg", "ADJ": "amod", "ADV": "advmod", "NUM": "nummod", "PUNCT": "punct",
+    "VERB": "ROOT", "NOUN": "dobj", "PROPN": "compound", "PRON": "nsubj", "X": "dep", "SYM": "dep",
+}
 
 
-def _dep(pos: Column, at: Column, root: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for kv in _DEPS.items() for x in kv))
-    return F.when(at == root, "ROOT").when(pos.isin("NOUN", "PROPN", "PRON"), F.when(at < root, "nsubj").otherwise("dobj")).otherwise(F.coalesce(F.try_element_at(table, pos), F.lit("dep")))
+def _dep(pos: Column) -> Column:
+    out = F.lit("dep")
+    for tag, role in DEPS.items():
+        out = F.when(pos == tag, role).otherwise(out)
+    return out
 
 
-def rules(text: Column) -> Column:
-    """Struct of tokens, sentences and chunks of ``text``, from expressions alone."""
-    found = F.regexp_extract_all(coerce(text), F.lit(TOKEN_PATTERN), F.lit(0))
-    tagged = F.transform(found, lambda t: F.struct(t.alias("text"), F.lower(t).alias("lower"), _pos(t, F.lower(t)).alias("pos")))
-    return tagged
+def empty_record() -> dict[str, Column]:
+    """The columns of a record without tokens."""
+    return {f.split(" ")[0]: F.array().cast(f.split(" ", 1)[1]) for f in ("tokens array<" + TOKEN + ">", f"sentences array<{SPAN}>", f"chunks array<{SPAN}>", f"ents array<{ENTITY}>")}
 
 
 def records(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add tokens, sentences, chunks and ents to each row, by rules."""
-    staged = df.withColumn("_tagged", rules(F.col(text)))
-    root = F.coalesce(F.array_position(F.transform("_tagged", lambda t: t["pos"]), "VERB"), F.lit(0)).cast("int") - 1
-    staged = staged.withColumn("_root", F.when(root >= 0, root).otherwise(0))
-    token = lambda t, i: F.struct(
+    """Add tokens, sentences, chunks and ents to each row, by rules; a null or blank text gets an empty record."""
+    found = F.regexp_extract_all(coerce(F.col(text)), F.lit(TOKEN_PATTERN), F.lit(0))
+    # one transform inside the other, so that each token is tagged once
+    tagged = F.transform(F.transform(found, lambda t: F.struct(t.alias("text"), F.lower(t).alias("lower"))), lambda t: F.struct(t["text"].alias("text"), t["lower"].alias("lower"), _pos(t["text"], t["lower"]).alias("pos")))
+    token = lambda t: F.struct(
         t["text"].alias("text"), t["lower"].alias("lower"), _lemma(t["lower"], t["pos"]).alias("lemma"), t["pos"].alias("pos"),
-        _dep(t["pos"], i, F.col("_root")).alias("dep"), (t["pos"] == "PUNCT").alias("is_punct"), F.lit(False).alias("is_space"),
+        _dep(t["pos"]).alias("dep"), (t["pos"] == "PUNCT").alias("is_punct"), F.lit(False).alias("is_space"),
     )
-    staged = staged.withColumn("tokens", F.transform("_tagged", token))
+    staged = df.withColumn("tokens", F.transform(tagged, token))
     at = lambda test: F.filter(F.transform("tokens", lambda t, i: F.when(test(t), i + 1)), lambda x: x.isNotNull())
     ends = at(lambda t: t["text"].isin(".", "!", "?"))
     closed = F.when(F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)) < F.size("tokens"), F.concat(ends, F.array(F.size("tokens")))).otherwise(ends)
@@ -93,38 +97,40 @@ def records(df: DataFrame, text: str = "text") -> DataFrame:
     heads = F.filter(F.transform("tokens", lambda t, i: F.when(nominal(t), i)), lambda x: x.isNotNull())
     last = F.filter(heads, lambda i: ~F.coalesce(F.get(F.col("tokens"), i + 1)["pos"].isin("NOUN", "PROPN"), F.lit(False)))
     chunks = F.transform(last, lambda i: F.struct(i.cast("int").alias("start"), (i + 1).cast("int").alias("end")))
-    no_ents = F.lit(None).cast(f"array<{ENTITY}>")
-    return staged.withColumns({"sentences": spans, "chunks": chunks, "ents": F.coalesce(no_ents, F.array().cast(f"array<{ENTITY}>"))}).drop("_tagged", "_root", "_ends")
+    return staged.withColumns({"sentences": spans, "chunks": chunks, "ents": empty_record()["ents"]}).drop("_ends")
 
 
 @lru_cache(maxsize=1)
-def _load(model: str):
+def load_spacy(model: str = "en_core_web_lg", gpu: bool = False, disabled: tuple[str, ...] = ()):
+    """A model of that library, once a worker; with ``gpu`` it is used if there is one."""
     import spacy
 
-    return spacy.load(model)
+    if gpu:
+        spacy.prefer_gpu()
+    return spacy.load(model, disable=list(disabled))
 
 
-def spacy_records(df: DataFrame, model: str = "en_core_web_lg", batch: int = 150, text: str = "text") -> DataFrame:
-    """The same columns from a spaCy model, loaded once a worker; needs that library."""
+def _record(doc) -> dict:
+    try:
+        chunks = [{"start": c.start, "end": c.end} for c in doc.noun_chunks]
+    except NotImplementedError:
+        chunks = []
+    return {
+        "tokens": [{"text": t.text, "lower": t.lower_, "lemma": t.lemma_, "pos": t.pos_, "dep": t.dep_, "is_punct": t.is_punct, "is_space": t.is_space} for t in doc],
+        "sentences": [{"start": s.start, "end": s.end} for s in doc.sents],
+        "chunks": chunks,
+        "ents": [{"start": e.start_char, "end": e.end_char, "label": e.label_} for e in doc.ents],
+    }
+
+
+def model_records(df: DataFrame, load: Callable = load_spacy, batch: int = 150, text: str = "text") -> DataFrame:
+    """The columns of ``records`` from a model; ``load`` makes it on a worker, and ``pipe(texts, batch_size=...)`` of it gives parsed texts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nlp = _load(model)
+        nlp = load()
         for frame in frames:
-            rows = []
-            for doc in nlp.pipe(frame[text].fillna("").tolist(), batch_size=batch):
-                try:
-                    chunks = [(c.start, c.end) for c in doc.noun_chunks]
-                except NotImplementedError:
-                    chunks = []
-                rows.append(
-                    {
-                        "tokens": [{"text": t.text, "lower": t.lower_, "lemma": t.lemma_, "pos": t.pos_, "dep": t.dep_, "is_punct": t.is_punct, "is_space": t.is_space} for t in doc],
-                        "sentences": [{"start": s.start, "end": s.end} for s in doc.sents],
-                        "chunks": [{"start": a, "end": b} for a, b in chunks],
-                        "ents": [{"start": e.start_char, "end": e.end_char, "label": e.label_} for e in doc.ents],
-                    }
-                )
-            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(rows)], axis=1)
+            rows = [_record(doc) for doc in nlp.pipe(frame[text].fillna("").tolist(), batch_size=batch)]
+            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(rows, columns=["tokens", "sentences", "chunks", "ents"])], axis=1)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInPandas(run, f"{kept}, {RECORD}")
@@ -147,5 +153,13 @@ def entity_mask(text: Column, ents: Column) -> Column:
 
 
 def entity_counts(df: DataFrame, by: str = "split") -> DataFrame:
-    """Entities of each label and split, skipped spans included."""
+    """Entities of each label and split over all rows and sides, skipped spans included."""
     return df.select(by, F.explode("ents").alias("e")).where(F.map_contains_key(entity_table(), F.col("e.label"))).groupBy(by, F.col("e.label").alias("label")).agg(F.count("*").alias("n"))
+
+
+def entity_summary(df: DataFrame, by: str = "split") -> DataFrame:
+    """One row a split: its rows, and a count for each label, 0 where it is missing."""
+    per = F.explode_outer("ents").alias("e")
+    counts = [F.count_if(F.col("e.label") == label).alias(f"{label}_count") for label in ENTITY_PLACEHOLDERS]
+    rows = df.groupBy(by).agg(F.count_distinct("pair_id").alias("num_rows"))
+    return df.select(by, per).groupBy(by).agg(*counts).join(rows, by).select(by, "num_rows", *(f"{label}_count" for label in ENTITY_PLACEHOLDERS))

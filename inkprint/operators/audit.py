@@ -107,14 +107,25 @@ def sides(pairs: DataFrame) -> DataFrame:
     return pairs.select(*keep, sided.alias("_s")).select(*keep, "_s.side", "_s.text")
 
 
-def ecdf(df: DataFrame, value: Column, order: str) -> DataFrame:
-    """Empirical distribution: x sorted, y = rank / count; ties get ranks of their own."""
-    counted = df.select(value.alias("x"), F.col(order))
-    total = counted.agg(F.count("*").alias("_n"))
-    groups = counted.groupBy("x").agg(F.count("*").alias("_k"))
-    before = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).join(F.broadcast(total))
-    return groups.select("x", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("_i"), "_before", "_n").select("x", ((F.col("_before") + F.col("_i")) / F.col("_n")).alias("y"))
+#: Values of the distribution function that share a cell, and rows made out of one at a time.
+CELL, RUN = 4096, 10_000
+
+
+def ecdf(df: DataFrame, value: Column) -> DataFrame:
+    """Empirical distribution of an integer ``value``: x sorted, y = rank / count; ties get ranks of their own.
+
+    Values are counted first.  Rows below a value come from sums over cells of
+    ``CELL`` values and from a window within its cell; a value of very many rows
+    is unfolded in runs, so no row holds more than ``RUN`` ranks.
+    """
+    groups = df.select(value.alias("x")).groupBy("x").agg(F.count("*").alias("_k")).withColumn("_cell", F.floor(F.col("x") / CELL))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    cells = groups.groupBy("_cell").agg(F.sum("_k").alias("_c"))
+    lower = cells.select("_cell", F.coalesce(F.sum("_c").over(upto(Window.orderBy("_cell"))), F.lit(0)).alias("_lower"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    ranked = groups.withColumn("_own", F.coalesce(F.sum("_k").over(upto(Window.partitionBy("_cell").orderBy("x"))), F.lit(0))).join(F.broadcast(lower), "_cell")
+    runs = ranked.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("_k") - 1) / RUN))))
+    ranks = F.sequence(F.col("_run") * RUN + 1, F.least(F.col("_k"), (F.col("_run") + 1) * RUN))
+    return runs.select("x", F.explode(ranks).alias("_i"), "_lower", "_own", "_n").select("x", ((F.col("_lower") + F.col("_own") + F.col("_i")) / F.col("_n")).alias("y"))
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:

@@ -32,22 +32,29 @@ def rates(df: DataFrame, digits: int | None = 5) -> DataFrame:
     return df.withColumns({k: F.bround(v, digits) if digits is not None else v for k, v in made.items()})
 
 
-def score_counts(scored: DataFrame) -> DataFrame:
-    """(score, pos, neg): all that metrics need, one row for each distinct score."""
-    return scored.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+#: Score cells of the ranking; sums of whole cells are all that one task sees at once.
+CELLS = 4096
 
 
-def roc_auc(scored: DataFrame, digits: int | None = 5) -> DataFrame:
-    """Area under the ROC curve by average ranks, ties halved.
+def roc_auc(scored: DataFrame, digits: int | None = 5, by: list[str] | None = None) -> DataFrame:
+    """Area under the ROC curve by average ranks, ties halved; with ``by``, of each group.
 
-    Scores are counted first, so what is ranked is the distinct scores.
+    Scores are counted first, so what is ranked is the distinct scores.  These
+    are dealt into cells by value: negatives of lower cells come from sums over
+    cells (``CELLS`` + 2 rows at most), those of the same cell from a window in it.
     """
-    counts = score_counts(scored)
-    before = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
-    total = ranked.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    keys = by or []
+    counts = scored.groupBy(*keys, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    cell = F.greatest(F.lit(-1), F.least(F.lit(CELLS), F.floor(F.col("score") * CELLS))).cast("int")
+    dealt = counts.withColumn("cell", cell)
+    upto = lambda *k, order: Window.partitionBy(*k).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    cells = dealt.groupBy(*keys, "cell").agg(F.sum("neg").alias("n"))
+    lower = cells.select(*keys, "cell", F.coalesce(F.sum("n").over(upto(*keys, order="cell")), F.lit(0)).alias("lower"))
+    ranked = dealt.withColumn("own", F.coalesce(F.sum("neg").over(upto(*keys, "cell", order="score")), F.lit(0))).join(lower, [*keys, "cell"])
+    below = F.col("lower") + F.col("own")
+    total = ranked.groupBy(*keys).agg(F.sum(F.col("pos") * (below + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     auc = F.try_divide(F.col("u"), F.col("p").cast("double") * F.col("n"))
-    return total.select((F.bround(auc, digits) if digits is not None else auc).alias("roc_auc"))
+    return total.select(*keys, (F.bround(auc, digits) if digits is not None else auc).alias("roc_auc"))
 
 
 def threshold_grid(scored: DataFrame, step: int = 100, digits: int = 5) -> DataFrame:
@@ -78,11 +85,11 @@ def evaluate(scored: DataFrame, threshold: float, digits: int = 5) -> DataFrame:
     return at.join(roc_auc(scored, digits), F.lit(True)).withColumn("threshold", F.lit(threshold))
 
 
-def app_metrics(df: DataFrame) -> DataFrame:
-    """f1, youden_j (recomputed from counts) and auc_roc as a service shows them."""
+def app_metrics(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """f1, youden_j (recomputed from counts) and auc_roc as a service shows them, beside the columns ``keep``."""
     tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
     sensitivity = F.coalesce(F.try_divide(tp, tp + fn), F.col("recall"), F.lit(0.0))
-    return df.select("f1", F.bround(sensitivity + F.coalesce(F.try_divide(tn, tn + fp), F.lit(0.0)) - 1, 5).alias("youden_j"), F.col("roc_auc").alias("auc_roc"))
+    return df.select(*(keep or []), "f1", F.bround(sensitivity + F.coalesce(F.try_divide(tn, tn + fp), F.lit(0.0)) - 1, 5).alias("youden_j"), F.col("roc_auc").alias("auc_roc"))
 
 
 def confidence(p: Column) -> Column:

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkprint.functions.lexicon import FAMILY_NAMES
 from inkprint.operators import metrics
+from inkprint.operators.pairwise import Spec, included
 
 
 @dataclass(frozen=True)
 class TrainingConfig:
-    include_local: bool = False
+    include_statistical: bool = True
+    include_tfidf: bool = True
+    include_char_ngrams: bool = True
+    include_pos_ngrams: bool = True
+    include_readability: bool = True
+    include_local: bool = True
     include_global: bool = True
     threshold_metric: str = "youden_j"
     threshold_steps: int = 100
@@ -28,39 +33,49 @@ class TrainingConfig:
     least_rows: int = 3
     seed: int = 42
 
+    @property
+    def families(self) -> tuple[str, ...]:
+        return included({f: getattr(self, f"include_{f}") for f in FAMILY_NAMES})
+
+    def spec(self, vocab_sizes: dict[str, int]) -> Spec:
+        """The features of a model; raises where none are switched on."""
+        if not (self.include_local or self.include_global):
+            raise ValueError("include_local or include_global must be on")
+        made = Spec.of(vocab_sizes, self.families, self.include_local, self.include_global)
+        if not made.size:
+            raise ValueError("no pair features are switched on")
+        return made
+
 
 @dataclass
 class Trained:
-    model: PipelineModel
+    model: GBTClassificationModel
     threshold: float
-    columns: list[str]
     metrics: dict[str, dict[str, float]]
 
 
-def fit(train: DataFrame, columns: list[str], config: TrainingConfig = TrainingConfig()) -> PipelineModel:
-    """Boosted trees of MLlib.  Its column sampling is per node and it has no weight penalties."""
+def fit(train: DataFrame, config: TrainingConfig = TrainingConfig()) -> GBTClassificationModel:
+    """Boosted trees of MLlib over the vectors ``features``.  Its column sampling is per node and it has no weight penalties."""
     trees = GBTClassifier(
         labelCol="label", featuresCol="features", maxIter=config.trees, maxDepth=config.depth, stepSize=config.rate,
         subsamplingRate=config.subsample, featureSubsetStrategy=str(config.column_share), minInstancesPerNode=config.least_rows, seed=config.seed,
     )
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), trees]).fit(train.withColumn("label", F.col("same").cast("double")))
+    return trees.fit(train.withColumn("label", F.col("same").cast("double")))
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
     """Add ``score``: the probability of the same author."""
     made = model.transform(df)
     return made.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def train(features: DataFrame, columns: list[str], config: TrainingConfig = TrainingConfig()) -> Trained:
-    """Fit on train, choose the threshold on validation, report on test with it."""
-    if not columns or not (config.include_local or config.include_global):
-        raise ValueError("no pair features are switched on")
-    model = fit(features.where("split = 'train'"), columns, config)
+def train(features: DataFrame, config: TrainingConfig = TrainingConfig()) -> Trained:
+    """Fit on train, choose the threshold on validation, report on test with it; ``features`` has split, same and the vectors."""
+    model = fit(features.where("split = 'train'"), config)
     scored = predict(model, features.where("split <> 'train'")).withColumn("label", F.col("same")).select("split", "label", "score").cache()
     grid = metrics.threshold_grid(scored.where("split = 'validation'"), config.threshold_steps)
     best = metrics.best_threshold(grid, config.threshold_metric).first()
     threshold = float(best["threshold"]) if best else 0.5
     report = {split: metrics.evaluate(scored.where(F.col("split") == split), threshold).first().asDict() for split in ("validation", "test")}
     scored.unpersist()
-    return Trained(model, threshold, columns, report)
+    return Trained(model, threshold, report)

@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkprint.functions.lexicon import CONTENT_POS, function_words
+from inkprint.functions.lexicon import CONTENT_POS, function_words, stop_words
 from inkprint.functions.text import words
 from inkprint.operators.stats import is_word
 
@@ -43,10 +42,6 @@ def keep_token(t: Column, function_list: tuple[str, ...], stop_list: tuple[str,
     return is_word(t) & ~marked & (F.length(lemma) >= least) & lemma.rlike(r"\p{L}") & t["pos"].isin(*pos) & ~lemma.isin(*function_list) & ~lemma.isin(*stop_list)
 
 
-def stop_words() -> tuple[str, ...]:
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
-
-
 def content_lemmas(tokens: Column, function_list: tuple[str, ...] | None = None, stop_list: tuple[str, ...] | None = None) -> Column:
     lists = function_list or function_words(), stop_list if stop_list is not None else stop_words()
     return F.transform(F.filter(tokens, lambda t: keep_token(t, *lists)), lambda t: F.lower(t["lemma"]))
@@ -92,15 +87,30 @@ def vocabulary(counts: DataFrame, documents: int, config: TermConfig) -> DataFra
     return table.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("term_idx"), "df", "tf", (F.log((F.lit(1.0) + documents) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf(counts: DataFrame, vocab: DataFrame, keys: list[str], bounded: bool = True) -> DataFrame:
-    """(keys, term, term_idx, weight): (1 + ln tf) * idf over its L2 norm; unknown terms are dropped."""
-    table = vocab.select("term", "term_idx", "idf")
-    joined = counts.join(F.broadcast(table) if bounded else table, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
+def tfidf(counts: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, term, term_idx, weight): (1 + ln tf) * idf over its L2 norm; unknown terms are dropped.
+
+    For vocabularies of any size: whether they are broadcast is left to what
+    their size turns out to be.  ``sparse.weights`` does the same in the row.
+    """
+    joined = counts.join(vocab.select("term", "term_idx", "idf"), "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*keys)))
     return joined.withColumn("weight", F.col("raw") / norm).select(*keys, "term", "term_idx", "weight")
 
 
-def density(texts: DataFrame, weights: DataFrame, keys: list[str], digits: int = 5) -> DataFrame:
-    """Mean number of non-zero terms a text; texts without any count as zero."""
-    per = weights.groupBy(*keys).agg(F.count("*").alias("nnz"))
-    return texts.select(*keys).join(per, keys, "left").agg(F.bround(F.coalesce(F.avg(F.coalesce("nnz", F.lit(0))), F.lit(0.0)), digits).alias("density"))
+def density(weighed: DataFrame, columns: list[str], by: list[str], digits: int | None = 5) -> DataFrame:
+    """Mean number of non-zero terms a row of each of ``columns`` of weights, and rows, by group."""
+    r = (lambda c: F.bround(c, digits)) if digits is not None else (lambda c: c)
+    means = [r(F.avg(F.size(F.col(c)["idx"]))).alias(f"{c}_density") for c in columns]
+    return weighed.groupBy(*by).agg(F.count("*").alias("num_rows"), *means)
+
+
+def summary(sides: DataFrame, vocabs: dict[str, DataFrame], digits: int = 5) -> DataFrame:
+    """One row a split: pairs, size of each vocabulary, and each side's density of each family.
+
+    ``sides`` has split, side and a column of weights named like each vocabulary.
+    """
+    cells = [F.bround(F.avg(F.when(F.col("side") == side, F.size(F.col(f)["idx"]))), digits).alias(f"{side}_{f}_density") for f in vocabs for side in ("text1", "text2")]
+    sizes = [F.lit(v.count()).alias(f"{f}_vocabulary_size") for f, v in vocabs.items()]
+    made = sides.groupBy("split").agg(F.count_if(F.col("side") == "text1").alias("num_rows"), *cells)
+    return made.select("split", "num_rows", *sizes, *(c for c in made.columns if c.endswith("_density")))

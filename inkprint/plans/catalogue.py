@@ -2,28 +2,50 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.functions import masking, readability, text
-from inkprint.operators import annotate, audit, metrics, model, pairwise, reduce, stats, terms
+from inkprint.functions import lexicon, masking, readability, text
+from inkprint.operators import annotate, audit, metrics, model, pairwise, reduce, sparse, stats, terms
 from inkprint.plans import features, fixtures
 from inkprint.plans.fixtures import PAIRS_SQL, SCORED_SQL, english, pairs
-from inkprint.sources.tables import read_table, shared_folder
+from inkprint.sources.tables import read_table, shared_folder, written
 from inkprint.streaming.masking import masked_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
+def _same_rounding(sql: str) -> str:
+    """``round(x, d)`` as ``near`` does it: engines differ in how they round the last digit."""
+    out, at = "", 0
+    while (found := re.compile(r"\bround\(").search(sql, at)) is not None:
+        depth, end, comma = 1, found.end(), 0
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            comma = end if sql[end] == "," and depth == 1 else comma
+            end += 1
+        digits = sql[comma + 1 : end - 1].strip()
+        out += sql[at : found.start()] + f"(floor(({_same_rounding(sql[found.end() : comma])}) * 1e{digits} + 0.5) / 1e{digits})"
+        at = end
+    return out + sql[at:]
+
+
+def near(value: Column, digits: int) -> Column:
+    """Rounded by plain arithmetic on doubles, which every engine does alike."""
+    return F.floor(value * F.lit(10.0**digits) + 0.5) / F.lit(10.0**digits)
+
+
+def query(sql: str | None = None, name: str | None = None, raw: bool = False):
     def register(f):
         key = name or f.__name__
         QUERIES[key] = f
         if sql is not None:
-            SQL[key] = sql
+            SQL[key] = sql if raw else _same_rounding(sql)
         return f
 
     return register
@@ -65,7 +87,7 @@ def duplicate_count(spark, sf):
 
 
 def _rounded(df: DataFrame, digits: int) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(near(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def _length_sql(side: str) -> str:
@@ -114,12 +136,7 @@ def stage_head(spark, sf):
     f"with w as (select {_n_words('text')} x, doc_id from documents) select x, row_number() over (order by x, doc_id) / (count(*) over ())::double as y from w"
 )
 def word_count_ecdf(spark, sf):
-    return audit.ecdf(read_table(spark, sf, "documents"), text.word_count(F.col("text")), "doc_id")
-
-
-@query("select least(floor(x / 200.0), 49)::int as bin, count(*) as n from (select length(text)::double x from documents) where x between 0 and 10000 group by bin")
-def length_histogram(spark, sf):
-    return audit.histogram(read_table(spark, sf, "documents"), F.length("text"), 0, 10_000, 50)
+    return audit.ecdf(read_table(spark, sf, "documents"), text.word_count(F.col("text")))
 
 
 @query(
@@ -153,8 +170,8 @@ _STEPS = {
     "strip": (text.strip, "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"),
 }
 for _name, (_step, _sql) in _STEPS.items():
-    query(f"select doc_id, md5({_sql.format(_DIRTY)}) as digest from documents where lang = 'en'", f"norm_{_name}")(
-        lambda spark, sf, step=_step: english(spark, sf).select("doc_id", F.md5(step(_dirty())).alias("digest"))
+    query(f"select doc_id, md5({_sql.format(_DIRTY)}) as digest from documents", f"norm_{_name}")(
+        lambda spark, sf, step=_step: read_table(spark, sf, "documents").select("doc_id", F.md5(step(_dirty())).alias("digest"))
     )
 
 _chain = _DIRTY
@@ -162,42 +179,49 @@ for _name in ("lines", "control", "quotes", "spaces", "trim_newlines", "newlines
     _chain = _STEPS[_name][1].format(_chain)
 
 
-@query(f"select doc_id, md5({_chain}) as digest from documents where lang = 'en' and not contains(text, '$') and not contains(text, '\\')")
+#: Without the signs that begin a formula, which RE2 can't match as Java does.
+_PLAIN = "translate(text, '$\\', '')"
+
+
+@query(f"select doc_id, md5({_chain}) as digest from (select doc_id, {_PLAIN} as text from documents)")
 def norm_chain(spark, sf):
-    clean = english(spark, sf).where(~F.contains(F.col("text"), F.lit("$")) & ~F.contains(F.col("text"), F.lit("\\")))
-    return clean.select("doc_id", F.md5(text.tidy(_dirty())).alias("digest"))
+    plain = read_table(spark, sf, "documents").withColumn("text", F.translate("text", "$\\", ""))
+    return plain.select("doc_id", F.md5(text.tidy(_dirty())).alias("digest"))
 
 
 @query()
 def norm_chain_full(spark, sf):
-    """The chain over all English documents, spans of formulas included; RE2 can't express these."""
-    return english(spark, sf).select("doc_id", F.md5(text.tidy(_dirty())).alias("digest"))
+    """The chain over all documents, spans of formulas included; RE2 can't express these."""
+    return read_table(spark, sf, "documents").select("doc_id", F.md5(text.tidy(_dirty())).alias("digest"))
 
 
-_MATH = {
-    r"$\alpha$": "alpha", r"$x^2 + y^2 = z^2$": "<MATH>", "costs $5 and then $6 more": "costs <MATH>6 more", r"$$ \varphi $$ and \(\Omega\) or \[a+b\]": "phi and omega or <MATH>",
-    r"escaped \$5 and $6": r"escaped \$5 and $6", r"$\unknown$": "<MATH>", "": "", "no math": "no math",
+#: Formulas put behind each text, and what becomes of them.
+_FORMULAS = {
+    r"$\alpha$": "alpha", r"$x^2 + y^2 = z^2$": "<MATH>", r"$$ \varphi $$ and \(\Omega\) or \[a+b\]": "phi and omega or <MATH>", r"$\unknown$": "<MATH>", "costs $5 and then $6 more": "costs <MATH>6 more",
 }
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    def lit(v):
-        return "null" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+def _pick(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "\'\'") + "'" for v in values) + f"][doc_id % {len(values)} + 1]"
 
-    return f"select * from (values {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names})"
 
+def _picked(values: list[str]) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
 
-@query(_values([(i, out) for i, out in enumerate(_MATH.values())], "id, out"))
+
+@query(f"select doc_id, md5(concat({_PLAIN}, ' ', {_pick(list(_FORMULAS.values()))}, ' end')) as digest from documents")
 def norm_math(spark, sf):
-    return spark.createDataFrame(list(enumerate(_MATH)), "id int, x string").select("id", text.math_spans(F.col("x")).alias("out"))
+    made = F.concat(F.translate("text", "$\\", ""), F.lit(" "), _picked(list(_FORMULAS)), F.lit(" end"))
+    return read_table(spark, sf, "documents").select("doc_id", F.md5(text.math_spans(made)).alias("digest"))
 
 
-_HTML = {"a &amp; b &lt;c&gt;": "a & b <c>", "é": "é", "café &eacute;": "café é", None: ""}
+_HTML = {"a &amp; b &lt;c&gt;": "a & b <c>", "e\u0301": "\u00e9", "caf&eacute; &#233;": "caf\u00e9 \u00e9", "&quot;x&quot;": '"x"'}
 
 
-@query(_values([(i, out) for i, out in enumerate(_HTML.values())], "id, out"))
+@query(f"select doc_id, md5(nfc_normalize(concat(translate(text, '&', ''), ' ', {_pick(list(_HTML.values()))}))) as digest from documents")
 def norm_html_nfc(spark, sf):
-    return spark.createDataFrame(list(enumerate(_HTML)), "id int, x string").select("id", text.normalize(F.col("x")).alias("out"))
+    made = F.concat(F.translate("text", "&", ""), F.lit(" "), _picked(list(_HTML)))
+    return read_table(spark, sf, "documents").select("doc_id", F.md5(text.repair()(made)).alias("digest"))
 
 
 @query(f"with {PAIRS_SQL} select split, {', '.join(f'round(avg({v}), 3) as {c}_mean_{u}_length' for c in ('text1', 'text2') for u, v in (('word', _n_words(c)), ('char', f'length({c})')))} from p group by split")
@@ -226,18 +250,20 @@ for _rule in masking.RULES:
 
 
 def _counts_sql() -> str:
-    steps, before = [f"m0 as (select doc_id, {_TAILED} t from documents where lang = 'en')"], []
+    tail = f"'{_TAIL}'"
+    steps, before = [f"m0 as (select split, 1 one, concat(text1, {tail}) t from p union all select split, 0, concat(text2, {tail}) from p)"], ["one as num_rows"]
     for i, rule in enumerate(masking.RULES):
-        steps.append(f"m{i + 1} as (select doc_id, {''.join(b + ', ' for b in before)}len(regexp_extract_all(t, '{_re2(rule)}')) {rule}_count, {_mask_sql('t', rule)} t from m{i})")
+        kept = "".join(b.split(" as ")[0] + ", " for b in before)
+        steps.append(f"m{i + 1} as (select split, {kept}len(regexp_extract_all(t, '{_re2(rule)}')) {rule}_count, {_mask_sql('t', rule)} t from m{i})")
         before.append(f"{rule}_count")
-    sums = ", ".join(f"sum({b}) as {b}" for b in before)
-    return f"with {', '.join(steps)} select doc_id % 10 as part, {sums} from m{len(masking.RULES)} group by part"
+    sums = ", ".join(f"sum({b.split(' as ')[0]}) as {b.split(' as ')[-1]}" for b in before)
+    return f"with {PAIRS_SQL}, {', '.join(steps)} select split, {sums} from m{len(masking.RULES)} group by split"
 
 
 @query(_counts_sql())
 def mask_counts(spark, sf):
-    counted = masking.mask_with_counts(english(spark, sf).withColumn("t", F.concat("text", F.lit(_TAIL))), "t")
-    return counted.groupBy((F.col("doc_id") % 10).alias("part")).agg(*(F.sum(f"{r}_count").alias(f"{r}_count") for r in masking.RULES))
+    tailed = pairs(spark, sf).withColumns({c: F.concat(c, F.lit(_TAIL)) for c in ("text1", "text2")})
+    return masking.replacement_counts(tailed)
 
 
 _chain_sql = _TAILED
@@ -250,277 +276,311 @@ def mask_chain(spark, sf):
     return english(spark, sf).select("doc_id", F.md5(masking.mask_all(F.concat("text", F.lit(_TAIL)))).alias("digest"))
 
 
-@query()
+def _step_sql(value: str, names: tuple[str, ...]) -> str:
+    for name in names:
+        value = _STEPS[name][1].format(value)
+    return value
+
+
+_STREAMED = _step_sql("translate(text, '$\\&', '')", ("lines", "control", "quotes", "spaces", "trim_newlines", "newlines", "strip"))
+for _rule in masking.RULES:
+    _STREAMED = _mask_sql(_STREAMED, _rule)
+
+
+@query(f"select doc_id, md5({_STREAMED}) as digest from documents where lang = 'en'")
 def stream_masking(spark, sf):
-    """The stateless stages over a file stream, run to its end."""
+    """The stateless stages over a file stream of English texts (RE2's word edges know ASCII only), run to its end."""
     schema = read_table(spark, sf, "documents").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*")  # a pattern, so that it may be one file or a folder
     folder = shared_folder(spark)
-    made = masked_stream(stream).select("doc_id", F.md5("text").alias("digest"))
+    plain = stream.where("lang = 'en'").withColumn("text", F.translate("text", "$\\&", ""))
+    made = masked_stream(plain).select("doc_id", F.md5("text").alias("digest"))
     made.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
     return spark.read.schema("doc_id long, digest string").parquet(f"{folder}/rows")
 
 
 # ---- annotation
 
-_SPLICED = [
-    (1, "Ann met Bob Lee in Rome", [(8, 15, "PERSON"), (0, 3, "PERSON"), (12, 15, "ORG"), (19, 23, "GPE")], "<PERSON> met <PERSON> in <GPE>"),
-    (2, "at the Louvre by the Nile", [(7, 13, "FAC"), (17, 25, "LOC"), (0, 2, "NOTHING")], "at the <FACILITY> by <LOCATION>"),
-    (3, "nothing here", [], "nothing here"),
-]
+#: Entities of each text: its first three characters, four that overlap these, one of no known label, its last five.
+_ENTS = [("PERSON", 0, 3), ("ORG", 2, 6), ("NOTHING", 8, 9), ("FAC", -5, 0)]
 
 
-def _spans(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([r[:3] for r in _SPLICED], f"id int, text string, ents array<{annotate.ENTITY}>")
+def _with_entities(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").where(F.length("text") >= 20)
+    size = F.length("text")
+    spans = [(F.lit(a), F.lit(b), label) if a >= 0 else (size + a, size, label) for label, a, b in reversed(_ENTS)]
+    made = F.array(*(F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(label).alias("label")) for a, b, label in spans))
+    return docs.withColumn("ents", made)
 
 
-@query(_values([(r[0], r[3]) for r in _SPLICED], "id, out"))
+@query("select doc_id, md5(concat('<PERSON>', substring(text, 4, length(text) - 8), '<FACILITY>')) as digest from documents where length(text) >= 20")
 def ner_splice(spark, sf):
-    return _spans(spark).select("id", annotate.entity_mask(F.col("text"), F.col("ents")).alias("out"))
+    return _with_entities(spark, sf).select("doc_id", F.md5(annotate.entity_mask(F.col("text"), F.col("ents"))).alias("digest"))
 
 
-@query(_values([("all", "PERSON", 2), ("all", "ORG", 1), ("all", "GPE", 1), ("all", "FAC", 1), ("all", "LOC", 1)], "split, label, n"))
+@query("select split, label, count(*) as n from (select lang as split, unnest(['PERSON', 'ORG', 'FAC']) as label from documents where length(text) >= 20) group by all")
 def ner_counts(spark, sf):
-    return annotate.entity_counts(_spans(spark).withColumn("split", F.lit("all")))
-
+    return annotate.entity_counts(_with_entities(spark, sf).withColumnRenamed("lang", "split"))
 
-_TOKENS = f"t as (select doc_id, regexp_extract_all(text, '{annotate.TOKEN_PATTERN.replace(chr(39), chr(39) * 2)}') ws from documents where lang = 'en')"
-_SMALL = ("the", "of", "and", "to", "is")
 
+def _quoted(words) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
-def _tokens_that(test: str) -> str:
-    return f"list_filter(ws, lambda w: {test})"
 
+def _case(cases: list[tuple[str, str]], other: str) -> str:
+    return "case " + " ".join(f"when {test} then {value}" for test, value in cases) + f" else {other} end"
 
-_ENDS = f"(len({_tokens_that("w in ('.', '!', '?')")}) + case when ws[-1] in ('.', '!', '?') then 0 else 1 end)::double"
-_SPELT = _tokens_that("not regexp_matches(w, '^\\p{P}') and not regexp_matches(w, '^<[^<>]+>$')")
-
-
-@query(
-    f"with {_TOKENS}, c as (select doc_id, len(ws) n, len({_tokens_that("regexp_matches(w, '^\\p{P}')")}) p, {_ENDS} e, len({_tokens_that(f'lower(w) in {_SMALL}')}) f, "
-    f"list_sum(list_transform({_SPELT}, lambda w: length(w)))::double chars, len({_SPELT}) words from t) "
-    "select doc_id, round((n - p) / e, 6) as avg_sentence_length_words, round(f / e, 6) as avg_function_words_per_sentence, round(p / n::double, 6) as punctuation_rate, "
-    "round(chars / words, 6) as avg_word_length, round(f / (n - p)::double, 6) as function_word_rate from c"
-)
-def stat_basic(spark, sf):
-    made = annotate.records(english(spark, sf).select("doc_id", "text"))
-    return _rounded(made.select("doc_id", *(c.alias(n) for n, c in stats.basic(_SMALL, None).items())), 6)
 
+def _tokens_sql() -> str:
+    """Tables t (doc_id, tokens) and g (doc_id, i, w, l, pos, lemma, dep) by the rules of the annotation."""
+    pattern = annotate.TOKEN_PATTERN.replace("'", "''")
+    tags = [(r"regexp_matches(w, '^<[A-Z_]+>$')", "'X'"), (r"regexp_matches(w, '^\p{N}')", "'NUM'"), (r"not regexp_matches(w, '^\p{L}')", r"case when regexp_matches(w, '^\p{P}') then 'PUNCT' else 'SYM' end")]
+    tags += [(f"l in {_quoted(words.split())}", f"'{tag}'") for tag, words in annotate.CLASSES.items()]
+    tags += [(r"regexp_matches(w, '^\p{Lu}\p{Ll}')", "'PROPN'")]
+    tags += [(rf"regexp_matches(l, '\p{{L}}{{3}}(?:{'|'.join(ends.split())})$')", f"'{tag}'") for tag, ends in annotate.ENDINGS.items()]
+    noun = _case(tags, "'NOUN'")
+    lemma = _case([("pos = 'VERB' and l like '%ing'", "left(l, length(l) - 3)"), ("pos = 'VERB' and l like '%ed'", "left(l, length(l) - 2)"), ("pos in ('NOUN', 'VERB') and regexp_matches(l, '[^s]s$')", "left(l, length(l) - 1)")], "l")
+    dep = _case([(f"pos = '{tag}'", f"'{role}'") for tag, role in annotate.DEPS.items()], "'dep'")
+    return (
+        f"t as (select doc_id, regexp_extract_all(text, '{pattern}') ws from documents), "
+        "k as (select doc_id, unnest(ws) w, generate_subscripts(ws, 1) i from t), kl as (select *, lower(w) l from k), "
+        f"kp as (select *, {noun} pos from kl), g as (select *, {lemma} lemma, {dep} dep from kp)"
+    )
 
-_GOLDEN = {
-    "avg_sentence_length_words": 4.0, "avg_function_words_per_sentence": 1.5, "punctuation_rate": 0.2, "avg_word_length": 3.5, "function_word_rate": 0.375,
-    "phrase_noun_phrase_rate": 0.75, "phrase_prepositional_phrase_rate": 0.25, "phrase_clausal_phrase_rate": 0.0, "pos_noun_rate": 0.25, "pos_verb_rate": 0.25,
-    "pos_punctuation_rate": 0.0, "dep_root_rate": 0.25, "dep_nominal_subject_rate": 0.25,
-}
 
+_KNOWN = lexicon.function_words()
+_TOKENS = _tokens_sql()
+
+
+def _statistics_sql() -> str:
+    """Table st (doc_id, the 74 statistics) from t and g."""
+    word, spelt = "pos <> 'PUNCT'", "pos <> 'PUNCT' and not regexp_matches(w, '^<[^<>]+>$')"
+    roles = [(f"pos_{n}_rate", "pos", label) for n, label in lexicon.POS_ROLES.items()] + [(f"dep_{n}_rate", "dep", label) for n, label in lexicon.DEP_ROLES.items()]
+    counts = ", ".join(f"count(*) filter ({word} and {c} = '{label}') as n_{name}" for name, c, label in roles)
+    matched = ", ".join(f"count(*) filter ({word} and {c} in {_quoted(r.values())}) as m_{c}" for c, r in (("pos", lexicon.POS_ROLES), ("dep", lexicon.DEP_ROLES)))
+    rate = lambda a, b: f"coalesce({a} / nullif({b}, 0)::double, 0)"
+    basic = dict(zip(stats.BASIC, (("words", "sents"), ("known", "sents"), ("signs", "seen"), ("chars", "spelt"), ("known", "words"))))
+    phrase = dict(zip(stats.PHRASES, ((c, "(chunks + preps + clauses)") for c in ("chunks", "preps", "clauses"))))
+    out = ", ".join(f"{rate(a, b)} as {n}" for n, (a, b) in {**basic, **phrase, **{name: (f"n_{name}", f"m_{c}") for name, c, _ in roles}}.items())
+    return (
+        "e as (select doc_id, greatest(1, coalesce(len(list_filter(ws, lambda w: w in ('.', '!', '?'))), 0) + case when coalesce(len(ws), 0) = 0 or ws[-1] in ('.', '!', '?') then 0 else 1 end) sents from t), "
+        "h as (select *, lead(pos) over (partition by doc_id order by i) after from g), "
+        f"n as (select doc_id, count(*) seen, count(*) filter ({word}) words, count(*) filter (pos = 'PUNCT') signs, count(*) filter ({word} and l in {_quoted(_KNOWN)}) known, "
+        f"count(*) filter ({spelt}) spelt, coalesce(sum(length(w)) filter ({spelt}), 0) chars, count(*) filter (pos in ('NOUN', 'PROPN', 'PRON') and coalesce(after not in ('NOUN', 'PROPN'), true)) chunks, "
+        f"count(*) filter (dep = 'prep') preps, count(*) filter (dep in {_quoted(lexicon.CLAUSAL)}) clauses, {counts}, {matched} from h group by doc_id), "
+        f"st as (select doc_id, {out} from e left join n using (doc_id))"
+    )
 
-@query(_values([(1, *_GOLDEN.values()), (2, *(0.0 for _ in _GOLDEN))], "id, " + ", ".join(_GOLDEN)).replace("0.", "0.").replace("select *", "select id, " + ", ".join(f"{k}::double as {k}" for k in _GOLDEN)))
-def stat_golden(spark, sf):
-    made = stats.document_statistics(fixtures.golden_record(spark), ("the", "it", "into"))
-    return made.select("id", *_GOLDEN)
 
+_STATISTICS = f"{_TOKENS}, {_statistics_sql()}"
 
-_WORD_TOKENS = (
-    f"k as (select doc_id, unnest({_WORDS.format('text')}) w, generate_subscripts({_WORDS.format('text')}, 1) i from documents where lang = 'en'), "
-    "g as (select doc_id, i, w, ['NOUN', 'VERB', 'ADP'][length(w) % 3 + 1] pos from k where not regexp_matches(w, '^\\p{P}+$'))"
-)
 
+def _statistics(spark, sf) -> DataFrame:
+    records = annotate.records(read_table(spark, sf, "documents").select("doc_id", "text"))
+    return stats.document_statistics(records, ["doc_id"], digits=None)
 
-@query(f"with {_WORD_TOKENS} select doc_id, round(count(*) filter (pos = 'NOUN') / count(*)::double, 6) as pos_noun_rate, round(count(*) filter (pos = 'VERB') / count(*)::double, 6) as pos_verb_rate, round(count(*) filter (pos = 'ADP') / count(*)::double, 6) as pos_adposition_rate from g group by doc_id")
-def stat_pos_rates(spark, sf):
-    made = fixtures.word_records(english(spark, sf))
-    return _rounded(made.select("doc_id", *(stats.pos_rates(None)[k].alias(k) for k in ("pos_noun_rate", "pos_verb_rate", "pos_adposition_rate"))), 6)
 
+for _name, _columns in (("stat_basic", stats.BASIC), ("stat_phrases", stats.PHRASES), ("stat_pos_rates", stats.NAMES[8:27]), ("stat_all_features", stats.NAMES)):
+    query(f"with {_STATISTICS} select doc_id, {', '.join(f'round({c}, 6) as {c}' for c in _columns)} from st", _name)(
+        lambda spark, sf, columns=_columns: _rounded(_statistics(spark, sf).select("doc_id", *columns), 6)
+    )
 
-@query()
-def stat_all_features(spark, sf):
-    """All 74 statistics of English documents by the rule backend."""
-    return stats.document_statistics(annotate.records(english(spark, sf).select("doc_id", "text"))).drop("text", "tokens", "sentences", "chunks", "ents")
+_SIDES = "sd as (select pair_id, split, 'text1' side, id1 doc_id from p union all select pair_id, split, 'text2', id2 from p)"
+_PAIRS_IDS = PAIRS_SQL.replace("text1, text2, same from q", "text1, text2, same, id1, id2 from q")
 
 
-@query()
+@query(f"with {_PAIRS_IDS.replace('e as (', 'en as (').replace('from e ', 'from en ').replace('join e ', 'join en ')}, {_SIDES}, {_STATISTICS} select split, side, {', '.join(f'round(avg({c}), 4) as mean_{c}' for c in stats.BASIC)} from sd join st using (doc_id) group by all")
 def stat_summary(spark, sf):
-    made = annotate.records(audit.sides(pairs(spark, sf)))
-    return stats.statistics_summary(made.withColumns(stats.basic(_SMALL)))
-
-
-# ---- terms
-
-_KEPT = f"kept as (select doc_id, i, lower(w) term from g where pos in ('NOUN', 'VERB') and length(w) >= 2 and regexp_matches(lower(w), '\\p{{L}}') and lower(w) not in {_SMALL} and lower(w) not in ('that') and not (starts_with(w, '<') and ends_with(w, '>')))"
-
+    records = annotate.records(audit.sides(pairs(spark, sf)))
+    made = stats.document_statistics(records, features.KEYS, digits=None)
+    return _rounded(made.groupBy("split", "side").agg(*(F.avg(c).alias(f"mean_{c}") for c in stats.BASIC)), 4)
 
-def _lemma_counts(spark, sf) -> DataFrame:
-    made = fixtures.word_records(english(spark, sf))
-    return terms.term_counts(made, terms.ngrams(terms.content_lemmas(F.col("tokens"), _SMALL, ("that",)), 1, 2), ["doc_id"])
 
+# ---- terms; by text: its id stands for a pair's, so the feature plan can be used as it is
 
-_LEMMA_TERMS = f"{_WORD_TOKENS}, {_KEPT}, n2 as (select doc_id, term || ' ' || lead(term) over (partition by doc_id order by i) term from kept), every as (select doc_id, term from kept union all select doc_id, term from n2 where term is not null), c as (select doc_id, term, count(*) tf from every group by all)"
+_CONTENT = (
+    f"kept as (select doc_id, i, lemma term from g where pos in {_quoted(lexicon.CONTENT_POS)} and length(lemma) >= 2 and regexp_matches(lemma, '\\p{{L}}') "
+    f"and lemma not in {_quoted(_KNOWN)} and not (starts_with(w, '<') and ends_with(w, '>')))"
+)
+_RUNS = {
+    "tfidf": f"{_CONTENT}, every as (select doc_id, term from kept union all select doc_id, two from (select doc_id, term || ' ' || lead(term) over (partition by doc_id order by i) two from kept) where two is not null)",
+    "pos_ngrams": "sq as (select doc_id, pos p0, lead(pos) over w p1, lead(pos, 2) over w p2 from g where pos <> 'PUNCT' window w as (partition by doc_id order by i)), "
+    "every as (select doc_id, p0 || ' ' || p1 term from sq where p1 is not null union all select doc_id, p0 || ' ' || p1 || ' ' || p2 from sq where p2 is not null)",
+    "char_ngrams": f"cw as (select doc_id, w, count(*) m from (select doc_id, unnest({_WORDS.format('text')}) w from documents) group by all), "
+    "every as (select doc_id, m, unnest(case when length(w) < 4 then [w] else list_transform(range(1, length(w) - 2), lambda i: substring(w, i, 4)) end) term from cw)",
+}
+_LIMITS = {"tfidf": 25_000, "char_ngrams": 50_000, "pos_ngrams": 5_000}
 
 
-@query(f"with {_LEMMA_TERMS} select doc_id, count(*) as terms, sum(tf) as tokens from c group by doc_id")
-def content_terms(spark, sf):
-    return _lemma_counts(spark, sf).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"))
+def _counts_of(family: str) -> str:
+    """Table c (doc_id, term, tf) of a family."""
+    base = "" if family == "char_ngrams" else f"{_TOKENS}, "
+    return f"{base}{_RUNS[family]}, c as (select doc_id, term, {'sum(m)::bigint' if family == 'char_ngrams' else 'count(*)'} tf from every group by all)"
 
 
-def _vocab_sql(top: int) -> str:
-    n = "(select count(*) from documents where lang = 'en')"
-    return f"v0 as (select term, count(*) df, sum(tf)::bigint tf from c group by term having count(*) >= 2 and count(*) <= 0.95 * {n} order by tf desc, term limit {top}), v as (select term, (row_number() over (order by term) - 1)::int term_idx, df, tf, ln((1.0::double + {n}) / (1 + df)) + 1 idf from v0)"
+def _weights_of(family: str) -> str:
+    """Tables v (vocabulary) and x (doc_id, term_idx, weight) of a family."""
+    n = "(select count(*) from documents)"
+    return (
+        f"{_counts_of(family)}, v0 as (select term, count(*) df, sum(tf)::bigint tf from c group by term having count(*) >= 2 and count(*) <= 0.95 * {n} order by tf desc, term limit {_LIMITS[family]}), "
+        f"v as (select term, (row_number() over (order by term) - 1)::int term_idx, df, tf, ln((1.0::double + {n}) / (1 + df)) + 1 idf from v0), "
+        "r as (select doc_id, term_idx, (1 + ln(c.tf)) * idf raw from c join v using (term)), x as (select doc_id, term_idx, raw / sqrt(sum(raw * raw) over (partition by doc_id)) weight from r)"
+    )
 
 
-def _english_count(spark, sf) -> int:
-    return english(spark, sf).count()
+def _counts(spark, sf, family: str) -> DataFrame:
+    """doc_id and the counts of one family of all documents."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    if family == "char_ngrams":
+        made = sparse.gram_counts(F.col("text"))
+    else:
+        docs = annotate.records(docs)
+        made = sparse.ngram_counts(terms.content_lemmas(F.col("tokens")), 1, 2) if family == "tfidf" else sparse.ngram_counts(terms.pos_sequence(F.col("tokens")), 2, 3)
+    return written(docs.select("doc_id", made.alias(family)), "counts")
 
 
-@query(f"with {_LEMMA_TERMS}, {_vocab_sql(25_000)} select term, term_idx, df, tf, round(idf, 6) as idf from v")
-def lemma_tfidf_vocab(spark, sf):
-    return _rounded(terms.vocabulary(_lemma_counts(spark, sf), _english_count(spark, sf), terms.LEMMAS), 6)
+_SETTINGS = features.FeatureConfig().terms
 
 
-_WEIGHTS = "r as (select doc_id, term, term_idx, (1 + ln(tf)) * idf raw from c join v using (term)), x as (select doc_id, term_idx, raw / sqrt(sum(raw * raw) over (partition by doc_id)) weight from r)"
-_WEIGHTS = _WEIGHTS.replace("(1 + ln(tf)) * idf", "(1 + ln(c.tf)) * idf")
+def _vocabulary(counts: DataFrame, family: str) -> DataFrame:
+    return sparse.fit(counts, family, counts.count(), _SETTINGS[family])
 
 
-@query(f"with {_LEMMA_TERMS}, {_vocab_sql(25_000)}, {_WEIGHTS} select doc_id, term_idx, round(weight, 5) as weight from x")
-def lemma_tfidf_weights(spark, sf):
-    counts = _lemma_counts(spark, sf)
-    made = terms.tfidf(counts, terms.vocabulary(counts, _english_count(spark, sf), terms.LEMMAS), ["doc_id"])
-    return _rounded(made.select("doc_id", "term_idx", "weight"), 5)
+def _weights(spark, sf, family: str) -> DataFrame:
+    counts = _counts(spark, sf, family)
+    return sparse.weights(counts, family, _vocabulary(counts, family), "w", ["doc_id"])
 
 
-_GRAMS = (
-    f"k as (select doc_id, unnest({_WORDS.format('text')}) w from documents where lang = 'en'), kw as (select doc_id, w, count(*) m from k group by all), "
-    "gr as (select doc_id, m, unnest(case when length(w) < 4 then [w] else list_transform(range(1, length(w) - 2), lambda i: substring(w, i, 4)) end) term from kw), "
-    "c as (select doc_id, term, sum(m)::bigint tf from gr group by all)"
-)
+def _term_queries(family: str, stem: str) -> None:
+    @query(f"with {_counts_of(family)} select doc_id, count(*) as terms, sum(tf) as grams from c group by doc_id", f"{stem}_terms")
+    def counted(spark, sf):
+        return sparse.long_counts(_counts(spark, sf, family), family, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("grams"))
 
+    @query(f"with {_counts_of(family)} select term, count(*) as df, sum(tf) as tf from c group by term", f"{stem}_df")
+    def frequencies(spark, sf):
+        return sparse.long_counts(_counts(spark, sf, family), family, []).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
-def _gram_counts(spark, sf) -> DataFrame:
-    return terms.term_counts(english(spark, sf), terms.char_grams(F.col("text")), ["doc_id"])
+    @query(f"with {_weights_of(family)} select term, term_idx, df, tf, round(idf, 6) as idf from v", f"{stem}_vocab")
+    def fitted(spark, sf):
+        return _rounded(_vocabulary(_counts(spark, sf, family), family), 6)
 
+    @query(f"with {_weights_of(family)} select doc_id, term_idx, round(weight, 5) as weight from x", f"{stem}_tfidf")
+    def weighted(spark, sf):
+        return _rounded(sparse.long_weights(_weights(spark, sf, family), "w", ["doc_id"]), 5)
 
-@query(f"with {_GRAMS} select doc_id, count(*) as terms, sum(tf) as grams from c group by doc_id")
-def chargram_terms(spark, sf):
-    return _gram_counts(spark, sf).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("grams"))
+    @query(
+        f"with {_weights_of(family)}, nz as (select doc_id, count(*) nnz from x group by doc_id) select lang, count(*) as num_rows, round(avg(coalesce(nnz, 0)), 3) as w_density from documents left join nz using (doc_id) group by lang",
+        f"{stem}_density",
+    )
+    def density(spark, sf):
+        made = _weights(spark, sf, family).join(read_table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+        return _rounded(terms.density(made, ["w"], ["lang"], None), 3)
 
 
-@query(f"with {_GRAMS} select term, count(*) as df, sum(tf) as tf from c group by term")
-def chargram_df(spark, sf):
-    return _gram_counts(spark, sf).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+for _family, _stem in (("tfidf", "lemma"), ("char_ngrams", "chargram"), ("pos_ngrams", "pos")):
+    _term_queries(_family, _stem)
 
 
-@query(f"with {_GRAMS}, {_vocab_sql(2000)} select term, term_idx, df, tf, round(idf, 6) as idf from v")
-def chargram_vocab(spark, sf):
-    config = terms.TermConfig("char_ngrams", max_features=2000)
-    return _rounded(terms.vocabulary(_gram_counts(spark, sf), _english_count(spark, sf), config), 6)
+def _indices_sql(digits: str = "round({0}, 3)") -> str:
+    shown = lambda x: digits.format(x)
+    return f"""select doc_id, case when w = 0 then 0 else {shown("0.39 * (w / s) + 11.8 * (y / w) - 15.59")} end as readability_flesch_kincaid_grade,
+      case when w = 0 then 0 else {shown("0.4 * (w / s + 100 * (h / w))")} end as readability_gunning_fog,
+      case when s < 3 then 0 else {shown("1.043 * sqrt(30 * (h / s)) + 3.1291")} end as readability_smog,
+      case when w = 0 then 0 else {shown("0.0588 * (100 * (l / w)) - 0.296 * (100 * (s / w)) - 15.8")} end as readability_coleman_liau from
+      (select doc_id, s::double s, w::double w, l::double l, coalesce(list_sum(y), 0)::double y, len(list_filter(y, lambda x: x >= 3))::double h from
+      (select doc_id, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[.!?]+'))) s, len(ws) w,
+        coalesce(list_sum(list_transform(ws, lambda x: length(replace(x, chr(39), '')))), 0) l,
+        list_transform(ws, lambda x: greatest(1, len(regexp_extract_all(lower(x), '[aeiouy]+')) - case when regexp_matches(lower(x), '[^aeiouyl]e$') then 1 else 0 end)) y from
+      (select doc_id, text, regexp_extract_all(coalesce(text, ''), '{readability.WORD.replace("'", "''")}') ws from documents)))"""
 
 
-@query(SQL["chargram_vocab"].replace("limit 2000)", "limit 50000)"))
-def chargram_vocab_full(spark, sf):
-    return _rounded(terms.vocabulary(_gram_counts(spark, sf), _english_count(spark, sf), terms.CHARS), 6)
+@query(_indices_sql())
+def readability_indices(spark, sf):
+    return _rounded(readability.add_readability(read_table(spark, sf, "documents").select("doc_id", "text"), digits=None).drop("text"), 3)
 
 
-def _gram_weights(spark, sf, config=terms.TermConfig("char_ngrams", max_features=2000)) -> DataFrame:
-    counts = _gram_counts(spark, sf).persist()
-    vocab = terms.vocabulary(counts, _english_count(spark, sf), config)
-    return terms.tfidf(counts, vocab, ["doc_id"])
+# ---- pairs of neighbours by id
 
 
-_GRAM_WEIGHTS = f"{_GRAMS}, {_vocab_sql(2000)}, {_WEIGHTS}"
+def _renamed(sql: str, prefix: str) -> str:
+    """The tables of a family's SQL under names of their own, so that several families fit in one statement."""
+    for name in ("v0", "v", "r", "x", "c", "every"):
+        sql = re.sub(rf"\b{name}(?= as \()", f"{prefix}_{name}", sql)
+        sql = re.sub(rf"\b(from|join) {name}\b", rf"\1 {prefix}_{name}", sql)
+    return sql.replace("c.tf", f"{prefix}_c.tf")
 
 
-@query(f"with {_GRAM_WEIGHTS} select doc_id, term_idx, round(weight, 5) as weight from x")
-def chargram_tfidf(spark, sf):
-    return _rounded(_gram_weights(spark, sf).select("doc_id", "term_idx", "weight"), 5)
+def _families_sql() -> str:
+    """Tables f (family, doc_id, term_idx, weight) of all families, sz (number of each one's first suffix) and al (aligned pairs)."""
+    flat, scored = ", ".join(stats.NAMES), ", ".join(f"readability_{k}" for k in readability.INDICES)
+    sizes = {f: f"(select count(*) from {p}_v)" for f, p in (("tfidf", "lm"), ("char_ngrams", "ch"), ("pos_ngrams", "ps"))}
+    first, starts = str(len(stats.NAMES)), []
+    for family, size in sizes.items():
+        starts.append(f"{first} as {family}")
+        first = f"{first} + {size}"
+    parts = [
+        _STATISTICS,
+        *(_renamed(_weights_of(f).removeprefix(f"{_TOKENS}, "), p) for f, p in (("tfidf", "lm"), ("char_ngrams", "ch"), ("pos_ngrams", "ps"))),
+        f"rx as ({_indices_sql('{0}')})",
+        f"f as (select 'statistical' family, doc_id, generate_subscripts([{flat}], 1) - 1 term_idx, unnest([{flat}]) weight from st union all select 'tfidf', doc_id, term_idx, weight from lm_x "
+        "union all select 'char_ngrams', doc_id, term_idx, weight from ch_x union all select 'pos_ngrams', doc_id, term_idx, weight from ps_x "
+        f"union all select 'readability', doc_id, generate_subscripts([{scored}], 1) - 1, unnest([{scored}]) from rx)",
+        f"sz as (select 0 as statistical, {', '.join(starts)}, {first} as readability)",
+        "pp as (select a.doc_id pair_id, b.doc_id other from documents a join documents b on b.doc_id = a.doc_id + 1)",
+        "al as (select pair_id, family, term_idx, sum(a) a, sum(b) b from (select pair_id, family, term_idx, weight a, 0::double b from pp join f on f.doc_id = pair_id "
+        "union all select pair_id, family, term_idx, 0, weight from pp join f on f.doc_id = other) group by all)",
+    ]
+    return ", ".join(parts)
 
 
-@query(f"with {_GRAM_WEIGHTS}, d as (select doc_id, (select count(*) from x where x.doc_id = documents.doc_id) nnz from documents where lang = 'en') select round(avg(nnz), 3) as density from d")
-def density_stats(spark, sf):
-    return _rounded(terms.density(english(spark, sf), _gram_weights(spark, sf), ["doc_id"]), 3)
+_FAMILIES = _families_sql()
 
 
-@query(SQL["chargram_tfidf"].replace("limit 2000)", "limit 50000)"))
-def chargram_tfidf_full(spark, sf):
-    return _rounded(_gram_weights(spark, sf, terms.CHARS).select("doc_id", "term_idx", "weight"), 5)
+def _neighbours(spark, sf) -> tuple[DataFrame, dict[str, int]]:
+    """Rows of ``pairwise.paired`` for documents of successive ids, and the sizes of the vocabularies."""
+    docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("pair_id"), F.lit("train").alias("split"), F.lit("text1").alias("side"), "text")
+    records = written(annotate.records(docs).withColumn("masked", F.col("text")), "records")
+    counts = written(features.counted(records, digits=None), "counts")
+    vocabs = features.vocabularies(counts)
+    made = features.sides(counts, features.statistics(records, digits=None), vocabs)
+    sides = written(made.select(F.col("pair_id").alias("id"), F.struct(*features.FAMILIES).alias("w")), "sides")
+    met = sides.select(F.col("id").alias("pair_id"), F.col("w").alias("a")).join(sides.select((F.col("id") - 1).alias("pair_id"), F.col("w").alias("b")), "pair_id")
+    return met, {f: v.count() for f, v in vocabs.items()}
 
 
-@query(SQL["density_stats"].replace("limit 2000)", "limit 50000)"))
-def density_stats_full(spark, sf):
-    return _rounded(terms.density(english(spark, sf), _gram_weights(spark, sf, terms.CHARS), ["doc_id"]), 3)
+@query(f"with {_FAMILIES} select pair_id, count(*) as terms, round(sum(abs(a - b)), 4) as abs_diff, round(sum(a * b), 4) as product from al where family = 'char_ngrams' group by pair_id")
+def pair_local(spark, sf):
+    met, _ = _neighbours(spark, sf)
+    d = sparse.distances(F.col("a")["char_ngrams"], F.col("b")["char_ngrams"])
+    return _rounded(met.select("pair_id", d.alias("d")).select("pair_id", "d.terms", "d.abs_diff", "d.product").where("terms > 0"), 4)
 
 
 @query(
-    f"with {_WORD_TOKENS}, s as (select doc_id, i, pos p0, lead(pos) over w p1, lead(pos, 2) over w p2 from g window w as (partition by doc_id order by i)), "
-    "every as (select doc_id, p0 || ' ' || p1 term from s where p1 is not null union all select doc_id, p0 || ' ' || p1 || ' ' || p2 from s where p2 is not null) "
-    "select term, count(distinct doc_id) as df, count(*) as tf from every group by term"
+    f"with {_FAMILIES}, gl as (select pair_id, case when family in ('statistical', 'readability') then 'scalar' else family end as family, a, b from al) "
+    "select pair_id, family, round(coalesce(sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0), 0), 4) as cosine, round(sum(abs(a - b)), 4) as l1, round(sqrt(sum((a - b) * (a - b))), 4) as l2 from gl group by all"
 )
-def pos_ngrams(spark, sf):
-    return _pos_counts(spark, sf).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-
-
-def _pos_counts(spark, sf) -> DataFrame:
-    made = fixtures.word_records(english(spark, sf))
-    return terms.term_counts(made, terms.ngrams(terms.pos_sequence(F.col("tokens")), 2, 3), ["doc_id"])
-
-
-_POS_EVERY = SQL["pos_ngrams"].rpartition(" select term, count(distinct doc_id)")[0]
-
-
-@query(f"{_POS_EVERY}, c as (select doc_id, term, count(*) tf from every group by all), {_vocab_sql(5000)}, {_WEIGHTS} select doc_id, term_idx, round(weight, 5) as weight from x")
-def pos_tfidf(spark, sf):
-    counts = _pos_counts(spark, sf)
-    made = terms.tfidf(counts, terms.vocabulary(counts, _english_count(spark, sf), terms.POS), ["doc_id"])
-    return _rounded(made.select("doc_id", "term_idx", "weight"), 5)
+def pair_global(spark, sf):
+    met, _ = _neighbours(spark, sf)
+    cells = [F.struct(F.lit(f).alias("family"), sparse.distances(*((pairwise.scalar(F.col(s)) if f == "scalar" else F.col(s)[f]) for s in ("a", "b"))).alias("d")) for f in pairwise.GLOBAL]
+    long = met.select("pair_id", F.explode(F.array(*cells)).alias("c")).select("pair_id", "c.family", "c.d.terms", "c.d.cosine", "c.d.l1", "c.d.l2")
+    return _rounded(long.where("terms > 0").drop("terms"), 4)
 
 
 @query(
-    f"""with w0 as (select doc_id, text, regexp_extract_all(text, '{readability.WORD.replace("'", "''")}') ws from documents where lang = 'en'),
-    w1 as (select doc_id, greatest(1, len(regexp_extract_all(text, '[.!?]+'))) s, len(ws) w,
-      list_sum(list_transform(ws, lambda x: length(replace(x, '''', '')))) l,
-      list_transform(ws, lambda x: greatest(1, len(regexp_extract_all(lower(x), '[aeiouy]+')) - case when regexp_matches(lower(x), '[^aeiouyl]e$') then 1 else 0 end)) y from w0),
-    n as (select doc_id, s::double s, w::double w, l::double l, list_sum(y)::double y, len(list_filter(y, lambda x: x >= 3))::double h from w1)
-    select doc_id, round(0.39 * w / s + 11.8 * y / w - 15.59, 3) as readability_flesch_kincaid_grade, round(0.4 * (w / s + 100 * h / w), 3) as readability_gunning_fog,
-      case when s < 3 then 0.0::double else round(1.043 * sqrt(30 * h / s) + 3.1291, 3) end as readability_smog, round(0.0588 * (100 * l / w) - 0.296 * (100 * s / w) - 15.8, 3) as readability_coleman_liau
-    from n where w > 0"""
+    f"with {_FAMILIES}, nn as (select pair_id, a, b, term_idx + case family when 'statistical' then sz.statistical when 'tfidf' then sz.tfidf when 'char_ngrams' then sz.char_ngrams when 'pos_ngrams' then sz.pos_ngrams else sz.readability end s from al, sz), "
+    "cells as (select pair_id, 2 * s as place, abs(a - b) as value from nn union all select pair_id, 2 * s + 1, a * b from nn) "
+    "select pair_id, count(*) as entries, max(place)::bigint as last, round(coalesce(sum(value) filter (place % 2 = 0), 0), 4) as abs_diff, round(coalesce(sum(value) filter (place % 2 = 1), 0), 4) as product, round(sum(value * (place % 97)), 3) as placed from cells where value <> 0 group by pair_id"
 )
-def readability_indices(spark, sf):
-    return _rounded(readability.add_readability(english(spark, sf).select("doc_id", "text").where(F.col("text").rlike("[A-Za-z]")), digits=None).drop("text"), 3)
-
-
-# ---- pairs
-
-
-def _pair_weights(spark, sf, *config) -> tuple[DataFrame, DataFrame]:
-    """Pairs of neighbours by id, and the weights of both sides' character grams."""
-    weights = _gram_weights(spark, sf, *config).withColumn("family", F.lit("char_ngrams")).persist()
-    ids = english(spark, sf).select("doc_id")
-    met = ids.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other")).join(ids, "doc_id")
-    long = met.select(F.col("doc_id").alias("pair_id"), F.explode(F.array(F.struct(F.lit("text1").alias("side"), F.col("doc_id").alias("d")), F.struct(F.lit("text2").alias("side"), F.col("other").alias("d")))).alias("s"))
-    sided = long.select("pair_id", "s.side", F.col("s.d").alias("doc_id")).join(weights, "doc_id").select("pair_id", "side", "family", "term_idx", "weight")
-    return met, sided
-
-
-_SIDED = f"{_GRAM_WEIGHTS}, en as (select doc_id from documents where lang = 'en'), pp as (select a.doc_id pair_id, b.doc_id other from en a join en b on b.doc_id = a.doc_id + 1), la as (select pair_id, term_idx, weight a from pp join x on x.doc_id = pair_id), lb as (select pair_id, term_idx, weight b from pp join x on x.doc_id = other), al as (select coalesce(la.pair_id, lb.pair_id) pair_id, coalesce(a, 0) a, coalesce(b, 0) b from la full outer join lb on la.pair_id = lb.pair_id and la.term_idx = lb.term_idx)"
-
-
-@query(f"with {_SIDED} select pair_id, count(*) as terms, round(sum(abs(a - b)), 4) as abs_diff, round(sum(a * b), 4) as product from al group by pair_id")
-def pair_local(spark, sf, *config):
-    made = pairwise.local(_pair_weights(spark, sf, *config)[1])
-    return _rounded(made.groupBy("pair_id").agg(F.count("*").alias("terms"), F.sum("abs_diff").alias("abs_diff"), F.sum("product").alias("product")), 4)
-
-
-@query(f"with {_SIDED} select pair_id, 'char_ngrams' as family, round(coalesce(sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0), 0), 4) as cosine, round(sum(abs(a - b)), 4) as l1, round(sqrt(sum((a - b) * (a - b))), 4) as l2 from al group by pair_id")
-def pair_global(spark, sf, *config):
-    return _rounded(pairwise.global_features(_pair_weights(spark, sf, *config)[1]), 4)
-
-
-@query(SQL["pair_local"].replace("limit 2000)", "limit 50000)"))
-def pair_local_full(spark, sf):
-    return pair_local(spark, sf, terms.CHARS)
-
-
-@query(SQL["pair_global"].replace("limit 2000)", "limit 50000)"))
-def pair_global_full(spark, sf):
-    return pair_global(spark, sf, terms.CHARS)
+def pair_matrix(spark, sf):
+    """Digest of each pair's local vector over all families: abs-diff of suffix n at 2n, product at 2n + 1."""
+    met, sizes = _neighbours(spark, sf)
+    spec = pairwise.Spec.of(sizes, features.FAMILIES, True, False)
+    cells = F.arrays_zip(F.col("features.indices").alias("at"), F.col("features.values").alias("value"))
+    made = pairwise.vectors(met, spec).select("pair_id", F.explode(cells).alias("c"))
+    at, value = F.col("c.at"), F.col("c.value")
+    part = lambda odd: F.coalesce(F.sum(F.when(at % 2 == odd, value)), F.lit(0.0))
+    made = made.groupBy("pair_id").agg(F.count("*").alias("entries"), F.max(at).cast("long").alias("last"), part(0).alias("abs_diff"), part(1).alias("product"), F.sum(value * (at % 97)).alias("placed"))
+    return made.select("pair_id", "entries", "last", near(F.col("abs_diff"), 4).alias("abs_diff"), near(F.col("product"), 4).alias("product"), near(F.col("placed"), 3).alias("placed"))
 
 
 @query(
@@ -532,21 +592,25 @@ def embedding_distances(spark, sf):
     e = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
     met = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
     d = pairwise.array_distances(F.col("embedding"), F.col("other"))
-    return met.select("vec_id", F.round(d["cosine"], 5).alias("cosine"), F.round(d["l1"], 4).alias("l1"), F.round(d["l2"], 5).alias("l2"))
+    return met.select("vec_id", near(d["cosine"], 5).alias("cosine"), near(d["l1"], 4).alias("l1"), near(d["l2"], 5).alias("l2"))
 
 
-_NAMES = {"tfidf_00001": "tfidf", "char4_tfidf_00002": "char_ngrams", "pos(2, 3)_tfidf_00000": "pos_ngrams", "readability_smog": "readability", "avg_word_length": "statistical", "pos_noun_rate": "statistical"}
+_NAMES = {"tfidf_": "tfidf", "char4_tfidf_": "char_ngrams", "pos(2, 3)_tfidf_": "pos_ngrams", "readability_": "readability", "avg_word_length_": "statistical", "pos_noun_rate_": "statistical"}
+_NAMED = list(_NAMES.values())
 
 
-@query(_values(list(_NAMES.items()), "name, family"))
+@query(f"select doc_id, concat({_pick(list(_NAMES))}, doc_id) as name, {_pick(_NAMED)} as family from documents")
 def feature_families(spark, sf):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").withColumn("family", pairwise.family_of(F.col("name")))
+    made = read_table(spark, sf, "documents").select("doc_id", F.concat(_picked(list(_NAMES)), F.col("doc_id").cast("string")).alias("name"))
+    return made.withColumn("family", pairwise.family_of(F.col("name")))
 
 
 @query()
 def svd_project(spark, sf):
-    e = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return reduce.project(e, "embedding", reduce.fit_svd(e, "embedding", 8), "components").select("vec_id", "components")
+    """Components of the embeddings; a test holds them against a dense decomposition."""
+    e = read_table(spark, sf, "embeddings").select("vec_id", reduce.dense(F.col("embedding")).alias("v"))
+    made = reduce.fit_svd(e, "v", 8, e.agg(F.max(F.size("v.idx"))).first()[0])
+    return reduce.project(e, "v", made, "c").select("vec_id", F.col("c.weight").alias("components"))
 
 
 @query()
@@ -555,8 +619,8 @@ def gbt_score(spark, sf):
     e = read_table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
     met = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"), F.col("label").alias("l2nd")), "vec_id")
     d = pairwise.array_distances(F.col("embedding"), F.col("other"))
-    rows = met.select("vec_id", (F.col("label") == F.col("l2nd")).cast("int").alias("same"), *(c.alias(n) for n, c in d.items()))
-    trees = model.fit(rows.where("vec_id % 10 < 7"), list(d), model.TrainingConfig(trees=10))
+    rows = met.select("vec_id", (F.col("label") == F.col("l2nd")).cast("int").alias("same"), array_to_vector(F.array(*d.values())).alias("features"))
+    trees = model.fit(rows.where("vec_id % 10 < 7"), model.TrainingConfig(trees=10))
     return model.predict(trees, rows).select("vec_id", "same", "score", metrics.decision(F.col("score"), 0.5).alias("predicted"))
 
 
@@ -578,7 +642,7 @@ def confusion_metrics(spark, sf):
 
 @query(f"with {SCORED_SQL}, k as (select label, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 r from s) select round((sum(r) filter (label = 1) - count(*) filter (label = 1) * (count(*) filter (label = 1) + 1) / 2.0) / (count(*) filter (label = 1) * count(*) filter (label = 0))::double, 5) as roc_auc from k")
 def roc_auc(spark, sf):
-    return metrics.roc_auc(fixtures.scored(spark, sf))
+    return _rounded(metrics.roc_auc(fixtures.scored(spark, sf), None), 5)
 
 
 @query(f"with {_GRID_SQL} select * from m")
@@ -591,13 +655,22 @@ def best_threshold(spark, sf):
     return metrics.best_threshold(metrics.threshold_grid(fixtures.scored(spark, sf)))
 
 
-_PUBLISHED = [("validation", 2858, 546, 1077, 2963, 0.73342, 0.785, 0.87306), ("test", 3009, 512, 1039, 2826, 0.73118, 0.78467, 0.87719)]
+_BY_LANG = f"{SCORED_SQL}, sl as (select lang, score, label from s join documents using (doc_id))"
+_LANG_AUC = (
+    "select lang, (sum(r) filter (label = 1) - count(*) filter (label = 1) * (count(*) filter (label = 1) + 1) / 2.0) / nullif(count(*) filter (label = 1) * count(*) filter (label = 0), 0)::double as auc "
+    "from (select lang, label, rank() over (partition by lang order by score) + (count(*) over (partition by lang, score) - 1) / 2.0 r from sl) group by lang"
+)
 
 
-@query(_values([("validation", 0.785, 0.57302, 0.87306), ("test", 0.78467, 0.58576, 0.87719)], "split, f1, youden_j, auc_roc").replace("select *", "select f1::double as f1, youden_j::double as youden_j, auc_roc::double as auc_roc"))
+@query(
+    f"with {_BY_LANG}, cm as (select lang, {_CONFUSED} from sl cross join (select 0.5 t) group by lang), m as (select lang, {_RATES_SQL} from cm), au as ({_LANG_AUC}) "
+    "select lang as split, round(f1, 4) as f1, round(youden_j, 4) as youden_j, round(auc, 4) as auc_roc from m join au using (lang)"
+)
 def app_metrics(spark, sf):
-    rows = spark.createDataFrame(_PUBLISHED, "split string, tn long, fp long, fn long, tp long, recall double, f1 double, roc_auc double")
-    return metrics.app_metrics(rows)
+    """What a service shows, for the scores of each language."""
+    scored = fixtures.scored(spark, sf).join(read_table(spark, sf, "documents").select("doc_id", F.col("lang").alias("split")), "doc_id")
+    rated = metrics.rates(scored.groupBy("split").agg(*metrics.confusion(0.5)))
+    return _rounded(metrics.app_metrics(rated.join(metrics.roc_auc(scored, None, ["split"]), "split"), ["split"]), 4)
 
 
 @query(f"with {SCORED_SQL} select doc_id, case when score >= 0.9 or score <= 0.1 then 'Surely' when score >= 0.75 or score <= 0.25 then 'Very Likely' when score >= 0.6 or score <= 0.4 then 'Likely' else 'Uncertain' end as confidence, case when score >= 0.58 then 1 else 0 end as predicted from s")
@@ -606,7 +679,7 @@ def confidence_bucket(spark, sf):
     return fixtures.scored(spark, sf).select("doc_id", metrics.confidence(p).alias("confidence"), metrics.decision(p, 0.58).alias("predicted"))
 
 
-@query(f"with {SCORED_SQL} select doc_id, 8 + score * 126 as hue, round((score * 360)::varchar::decimal(24, 16), 2)::double as angle, round((score * 100)::varchar::decimal(24, 16), 1)::double as percent from s")
+@query(f"with {SCORED_SQL} select doc_id, 8 + score * 126 as hue, round((score * 360)::varchar::decimal(24, 16), 2)::double as angle, round((score * 100)::varchar::decimal(24, 16), 1)::double as percent from s", raw=True)
 def probability_display(spark, sf):
     d = metrics.display(F.col("score"))
     return fixtures.scored(spark, sf).select("doc_id", *(c.alias(n) for n, c in d.items()))
@@ -615,8 +688,8 @@ def probability_display(spark, sf):
 @query()
 def pair_features(spark, sf):
     """The whole feature plan over the audited pairs: one row a pair with the global features of each family."""
-    kept = audit.audit(pairs(spark, sf), 50, 2000)
-    records = features.annotated(features.masked_sides(kept)).persist()
-    tables = {f: t.persist() for f, t in features.term_tables(records).items()}
-    vocabs = features.vocabularies(tables, records.where("split = 'train'").count())
-    return features.pair_features(kept.drop("text1", "text2"), features.weights(records, tables, vocabs))
+    kept = written(audit.audit(pairs(spark, sf), 50, 2000), "kept")
+    records = written(features.annotated(features.masked_sides(kept)), "records")
+    counts = written(features.counted(records), "counts")
+    made = features.sides(counts, features.statistics(records), features.vocabularies(counts))
+    return features.pair_features(kept.drop("text1", "text2"), made)

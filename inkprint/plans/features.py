@@ -1,20 +1,24 @@
 """From pairs to features as one plan: normalise, mask, annotate, featurise, align.
 
-Records are annotated once and written by the caller where several vocabularies
-read them; all else stays lazy.
+A text's term counts, weights and statistics stay in the row of its side; the
+sides of a pair meet once, by pair_id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkprint.functions.lexicon import function_words
 from inkprint.functions.masking import mask_all
 from inkprint.functions.readability import INDICES, add_readability
 from inkprint.functions.text import normalize
-from inkprint.operators import annotate, audit, pairwise, stats, terms
+from inkprint.operators import annotate, audit, pairwise, sparse, stats, terms
+
+Annotator = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -26,62 +30,86 @@ class FeatureConfig:
     chars: terms.TermConfig = field(default_factory=lambda: terms.CHARS)
     pos: terms.TermConfig = field(default_factory=lambda: terms.POS)
     char_n: int = 4
+    #: A file of function words; without one the list that comes with Spark.
+    function_list: str | None = None
+
+    @property
+    def terms(self) -> dict[str, terms.TermConfig]:
+        return {"tfidf": self.lemmas, "char_ngrams": self.chars, "pos_ngrams": self.pos}
+
+
+KEYS = ["pair_id", "split", "side"]
+FAMILIES = ("statistical", "tfidf", "char_ngrams", "pos_ngrams", "readability")
 
 
 def masked_sides(pairs: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """Long rows with normalised, rule-masked text."""
-    long = audit.sides(pairs)
-    return long.withColumn("text", mask_all(normalize(F.col("text"), config.form)))
+    """Long rows with the normalised text and, as ``text``, the rule-masked one."""
+    long = audit.sides(pairs).withColumn("normalized", normalize(F.col("text"), config.form))
+    return long.withColumn("text", mask_all(F.col("normalized")))
 
 
-def annotated(long: DataFrame) -> DataFrame:
-    """Records of the rule-masked text, and the text with entities masked too as ``masked``.
+def annotated(long: DataFrame, annotator: Annotator = annotate.records) -> DataFrame:
+    """Records of the rule-masked text by ``annotator``, and the text with entities masked too as ``masked``.
 
     Records describe the text before entity masking; character n-grams and
     readability read the text after it.
     """
-    made = annotate.records(long)
+    made = annotator(long)
     return made.withColumn("masked", annotate.entity_mask(F.col("text"), F.col("ents")))
 
 
-KEYS = ["pair_id", "split", "side"]
+def mask_text(spark: SparkSession, text: str, annotator: Annotator = annotate.records) -> tuple[str, dict]:
+    """One text with its entities masked, and its record."""
+    row = annotated(spark.createDataFrame([(text,)], "text string"), annotator).first()
+    return row["masked"], {c: row[c] for c in ("tokens", "sentences", "chunks", "ents")}
 
 
-def term_tables(records: DataFrame, config: FeatureConfig = FeatureConfig()) -> dict[str, DataFrame]:
-    """Counts (pair_id, split, side, term, tf) of the three term families."""
-    return {
-        "tfidf": terms.term_counts(records, terms.ngrams(terms.content_lemmas(F.col("tokens")), 1, 2), KEYS),
-        "char_ngrams": terms.term_counts(records, terms.char_grams(F.col("masked"), config.char_n), KEYS),
-        "pos_ngrams": terms.term_counts(records, terms.ngrams(terms.pos_sequence(F.col("tokens")), 2, 3), KEYS),
+def counted(records: DataFrame, config: FeatureConfig = FeatureConfig(), keep: tuple[str, ...] = (), digits: int | None = 5) -> DataFrame:
+    """KEYS, the counts of the three term families, readability and ``keep`` of each side."""
+    made = {
+        "tfidf": sparse.ngram_counts(terms.content_lemmas(F.col("tokens"), function_words(config.function_list)), 1, 2),
+        "char_ngrams": sparse.gram_counts(F.col("masked"), config.char_n),
+        "pos_ngrams": sparse.ngram_counts(terms.pos_sequence(F.col("tokens")), 2, 3),
     }
+    rows = add_readability(records.select(*KEYS, "tokens", "masked", *(k for k in keep if k != "masked")), "masked", digits)
+    return rows.select(*KEYS, *keep, *(c.alias(f) for f, c in made.items()), _dense([f"readability_{k}" for k in INDICES]).alias("readability"))
+
+
+def _dense(names: list[str]) -> Column:
+    """Numbers as a column of weights."""
+    values = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]
+    return F.struct(F.array(*(F.lit(i) for i in range(len(names)))).alias("idx"), F.array(*values).alias("weight"))
+
+
+def statistics(records: DataFrame, config: FeatureConfig = FeatureConfig(), digits: int | None = 3) -> DataFrame:
+    """KEYS and the statistics as a column of weights."""
+    made = stats.document_statistics(records, KEYS, function_words(config.function_list), digits)
+    return made.select(*KEYS, _dense(list(stats.NAMES)).alias("statistical"))
 
 
-def vocabularies(tables: dict[str, DataFrame], train_texts: int, config: FeatureConfig = FeatureConfig()) -> dict[str, DataFrame]:
+def vocabularies(counts: DataFrame, config: FeatureConfig = FeatureConfig()) -> dict[str, DataFrame]:
     """A vocabulary for each family, from training texts; a text in several pairs counts in each."""
-    configs = {"tfidf": config.lemmas, "char_ngrams": config.chars, "pos_ngrams": config.pos}
-    return {f: terms.vocabulary(t.where("split = 'train'"), train_texts, configs[f]) for f, t in tables.items()}
+    train = counts.where("split = 'train'")
+    n = train.count()
+    return {f: sparse.fit(train, f, n, c) for f, c in config.terms.items()}
 
 
-def scalar_weights(records: DataFrame) -> DataFrame:
-    """Statistics and readability as weights of the family ``scalar``."""
-    made = add_readability(stats.document_statistics(records), "masked")
-    names = [*stats.basic(()).keys(), *stats.phrases().keys(), *stats.pos_rates().keys(), *stats.dep_rates().keys(), *(f"readability_{k}" for k in INDICES)]
-    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("term_idx"), F.col(n).cast("double").alias("weight")) for i, n in enumerate(names))))
-    return made.select("pair_id", "side", cells.alias("c")).select("pair_id", "side", F.lit("scalar").alias("family"), "c.term_idx", "c.weight").where("weight <> 0")
+def weighted(counts: DataFrame, vocabs: dict[str, DataFrame]) -> DataFrame:
+    """Rows of ``counted`` with weights in place of the counts."""
+    for family, vocab in vocabs.items():
+        counts = sparse.weights(counts, family, vocab, "_w", KEYS).drop(family).withColumnRenamed("_w", family)
+    return counts
 
 
-def weights(records: DataFrame, tables: dict[str, DataFrame], vocabs: dict[str, DataFrame]) -> DataFrame:
-    """All families in long form: pair_id, side, family, term_idx, weight."""
-    out = scalar_weights(records)
-    for family, counts in tables.items():
-        sparse = terms.tfidf(counts, vocabs[family], KEYS).select("pair_id", "side", F.lit(family).alias("family"), "term_idx", "weight")
-        out = out.unionByName(sparse)
-    return out
+def sides(counts: DataFrame, statistical: DataFrame, vocabs: dict[str, DataFrame]) -> DataFrame:
+    """All families of each side as columns of weights."""
+    return weighted(counts, vocabs).join(statistical, KEYS)
 
 
-def pair_features(pairs: DataFrame, weighted: DataFrame) -> DataFrame:
-    """Pairs with the global features of each family."""
-    return pairwise.global_wide(pairs, weighted)
+def pair_features(pairs: DataFrame, made: DataFrame) -> DataFrame:
+    """Pairs with the global features of each family; 0 where a pair has no text."""
+    wide = pairwise.global_columns(pairwise.paired(made, list(FAMILIES)), pairwise.GLOBAL)
+    return pairs.join(wide.select("pair_id", *GLOBAL), "pair_id", "left").na.fill(0.0, list(GLOBAL))
 
 
-GLOBAL = [f"{f}_{m}" for f in pairwise.FAMILIES for m in ("cosine", "l1", "l2")]
+GLOBAL = tuple(f"{f}_{d}" for f in pairwise.GLOBAL for d in pairwise.DISTANCE_NAMES)

@@ -2,11 +2,13 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkprint.functions import lexicon, masking, text
-from inkprint.operators import audit, metrics, terms
+from inkprint.operators import annotate, audit, metrics, model, reduce, sparse, stats, terms
+from inkprint.plans import fixtures
 
 SINGLE = [
     ("url", "see (https://a.b/c?x=1). ok", "see (<URL>). ok"),
@@ -108,6 +110,119 @@ def test_empty_metrics(spark):
     assert metrics.roc_auc(spark.createDataFrame([], "label int, score double")).first()[0] is None
 
 
-def test_lexicon():
+def test_lexicon(tmp_path):
     words = lexicon.function_words()
-    assert len(words) == len(set(words)) and {"the", "of", "nineteenth", "myself", "couldn't", "whatsoever", "becoming"} <= set(words)
+    assert len(words) == len(set(words)) and {"the", "of", "myself", "couldn't"} <= set(words)
+    (tmp_path / "words").write_text("Whence\n\nwhence\nthus \n")
+    assert lexicon.function_words(str(tmp_path / "words")) == ("whence", "thus")
+
+
+def test_ecdf_and_auc_over_cells(spark, monkeypatch):
+    values = [3, 3, 9000, 1, 5000, 3, 12, 9000]
+    df = spark.createDataFrame([(v,) for v in values], "v int")
+    for cell, run in ((4096, 10_000), (2, 2)):
+        monkeypatch.setattr(audit, "CELL", cell)
+        monkeypatch.setattr(audit, "RUN", run)
+        assert sorted((r.x, r.y) for r in audit.ecdf(df, F.col("v")).collect()) == [(x, (i + 1) / 8) for i, x in enumerate(sorted(values))]
+    scored = spark.createDataFrame([(1, 0.9), (0, 0.9), (0, 1.5), (1, 0.2), (1, -0.5), (0, -0.5), (1, 0.20001)], "label int, score double")
+    rows = scored.collect()
+    pairs = [(p.score > n.score) + (p.score == n.score) / 2 for p in rows for n in rows if p.label == 1 and n.label == 0]
+    assert metrics.roc_auc(scored, None).first()[0] == pytest.approx(sum(pairs) / len(pairs))
+    both = metrics.roc_auc(scored.withColumn("g", F.lit("x")).unionByName(scored.withColumn("g", F.lit("y"))), None, ["g"]).collect()
+    assert [r.roc_auc for r in both] == [pytest.approx(sum(pairs) / len(pairs))] * 2
+
+
+GOLDEN = {
+    "avg_sentence_length_words": 4.0, "avg_function_words_per_sentence": 1.5, "punctuation_rate": 0.2, "avg_word_length": 3.5, "function_word_rate": 0.375,
+    "phrase_noun_phrase_rate": 0.75, "phrase_prepositional_phrase_rate": 0.25, "phrase_clausal_phrase_rate": 0.0, "pos_noun_rate": 0.25, "pos_verb_rate": 0.25,
+    "pos_punctuation_rate": 0.0, "dep_root_rate": 0.25, "dep_nominal_subject_rate": 0.25,
+}
+
+
+def test_golden_statistics(spark):
+    made = stats.document_statistics(fixtures.golden_record(spark), ["id"], ("the", "it", "into"))
+    rows = {r.id: r for r in made.collect()}
+    assert made.columns == ["id", *stats.NAMES] and len(stats.NAMES) == 74
+    assert {n: rows[1][n] for n in GOLDEN} == GOLDEN and all(rows[2][n] == 0 for n in stats.NAMES)
+
+
+SPLICED = [
+    (1, "Ann met Bob Lee in Rome", [(8, 15, "PERSON"), (0, 3, "PERSON"), (12, 15, "ORG"), (19, 23, "GPE")], "<PERSON> met <PERSON> in <GPE>"),
+    (2, "at the Louvre by the Nile", [(7, 13, "FAC"), (17, 25, "LOC"), (0, 2, "NOTHING")], "at the <FACILITY> by <LOCATION>"),
+    (3, "nothing here", [], "nothing here"),
+]
+
+
+def test_entities(spark):
+    df = spark.createDataFrame([(*r[:3], "all") for r in SPLICED], f"pair_id int, text string, ents array<{annotate.ENTITY}>, split string")
+    assert [r[0] for r in df.orderBy("pair_id").select(annotate.entity_mask(F.col("text"), F.col("ents"))).collect()] == [r[3] for r in SPLICED]
+    assert {r.label: r.n for r in annotate.entity_counts(df).collect()} == {"PERSON": 2, "ORG": 1, "GPE": 1, "FAC": 1, "LOC": 1}
+    row = annotate.entity_summary(df).first()
+    assert (row.num_rows, row.PERSON_count, row.FAC_count, row.DATE_count) == (3, 2, 1, 0)
+
+
+def test_math_and_html(spark):
+    math = {r"$\alpha$": "alpha", r"escaped \$5 and $6": r"escaped \$5 and $6", r"$\unknown$": "<MATH>", "": "", "no math": "no math"}
+    for value, want in math.items():
+        assert _one(spark, value, text.math_spans) == want
+    assert _one(spark, "a &amp; b &lt;c&gt; e\u0301", text.normalize) == "a & b <c> \u00e9"
+
+
+def test_rules_and_empty_record(spark):
+    row = annotate.records(spark.createDataFrame([("He runs. <URL> dogs barked 3 times!",)], "text string")).first()
+    assert [(t.text, t.lemma, t.pos) for t in row.tokens] == [
+        ("He", "he", "PRON"), ("runs", "run", "VERB"), (".", ".", "PUNCT"), ("<URL>", "<url>", "X"), ("dogs", "dog", "NOUN"), ("barked", "bark", "VERB"), ("3", "3", "NUM"), ("times", "time", "NOUN"), ("!", "!", "PUNCT"),
+    ]
+    assert [(s.start, s.end) for s in row.sentences] == [(0, 3), (3, 9)]
+    empty = annotate.records(spark.createDataFrame([(None,)], "text string"))
+    assert tuple(empty.first())[1:] == ([], [], [], []) == tuple(spark.range(1).select(*annotate.empty_record().values()).first())
+
+
+def test_sparse_agrees_with_long_form(spark):
+    docs = spark.createDataFrame([(1, "ab abc abcd", "x"), (2, "abcde ab", "y"), (3, "", "x"), (4, None, "x")], "id int, text string, side string")
+    rows = docs.select("id", sparse.gram_counts(F.col("text")).alias("c"))
+    long = terms.term_counts(docs.na.fill(""), terms.char_grams(F.col("text")), ["id"])
+    assert sorted(sparse.long_counts(rows, "c", ["id"]).collect()) == sorted(long.collect())
+    config = terms.TermConfig("char_ngrams", min_df=1, max_features=None)
+    vocab = terms.vocabulary(long, 4, config)
+    want = sorted((r.id, r.term_idx, round(r.weight, 12)) for r in terms.tfidf(long, vocab, ["id"]).collect())
+    for most in (sparse.MOST_TERMS, 0):
+        sparse.MOST_TERMS, kept = most, sparse.MOST_TERMS
+        made = sparse.weights(rows, "c", vocab, "w", ["id"])
+        sparse.MOST_TERMS = kept
+        assert made.count() == 4 and sorted((r.id, r.term_idx, round(r.weight, 12)) for r in sparse.long_weights(made, "w", ["id"]).collect()) == want
+
+
+def test_svd_equals_dense_decomposition(spark):
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(60, 12)) * (rng.random((60, 12)) < 0.5) * np.arange(12, 0, -1)
+    df = spark.createDataFrame([("train", *[{"idx": np.flatnonzero(r).tolist(), "weight": r[r != 0].tolist()}] * 2) for r in a], "split string, tfidf struct<idx:array<int>,weight:array<double>>, pos_ngrams struct<idx:array<int>,weight:array<double>>")
+    config = reduce.ReductionConfig(tfidf_components=4, pos_ngrams_components=100, passes=40)
+    sides, summary, made = reduce.reduce_families(df, {"tfidf": 12, "pos_ngrams": 12}, config)
+    singular, right = np.linalg.svd(a)[1:]
+    assert made["tfidf"].singular == pytest.approx(singular[:4], rel=1e-6) and np.abs(np.diag(right[:4] @ made["tfidf"].components)) == pytest.approx(np.ones(4), abs=1e-5)
+    shown = np.array([r.tfidf_svd.weight for r in sides.collect()])
+    assert shown == pytest.approx(a @ made["tfidf"].components) and "tfidf" not in sides.columns
+    want = (a @ right[:4].T).var(axis=0).sum() / a.var(axis=0).sum()
+    rows = {r.family: r for r in summary.collect()}
+    assert rows["tfidf"].explained_variance_ratio_sum == pytest.approx(want, abs=1e-5) and rows["pos_ngrams"].reduced_components == 11
+    assert reduce.matches("tfidf", "tfidf_00001") and reduce.matches("pos_ngrams", "pos_2_3_tfidf_1") and not reduce.matches("char_ngrams", "charming")
+
+
+def test_reductions_round_trip(spark, tmp_path):
+    made = {"tfidf": reduce.Reduction(np.arange(6.0).reshape(3, 2), np.array([2.0, 1.0]), 0.5, 3)}
+    reduce.save_reductions(spark, made, str(tmp_path))
+    back = reduce.load_reductions(spark, str(tmp_path), ("tfidf",))["tfidf"]
+    assert (back.components == made["tfidf"].components).all() and (back.singular == [2, 1]).all() and (back.explained, back.features) == (0.5, 3)
+
+
+def test_family_switches():
+    sizes = {"tfidf": 3, "char_ngrams": 2, "pos_ngrams": 1}
+    spec = model.TrainingConfig(include_char_ngrams=False, include_readability=False).spec(sizes)
+    assert spec.sizes == {"statistical": 74, "tfidf": 3, "pos_ngrams": 1} and spec.distances == ("tfidf", "pos_ngrams", "scalar")
+    names = spec.names()
+    assert len(names) == spec.size == 2 * 78 + 9 and names[148:151] == ["tfidf_00000_abs_diff", "tfidf_00000_product", "tfidf_00001_abs_diff"] and names[-1] == "scalar_l2_distance"
+    assert model.TrainingConfig(include_local=False).spec(sizes).size == 12
+    for config in (model.TrainingConfig(include_local=False, include_global=False), model.TrainingConfig(**{f"include_{f}": False for f in lexicon.FAMILY_NAMES})):
+        with pytest.raises(ValueError):
+            config.spec(sizes)

@@ -5,7 +5,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.linalg import Vectors
 
+from inkprint.operators import audit
 from inkprint.sources import tables
 
 
@@ -26,6 +28,22 @@ def test_splits(spark, tmp_path):
     assert {r.split for r in made.collect()} == {"train", "validation", "test"} and made.select("pair_id").distinct().count() == 3
 
 
+def test_equal_rows_of_splits_are_told_apart(spark, tmp_path):
+    for split in ("train", "validation", "test"):
+        spark.createDataFrame([("b", "a", 1), ("a", "b", 1), (f"own {split}", "b", 0)], "text1 string, text2 string, same int").repartition(2).write.parquet(str(tmp_path / f"authorship_verification_{split}"))
+    made = tables.load_splits(spark, str(tmp_path))
+    assert sorted(r.pair_id for r in made.collect()) == list(range(9))
+    kept = audit.dedup(made).collect()
+    assert sorted(r.split for r in kept if r.same == 1) == ["train"] and len(kept) == 4
+
+
+def test_vectors_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, {"type": 0, "size": 5, "indices": [1, 4], "values": [2.0, 3.0]})], f"id int, v {tables.VECTOR}")
+    assert tables.as_vectors(df, str(tmp_path / "v"), "v").first().v == Vectors.sparse(5, [1, 4], [2.0, 3.0])
+    tables.save_arrays(spark.createDataFrame([([1.0, 2.0],)], "x array<double>"), str(tmp_path), "arrays")
+    assert tables.load_arrays(spark, str(tmp_path), "arrays").first().x == [1.0, 2.0]
+
+
 def test_json(tmp_path):
     @dataclass
     class Config:
