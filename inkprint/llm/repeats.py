@@ -432,7 +432,7 @@ def repeat_ranges(docs: DataFrame, length: int = 200, gram: int = 32, group_byte
     again = windows.groupBy("w1", "w2").agg(F.sum("total").alias("times")).where("times > 1").select("w1", "w2")
     found = materialise(scanned.unionByName(windows.join(again, ["w1", "w2"]).drop("w1", "w2")), "repeats")
     # A segment with several places is a repeat as a whole, and its places are those of all its rows.
-    several = found.where("total > 1").select("key", "seg").distinct()
+    several = materialise(found.where("total > 1").select("key", "seg").distinct(), "several")
     places = shared.join(several, ["key", "seg"]).select("r1", "r2", "lo", (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("hi"))
     return found.where("total = 1").select("r1", "r2", "lo", "hi").unionByName(places)
 
