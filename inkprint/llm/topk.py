@@ -7,11 +7,11 @@ negative one.  What has been read of a vector adds up to a partial score; an
 entry not yet read is worth no more than the list's frontier and no less than
 its far end, which gives each vector an upper and a lower bound.
 
-Lists are advanced in small steps, the ones with the widest gap between
-frontier and far end first, so lists that can't change the order are left for
-last.  A vector whose upper bound is under the k-th lower bound can't qualify
-any more and is dropped; vectors never met have the sum of the frontiers as
-upper bound.  Once few are left, reading goes on for these alone until their
+Lists whose best and far ends lie widest apart are read first, so those that
+can't change the order are left for last, and one list at a time: then nothing
+but the list being read tells vectors apart by what isn't known of them.  A
+vector whose upper bound is under the k-th lower bound can't qualify any more
+and is dropped.  Once few are left, reading goes on for these alone until their
 scores are final.  No list is ever entered at a vector's place.  All bounds are
 integers held in float64, so they are exact.
 
@@ -31,11 +31,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A list is read in this many steps, and a round advances one in so many of the lists.
-STEPS = 8
-SHARE = 8
-#: Bounds are looked at again once the sum of the gaps has shrunk to this share.
-SHRUNK = 0.9
+#: A list is read in this many steps.
+STEPS = 2
+#: Bounds are looked at again once what isn't known has shrunk to this share.
+SHRUNK = 0.85
 
 
 def integers(vector: str, scale: int = 1024) -> str:
@@ -70,68 +69,81 @@ class Reader:
         self.width, self.n = lists.who.shape
         rising = weights < 0
         self.rising = rising.tolist()
-        self.far = weights * np.where(rising, lists.value[:, -1], lists.value[:, 0])
-        self.frontier = weights * np.where(rising, lists.value[:, 0], lists.value[:, -1])
-        self.depth = np.zeros(self.width, np.int64)
+        first, last = lists.value[:, 0], lists.value[:, -1]
+        self.far = weights * np.where(rising, last, first)
+        self.frontier = weights * np.where(rising, first, last)
+        self.order = np.argsort(self.far - self.frontier, kind="stable").tolist()
+        self.depth = [0] * self.width
+        self.at = 0  # how many lists are read to their end
         self.partial = np.zeros(self.n)
-        #: Vectors that can still qualify, their place in ``unread``, and which of their entries weren't read.
+        #: Vectors met in the list that is being read.
+        self.met = np.zeros(self.n, bool)
+        #: What the lists not begun are worth at most and at least.
+        self.most, self.least = float(self.frontier.sum()), float(self.far.sum())
         self.alive = np.arange(self.n)
-        self.place = np.arange(self.n)
-        self.unread = np.ones((self.n, self.width))
         self.read = self.decided = 0
 
-    def advance(self, j: int, entries: int) -> None:
-        """Read list ``j`` on by so many entries, in order."""
-        a, b = int(self.depth[j]), min(self.n, int(self.depth[j]) + entries)
+    def step(self, entries: int) -> np.ndarray:
+        """Read the current list on by so many entries, in order: the vectors met."""
+        j = self.order[self.at]
+        if not self.depth[j]:
+            self.most -= self.frontier[j]
+            self.least -= self.far[j]
+        a, b = self.depth[j], min(self.n, self.depth[j] + entries)
         part = slice(a, b) if self.rising[j] else slice(self.n - b, self.n - a)
         who, worth = self.lists.who[j, part], self.weights[j] * self.lists.value[j, part]
         self.partial[who] += worth
-        at = self.place[who]
-        self.unread[at[at >= 0], j] = 0.0
         self.depth[j], self.read = b, self.read + b - a
         self.frontier[j] = worth[-1] if self.rising[j] else worth[0]
-
-    def round(self) -> bool:
-        """Advance the lists of widest gap by a step; false once all are at their end."""
-        open_ = np.flatnonzero(self.depth < self.n)
-        gap = self.frontier[open_] - self.far[open_]
-        step = -(-self.n // STEPS)
-        for j in open_[np.argsort(-gap, kind="stable")][: max(1, self.width // SHARE)].tolist():
-            self.advance(j, step)
-        return len(open_) > 0
+        if b == self.n:
+            self.at += 1
+            self.met[:] = False
+        else:
+            self.met[who] = True
+        return who
 
     def gap(self) -> float:
-        """How far the bounds of a vector not met yet are apart."""
-        return float((self.frontier - self.far)[self.depth < self.n].sum())
+        """How far the bounds of a vector are apart that isn't met in the current list."""
+        now = self.order[self.at] if self.at < self.width else None
+        begun = now is not None and self.depth[now] > 0
+        return self.most - self.least + (float(self.frontier[now] - self.far[now]) if begun else 0.0)
 
     def bounds(self) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bound of the score of each vector alive."""
-        return tuple(self.partial[self.alive][:, None].T + (self.unread @ np.column_stack((self.far, self.frontier))).T)
-
-    def keep(self, chosen: np.ndarray) -> None:
-        """Go on with the chosen ones of the vectors alive."""
-        self.alive, self.unread = self.alive[chosen], self.unread[chosen]
-        self.place = np.full(self.n, -1)
-        self.place[self.alive] = np.arange(len(self.alive))
+        known, low, high = self.partial[self.alive], self.least, self.most
+        now = self.order[self.at] if self.at < self.width else None
+        if now is not None and self.depth[now]:
+            met = self.met[self.alive]
+            low, high = low + np.where(met, 0.0, self.far[now]), high + np.where(met, 0.0, self.frontier[now])
+        return known + low, known + high
 
     def best(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Indices and final scores of all vectors that may be among the ``k`` best: ``k`` at least, unless there are fewer."""
-        seen = math.inf
-        while len(self.alive) > 4 * k and self.round():
-            if (gap := self.gap()) > SHRUNK * seen:
+        looked = math.inf
+        while len(self.alive) > 4 * k and self.at < self.width:
+            self.step(-(-self.n // STEPS))
+            if (gap := self.gap()) > SHRUNK * looked:
                 continue
-            seen = gap
+            looked = gap
             lower, upper = self.bounds()
-            floor = np.partition(lower, len(lower) - k)[len(lower) - k]
-            chosen = upper >= floor
-            if chosen.sum() < 0.7 * len(chosen) or chosen.sum() <= 4 * k:
-                self.keep(chosen)
+            self.alive = self.alive[upper >= np.partition(lower, len(lower) - k)[len(lower) - k]]
         self.decided = self.read
-        for j in np.flatnonzero(self.depth < self.n).tolist():
-            while self.unread[:, j].any():
-                self.advance(j, -(-self.n // (4 * STEPS)))
+        self.resolve()
         return self.alive, self.partial[self.alive]
 
+    def resolve(self) -> None:
+        """Read the rest of the lists, each on to the last entry of a vector alive; the others' entries are passed over."""
+        wanted = np.zeros(self.n, bool)
+        wanted[self.alive] = True
+        for j in self.order[self.at :]:
+            a = self.depth[j]
+            rest = self.lists.who[j, a:] if self.rising[j] else self.lists.who[j, : self.n - a][::-1]
+            hits = np.flatnonzero(wanted[rest])
+            if len(hits):
+                value = self.lists.value[j, a:] if self.rising[j] else self.lists.value[j, : self.n - a][::-1]
+                self.partial[rest[hits]] += self.weights[j] * value[hits]
+                self.read += int(hits[-1]) + 1
+
 
 def aggregate_block(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, tuple[float, float]]]:
     """Per query: (repeated query id, vector ids, scores) of its k best in this block, best first, and the shares of all entries that were read: until few vectors were left, and in all."""
@@ -139,8 +151,7 @@ def aggregate_block(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, q
     for query_id, weights in zip(query_ids.tolist(), queries):
         reader = Reader(lists, weights)
         others = ids != query_id
-        if not others.all():
-            reader.keep(others)
+        reader.alive = reader.alive[others]
         at, score = reader.best(k)
         order = np.lexsort((ids[at], -score))[:k]
         yield np.full(len(order), query_id), ids[at][order], score[order], (reader.decided / block.size, reader.read / block.size)

@@ -189,17 +189,20 @@ def test_topk_reads_in_order_and_stops():
     block = np.floor(rng.normal(size=(3000, 12)) * 1000 * 0.4 ** np.arange(12))
     query = block[7]
     reader = topk.Reader(topk.Lists.of(block), query)
-    scores, last = block @ query, reader.gap()
-    while reader.round():
+    scores, last, worth = block @ query, reader.gap(), block * query
+    read = np.zeros(block.shape, bool)
+    while reader.at < reader.width:
+        j = reader.order[reader.at]
+        who = reader.step(700)
+        assert not read[who, j].any()
+        read[who, j] = True
         lower, upper = reader.bounds()
         assert (lower <= scores).all() and (scores <= upper).all() and reader.gap() <= last
-        for j in range(12):  # what was read of a list is its best end
-            read = reader.unread[:, j] == 0
-            assert read.sum() == reader.depth[j] and (read.all() or not read.any() or (block * query)[read, j].min() >= (block * query)[~read, j].max())
+        assert read[:, j].sum() == reader.depth[j] and (read[:, j].all() or worth[read[:, j], j].min() >= worth[~read[:, j], j].max())  # the best end
         last = reader.gap()
     assert (lower == scores).all() and (upper == scores).all()
     ((_, found, _, (decided, read)),) = topk.aggregate_block(np.arange(3000), block, np.array([7]), query[None], 10)
-    assert decided < 0.6 and read < 1 and found.tolist() == [i for i in np.argsort(-scores, kind="stable").tolist() if i != 7][:10]
+    assert decided < 0.6 and decided < read < 1 and found.tolist() == [i for i in np.argsort(-scores, kind="stable").tolist() if i != 7][:10]
 
 
 def test_pack():
