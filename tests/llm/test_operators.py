@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import public_tokenizers as P
 import pytest
+import sentencepiece
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -188,16 +189,33 @@ def test_lm_is_the_same_for_any_chunks_and_buckets(spark, sizes):
     assert one == many
 
 
-def test_quality(spark):
-    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    rows = [r for r in queries.op2_ordinal_quality(spark, SF).collect() if r.doc_id in labels]
-    right = sum(r.kept == (labels[r.doc_id] == (1, 0)) for r in rows)
-    assert right > 0.85 * len(rows) and all(0 <= r.tail_probability <= 1 and 0 <= r.expected_grade <= 2 for r in rows)
+def test_quality(spark, docs):
+    """Every row's grades by the definition, from the model that was fitted; and what a fit says of rows it never saw."""
+    table, ratings = spark.read.parquet(f"{SF}/documents.parquet"), quality.graded(spark.read.parquet(f"{SF}/labels.parquet"))
+    model = quality.train(table, ratings, 3)
+    made = quality.Featuriser(model.bits)
+    rows = queries.op2_ordinal_quality(spark, SF).collect()
+    assert {r.doc_id for r in rows} == set(docs)
+    for r in rows:
+        score = sum(model.weights[i] for i in set(made.features(docs[r.doc_id].encode()).tolist()))
+        tails = [1 - 1 / (1 + math.exp(score - cut)) for cut in model.thresholds]
+        assert r.expected_grade == pytest.approx(sum(tails)) and r.tail_probability == pytest.approx(tails[-1]) and r.kept == (tails[-1] >= 0.5 and bool(docs[r.doc_id].split()))
+    labels = {r.doc_id: r.grade for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").transform(quality.graded).collect()}
+    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.col("doc_id").isin(list(labels)))
+    seen = lambda i: i % 4 != 1
+    fitted = quality.train(big, spark.createDataFrame([(i, g) for i, g in labels.items() if seen(i)], "doc_id long, grade int"), 3)
+    new = [(r.tail_probability, labels[r.doc_id] == 2) for r in quality.rate(big, fitted).collect() if not seen(r.doc_id)]
+    best, rest = [x for x, good in new if good], [x for x, good in new if not good]
+    assert sum((x > y) + (x == y) / 2 for x in best for y in rest) > 0.9 * len(best) * len(rest)
 
 
 def test_fertility(spark, docs):
-    for r in queries.op4_tokeniser_fertility(spark, SF).collect():
-        text = docs[r.doc_id]
+    """Base counts, measures, bands and verdict by their definitions, straight from the two libraries."""
+    limits, lang = fertility.Bands(), {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    pieces = sentencepiece.SentencePieceProcessor(model_file=VOCABULARIES[0])
+    other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(VOCABULARIES[1]), special_tokens={})
+    want, measured = {}, defaultdict(dict)
+    for i, text in docs.items():
         words = text.encode().split()
         runs = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
         again = {k for i in range(len(words) - 4) if runs[tuple(words[i : i + 5])] > 1 for k in range(i, i + 5)}
@@ -206,9 +224,30 @@ def test_fertility(spark, docs):
             lines += line in seen and bool(line.encode().split())
             seen.add(line)
         failed = len(words) < 10 or 100 * len(again) > 20 * len(words)
-        want = (len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text), lines, len(again), failed)
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want
-        assert not (r.base_failed and r.kept)
+        chars = sum(len(w.decode()) for w in words)
+        want[i] = (len(words), chars, sum(c in "#*$%&|<>" for c in text), lines, len(again), failed)
+        ids = [x for w in words for x in pieces.encode(w.decode())]
+        if ids:
+            n, shares = len(ids), [c / len(ids) for c in Counter(ids).values()]
+            second = sum(len(other.encode_ordinary(" " + w.decode())) for w in words)
+            entropy = -sum(s * math.log2(s) for s in shares) / math.log2(n) if n > 1 else 1.0
+            measured[lang[i]][i] = (n, chars / n, chars / max(1, second), sum(map(pieces.is_byte, ids)) / n, entropy)
+    verdict = {}
+    for rows in measured.values():
+        for i, (n, *values) in rows.items():
+            out = False
+            for at, (value, wide, short, lower, slack) in enumerate(zip(values, (limits.wide, limits.wide, limits.wide, limits.entropy_wide), (limits.short, limits.short, limits.short, limits.entropy_short), (True, True, False, True), (0, 0, limits.byte_slack, 0))):
+                bins = sorted(math.floor(r[1 + at] * limits.steps) for r in rows.values())
+                low, mid, high = (bins[max(0, math.ceil(q * len(bins)) - 1)] / limits.steps for q in (0.25, 0.5, 0.75))
+                half = max(high - low, abs(mid) * limits.least) * (wide + short / math.sqrt(max(n, 1))) + slack
+                out |= (lower and value < mid - half) or (at != 3 and value > mid + half)
+            verdict[i] = not out
+    rejected = 0
+    for r in queries.op4_tokeniser_fertility(spark, SF).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want[r.doc_id]
+        assert r.kept == (not r.base_failed and verdict.get(r.doc_id, True))
+        rejected += not r.base_failed and not r.kept
+    assert rejected
 
 
 def test_bpe(spark, docs):
@@ -220,10 +259,39 @@ def test_bpe(spark, docs):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest, hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
 
 
-def test_language(spark):
-    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    rows = [r for r in queries.op6_centroid_langid(spark, SF).collect() if r.held_out]
-    assert sum(r.lang_pred == lang[r.doc_id] for r in rows) >= 0.95 * len(rows) and all(0 <= r.score <= 1 for r in rows)
+def test_language(spark, docs):
+    """Predictions by the definition from the centroids: trigrams counted one by one, cosines in float64."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    lang = {r.doc_id: r.lang for r in table.collect()}
+    rows = queries.op6_centroid_langid(spark, SF).collect()
+    new = [r for r in rows if r.held_out]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in new) >= 0.95 * len(new)
+    train = {i: t for i, t in docs.items() if zlib.crc32(str(i).encode()) % 4 != 2}
+
+    def grams(text: str) -> Counter:
+        raw = (" " + text.lower() + " ").encode()
+        raw = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in raw)
+        return Counter((int.from_bytes(raw[i : i + 3], "big") * 2654435761 & 0xFFFFFFFF) >> 18 for i in range(len(raw) - 2))
+
+    df = Counter(g for t in train.values() for g in set(grams(t)))
+    centroids, idf = language.train(table.where(~queries._fold(4)))
+    kept = sorted(centroids.collect(), key=lambda r: (r.lang, r.floor))
+    assert idf[:50] == pytest.approx([math.log((1 + len(train)) / (1 + df[g])) + 1 for g in range(50)])
+    assert {r.lang for r in kept} == {lang[i] for i in train}
+    for r in rows[::9]:
+        vector = {g: (1 + math.log(n)) * (math.log((1 + len(train)) / (1 + df[g])) + 1) for g, n in grams(docs[r.doc_id]).items()}
+        norm = math.sqrt(sum(x * x for x in vector.values())) or 1
+        cosines = [sum(c.centre[g] * x for g, x in vector.items()) / norm for c in kept]
+        best = max(range(len(kept)), key=cosines.__getitem__)
+        assert r.score == pytest.approx(cosines[best], abs=1e-4)
+        assert kept[best].lang == r.lang_pred or sorted(cosines)[-2] > cosines[best] - 1e-5
+        assert abs(r.score - kept[best].floor) < 1e-4 or r.rejected == (r.score < kept[best].floor)
+
+
+def test_languages_in_blocks(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    one, many = ({r.doc_id: (r.lang_pred, pytest.approx(r.score, abs=1e-5)) for r in language.identify(table, held(), block=n).collect()} for n in (256, 1))
+    assert {i: (name, score.expected) for i, (name, score) in many.items()} == one
 
 
 def test_mixture_tables_agree(spark):
@@ -233,9 +301,45 @@ def test_mixture_tables_agree(spark):
     assert one == pytest.approx(two)
 
 
-def test_mixture_decides_by_rate(spark):
-    rows = queries.op7_rake_mixture(spark, SF).collect()
-    assert all(0 <= r.rate <= 1 for r in rows) and 0.4 < sum(r.n_tokens for r in rows if r.kept) / sum(r.n_tokens for r in rows) < 0.95
+def test_mixture(spark, docs):
+    """Rates by plain iterative proportional fitting over the cells, decisions by them, and what is told of the targets."""
+    rows, targets = queries.op7_rake_mixture(spark, SF).collect(), mixture.Targets()
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(t.encode().split()) for i, t in docs.items()}
+    cells = Counter()
+    for r in rows:
+        cells[(r.source, r.lang, r.topic)] += r.n_tokens
+    total = sum(cells.values())
+    share = lambda at, v: sum(n for k, n in cells.items() if k[at] == v) / total
+    aims = []
+    for at, margin in enumerate(mixture.MARGINS):
+        raw = {v: share(at, v) ** targets.temper[margin] for v in sorted({k[at] for k in cells})}
+        aims.append({v: targets.volume * total * x / sum(raw.values()) for v, x in raw.items()})
+    rate = {k: targets.volume for k in cells}
+    for _ in range(targets.sweeps):
+        before = dict(rate)
+        for at, aim in enumerate(aims):
+            have = Counter()
+            for k, n in cells.items():
+                have[k[at]] += rate[k] * n
+            rate = {k: min(1.0, x * aim[k[at]] / have[k[at]]) if have[k[at]] else x for k, x in rate.items()}
+        if max(abs(rate[k] - before[k]) for k in rate) < targets.tolerance:
+            break
+    u = {r.doc_id: r.u for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", mixture.uniform(71).alias("u")).collect()}
+    kept = sum(rate[k] * n for k, n in cells.items())
+    for r in rows:
+        key = (r.source, r.lang, r.topic)
+        assert r.rate == pytest.approx(rate[key], abs=1e-6) and r.kept == (u[r.doc_id] < r.rate)
+        for at, margin in enumerate(mixture.MARGINS):
+            assert r[f"{margin}_target"] == pytest.approx(aims[at][key[at]] / targets.volume / total)
+            assert r[f"{margin}_expected"] == pytest.approx(sum(rate[k] * n for k, n in cells.items() if k[at] == key[at]) / kept, abs=1e-6)
+    assert len({r.topic for r in rows}) > 3
+
+
+def test_mixture_reports_what_cannot_be_met(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10, 1.0), ("b", "x", "t", 990, 0.2)], "source string, lang string, topic string, tokens long, rate double")
+    told = {(r.margin, r.value): r for r in mixture.report(cells, mixture.Targets(shares={"source": {"a": 0.5, "b": 0.5}})).collect()}
+    assert not told["source", "a"].met and told["source", "a"].capped == 1 and told["source", "a"].residual == pytest.approx(10 / 208 - 0.5)
+    assert told["lang", "x"].met
 
 
 @pytest.mark.parametrize("group_bytes", [repeats.GROUP_BYTES, 0])
