@@ -34,7 +34,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Encodes pieces of text by ranks; ``decode`` is its inverse."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 150_000):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token = [b""] * (max(ranks.values()) + 1)
         self.automaton = ahocorasick.Automaton()
@@ -64,7 +64,7 @@ class Encoder:
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joint bytes of two tokens gives just these two; remembered in ``pairs``."""
         joint = self.token[left] + self.token[right]
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 250_000:
             self.pairs.clear()
         found = self.pairs[left << 20 | right] = joint not in self.ranks and self.merge(joint) == [left, right]
         return found

@@ -61,7 +61,7 @@ class Model:
 class Featuriser:
     """Feature numbers of a text; those of recent words are remembered."""
 
-    def __init__(self, bits: int, cache: int = 200_000):
+    def __init__(self, bits: int, cache: int = 120_000):
         self.mask = (1 << bits) - 1
         self.words = RecentCache(cache)
 
