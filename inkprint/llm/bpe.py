@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from inkprint.llm.common import RecentCache, texts
+from inkprint.llm.common import RecentCache, sliced, texts
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -172,7 +172,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, keep_ids: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, digests, decoded, kept = [], [], [], []
             for text in texts(batch.column(1)):
                 ids = made.encode(text.decode())

@@ -64,10 +64,17 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each row; null is empty."""
     data, offsets = utf8(column)
-    view = data.tobytes()
+    view = memoryview(data)
     bounds = offsets.tolist()
     for a, b in zip(bounds, bounds[1:]):
-        yield view[a:b]
+        yield bytes(view[a:b])
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Pieces of ``batches``, so that what is made of one at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def tokens(text: bytes) -> list[bytes]:

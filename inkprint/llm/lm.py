@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from inkprint.llm.common import materialise, texts, tokens
+from inkprint.llm.common import materialise, texts, tokens, utf8
 
 #: Pseudo counts tried, and the counts of a context at which another may hold.
 PSEUDO = (1.0, 10.0, 100.0, 1e3, 1e4, 1e6)
@@ -129,7 +129,7 @@ def _chunked(chunk_bytes: int) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array([base + count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
 
         for batch in batches:
-            upto = np.cumsum([len(t) for t in texts(batch.column(2))])
+            upto = utf8(batch.column(2))[1][1:]
             at = 0
             while at < batch.num_rows:
                 done = int(upto[at - 1]) if at else 0

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from inkprint.llm.common import materialise, texts
+from inkprint.llm.common import materialise, sliced, texts
 from inkprint.llm.language import cluster, counts, document_frequency, drawn, groups, vectors
 
 MARGINS = ("source", "lang", "topic")
@@ -112,7 +112,7 @@ def cells_of(docs: DataFrame, targets: Targets, row: Column | None = None) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         means, centres, idf = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             topics, sizes, langs = [], [], batch.column(3).to_pylist()
             for group in groups(texts(batch.column(0))):
                 own = langs[len(topics) : len(topics) + len(group)]

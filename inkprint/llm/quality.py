@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import RecentCache, texts, tokens
+from inkprint.llm.common import RecentCache, sliced, texts, tokens
 
 _OUTER = b".,;:!?\"'()"
 _SHAPES = ("distinct", "upper", "symbol", "repeat", "length")
@@ -182,7 +182,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, settings: Settings =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Featuriser(settings.bits)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [made.features(t).astype(np.int32) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "grade", "features"])
 
@@ -250,7 +250,7 @@ def select(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = make()
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(judge(batch.column(at))[2]))
 
     return docs.mapInArrow(run, docs.schema)

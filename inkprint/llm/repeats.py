@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from inkprint.llm.common import discard, materialise, texts, utf8
+from inkprint.llm.common import discard, materialise, sliced, texts, utf8
 
 #: Odd base and byte weights of the rolling hashes; any odd numbers do.
 _RNG = np.random.default_rng(7)
@@ -457,7 +457,7 @@ _RESULT = StructType().add("n_bytes", "long").add("n_removed", "long").add("n_sp
 
 def _strip(keep_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, removed, spans, digests, kept = [], [], [], [], []
             lists = batch.column(1)
             flat, ends = lists.flatten(), np.cumsum(np.array([len(x) if x.is_valid else 0 for x in lists], np.int64))

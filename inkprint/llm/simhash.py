@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import materialise, texts, tokens
+from inkprint.llm.common import materialise, sliced, texts, tokens
 from inkprint.llm.components import connected
 
 SEED = 42
@@ -117,7 +117,7 @@ def signatures(docs: DataFrame, width: int, band_count: int, band_rows: int) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             nodes, prints, keys, sketches = [], [], [], []
             with np.errstate(over="ignore"):
                 for text in texts(batch.column(1)):
