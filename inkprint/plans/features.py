@@ -17,6 +17,7 @@ from inkprint.functions.masking import mask_all
 from inkprint.functions.readability import INDICES, add_readability
 from inkprint.functions.text import normalize
 from inkprint.operators import annotate, audit, pairwise, sparse, stats, terms
+from inkprint.sources import tables
 
 Annotator = Callable[[DataFrame], DataFrame]
 
@@ -64,6 +65,36 @@ def mask_text(spark: SparkSession, text: str, annotator: Annotator = annotate.re
     return row["masked"], {c: row[c] for c in ("tokens", "sentences", "chunks", "ents")}
 
 
+def annotate_columns(pairs: DataFrame, folder: str, config: FeatureConfig = FeatureConfig(), annotator: Annotator = annotate.records) -> DataFrame:
+    """Records of both columns, each written to ``folder`` as soon as it is annotated.
+
+    A column whose table is there already is read instead, so a run that broke
+    off goes on where it was; this table is the record cache of later steps.
+    """
+    long, done = masked_sides(pairs, config), []
+    spark = pairs.sparkSession
+    for side in ("text1", "text2"):
+        path = f"{folder}/{side}"
+        if not tables.exists(spark, f"{path}/_SUCCESS"):
+            annotated(long.where(F.col("side") == side), annotator).write.mode("overwrite").parquet(path)
+        done.append(spark.read.parquet(path))
+    return done[0].unionByName(done[1])
+
+
+def corpora(records: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """KEYS and the text that each term family is fitted on: content lemmas, character n-grams and parts of speech, joined by blanks."""
+    lemmas = terms.content_lemmas(F.col("tokens"), function_words(config.function_list))
+    made = {"tfidf": lemmas, "char_ngrams": terms.char_grams(F.col("masked"), config.char_n), "pos_ngrams": terms.pos_sequence(F.col("tokens"))}
+    return records.select(*KEYS, *(F.array_join(c, " ").alias(f) for f, c in made.items()))
+
+
+def save_artifacts(records: DataFrame, vocabs: dict[str, DataFrame], folder: str, config: FeatureConfig = FeatureConfig()) -> None:
+    """Corpora, one directory a split, and the vocabularies."""
+    tables.write_stage(corpora(records, config), folder, "corpora")
+    for family, vocab in vocabs.items():
+        vocab.write.mode("overwrite").parquet(f"{folder}/vocabulary/{family}")
+
+
 def counted(records: DataFrame, config: FeatureConfig = FeatureConfig(), keep: tuple[str, ...] = (), digits: int | None = 5) -> DataFrame:
     """KEYS, the counts of the three term families, readability and ``keep`` of each side."""
     made = {

@@ -47,6 +47,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_base(spark)}/inkprint/{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write into the shared folder and read back: what several later steps read starts from files, as after a lost executor."""
     path = f"{shared_folder(df.sparkSession)}/{name}"

@@ -76,3 +76,15 @@ def test_summaries(spark):
     rows = {r.split: r for r in terms.summary(features.weighted(counts, vocabs), vocabs).collect()}
     assert set(rows) == {"train", "validation", "test"} and sum(r.num_rows for r in rows.values()) == pairs.count()
     assert rows["train"].char_ngrams_vocabulary_size == 300 and 0 < rows["test"].text1_tfidf_density <= 300
+
+
+def test_columns_are_annotated_once_and_corpora_kept(spark, tmp_path):
+    pairs = spark.createDataFrame([(1, "train", "Ann saw trees", "no one", 1)], "pair_id long, split string, text1 string, text2 string, same int")
+    folder = str(tmp_path)
+    made = features.annotate_columns(pairs, f"{folder}/records").collect()
+    again = features.annotate_columns(pairs.withColumn("text1", features.F.lit("changed")), f"{folder}/records")
+    assert sorted(again.collect()) == sorted(made) and len(made) == 2
+    counts = features.counted(again, SMALL)
+    features.save_artifacts(again, features.vocabularies(counts, SMALL), folder)
+    rows = {r.side: r for r in spark.read.parquet(f"{folder}/corpora").collect()}
+    assert rows["text1"].char_ngrams == "Ann saw tree rees" and rows["text1"].pos_ngrams == "PROPN VERB NOUN" and rows["text1"].tfidf == "ann saw tree"
