@@ -44,6 +44,8 @@ _WEIGHT = _RNG.integers(1, 2**63, (2, 256), dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes hashed at once; also how far positions reach in an anchor's low bits.
 SPAN = 1 << 20
+#: Parts that the places of one segment are listed in.
+SALTS = 4096
 #: Segments of one anchor are compared in one task up to so many bytes: its suffix array takes about 100 times as much.
 GROUP_BYTES = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
@@ -431,9 +433,12 @@ def repeat_ranges(docs: DataFrame, length: int = 200, gram: int = 32, group_byte
     windows = bodies.where("wide").mapInArrow(_windows(length), f"{_FOUND}, w1 long, w2 long")
     again = windows.groupBy("w1", "w2").agg(F.sum("total").alias("times")).where("times > 1").select("w1", "w2")
     found = materialise(scanned.unionByName(windows.join(again, ["w1", "w2"]).drop("w1", "w2")), "repeats")
-    # A segment with several places is a repeat as a whole, and its places are those of all its rows.
+    # A segment with several places is a repeat as a whole.  Its places are listed
+    # within salts first, so that a segment of any number of rows is spread over
+    # tasks and meets its entry as a few rows.
     several = materialise(found.where("total > 1").select("key", "seg").distinct(), "several")
-    places = shared.join(several, ["key", "seg"]).select("r1", "r2", "lo", (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("hi"))
+    listed = shared.groupBy("key", "seg", F.pmod("r1", F.lit(SALTS)).alias("salt")).agg(F.collect_list(F.struct("r1", "r2", "lo")).alias("at"), F.max("n").alias("n"))
+    places = listed.join(several, ["key", "seg"]).select(F.explode("at").alias("at"), "n").select("at.r1", "at.r2", "at.lo", (F.col("at.lo") + F.col("n") + F.lit(length - 1)).alias("hi"))
     return found.where("total = 1").select("r1", "r2", "lo", "hi").unionByName(places)
 
 
