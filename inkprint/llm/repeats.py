@@ -45,7 +45,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes hashed at once; also how far positions reach in an anchor's low bits.
 SPAN = 1 << 20
 #: Parts that the places of one segment are listed in.
-SALTS = 4096
+SALTS = 256
 #: Segments of one anchor are compared in one task up to so many bytes: its suffix array takes about 100 times as much.
 GROUP_BYTES = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
