@@ -118,6 +118,14 @@ def test_shards(spark, docs):
     assert sorted(rows) == sorted(queries.op3_feistel_shards(spark, SF).collect())
 
 
+def test_shards_of_equal_rows(spark):
+    rows = [(1, "a")] * 50 + [(2, "b"), (None, None), (3, "a" * 100_000)] + [(4, None)] * 7
+    made = [{tuple(r) for r in sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), 4, run=run).collect()} for n, run in ((1, 10_000), (3, 8))]
+    assert made[0] == made[1] and len(made[0]) == len(rows)
+    assert Counter((r[0], r[2]) for r in made[0]) == Counter((i, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert {len({r[5] for r in made[0] if r[4] == s}) for s in range(4)} == {15}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 40, 97, 4097])
 def test_permutation(spark, n):
     made = sharding.permute(spark.range(n).withColumn("n", F.lit(n).cast("long")), "id", "n", 1, "p")
