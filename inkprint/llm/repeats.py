@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -44,7 +44,7 @@ _WEIGHT = _RNG.integers(1, 2**63, (2, 256), dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes hashed at once; also how far positions reach in an anchor's low bits.
 SPAN = 1 << 20
-#: Parts that the places of one segment are listed in.
+#: Parts that the places of one segment are counted in.
 SALTS = 256
 #: Segments of one anchor are compared in one task up to so many bytes: its suffix array takes about 100 times as much.
 GROUP_BYTES = 1 << 20
@@ -418,10 +418,16 @@ def repeat_ranges(docs: DataFrame, length: int = 200, gram: int = 32, group_byte
     keys = materialise(parts.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "keys")
     shared = materialise(parts.join(keys, "key").select("key", "seg", "r1", "r2", "lo", "n"), "shared")
     discard(parts)
-    # One place of each segment and their number, added up before the shuffle: a
-    # segment of any number of rows is one row a task.
-    place = F.min(F.struct("r1", "r2", "lo", "n")).alias("one")
-    heads = materialise(shared.groupBy("key", "seg").agg(place, F.count("*").alias("total")).select("key", "seg", "one.*", "total"), "heads")
+    # The places of each segment are counted within salts first, so that a segment
+    # of any number of rows is shared among tasks; then one row of each salt is
+    # counted again.  Rows are only told their number, none are made.
+    within, across = Window.partitionBy("key", "seg", "salt"), Window.partitionBy("key", "seg")
+    salted = shared.withColumn("salt", F.pmod("r1", F.lit(SALTS)))
+    rows_of = materialise(salted.withColumns({"same": F.count("*").over(within), "nth": F.row_number().over(within.orderBy("r1", "r2", "lo"))}), "places")
+    discard(shared)
+    firsts = rows_of.where("nth = 1").withColumns({"total": F.sum("same").over(across), "salts": F.count("*").over(across), "head": F.row_number().over(across.orderBy("salt"))})
+    firsts = materialise(firsts, "firsts")
+    heads = firsts.where("head = 1")
     # What the different segments of an anchor weigh decides how they are compared.
     weighed = heads.groupBy("key").agg(F.sum(F.col("n") + F.lit(length - 1)).alias("bytes")).where(F.col("bytes") > group_bytes).select("key", F.lit(True).alias("wide"))
     wanted = heads.join(weighed, "key", "left").select("r1", "r2", F.struct(*_HEAD, F.coalesce("wide", F.lit(False)).alias("wide")).alias("w"))
@@ -433,12 +439,9 @@ def repeat_ranges(docs: DataFrame, length: int = 200, gram: int = 32, group_byte
     windows = bodies.where("wide").mapInArrow(_windows(length), f"{_FOUND}, w1 long, w2 long")
     again = windows.groupBy("w1", "w2").agg(F.sum("total").alias("times")).where("times > 1").select("w1", "w2")
     found = materialise(scanned.unionByName(windows.join(again, ["w1", "w2"]).drop("w1", "w2")), "repeats")
-    # A segment with several places is a repeat as a whole.  Its places are listed
-    # within salts first, so that a segment of any number of rows is spread over
-    # tasks and meets its entry as a few rows.
-    several = materialise(found.where("total > 1").select("key", "seg").distinct(), "several")
-    listed = shared.groupBy("key", "seg", F.pmod("r1", F.lit(SALTS)).alias("salt")).agg(F.collect_list(F.struct("r1", "r2", "lo")).alias("at"), F.max("n").alias("n"))
-    places = listed.join(several, ["key", "seg"]).select(F.explode("at").alias("at"), "n").select("at.r1", "at.r2", "at.lo", (F.col("at.lo") + F.col("n") + F.lit(length - 1)).alias("hi"))
+    # A segment with several places is a leaf that is a repeat as a whole, at each of them.
+    several = rows_of.where("same > 1").select("r1", "r2", "lo", "n").unionByName(firsts.where("same = 1 and salts > 1").select("r1", "r2", "lo", "n"))
+    places = several.select("r1", "r2", "lo", (F.col("lo") + F.col("n") + F.lit(length - 1)).alias("hi"))
     return found.where("total = 1").select("r1", "r2", "lo", "hi").unionByName(places)
 
 

@@ -424,6 +424,33 @@ def test_topk_odd(spark):
     assert topk.search(table.where("false"), table.where("false")).collect() == []
 
 
+def _left(docs: dict, length: int = 200) -> dict:
+    """Bytes of each text outside all strings of ``length`` bytes that start at two places."""
+    data = {i: t.encode() for i, t in docs.items()}
+    count = Counter(t[i : i + length] for t in data.values() for i in range(len(t) - length + 1))
+    out = {}
+    for name, text in data.items():
+        mark, until = bytearray(len(text)), 0
+        for i in range(len(text) - length + 1):
+            if count[text[i : i + length]] > 1:
+                for j in range(max(i, until), i + length):
+                    mark[j] = 1
+                until = i + length
+        out[name] = bytes(b for b, m in zip(text, mark) if not m)
+    return out
+
+
+def test_stages_decide_like_their_operators(spark, docs):
+    import corpus_pipeline
+
+    stages, table = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{SF}/documents.parquet")
+    ids = lambda name: {r.doc_id for r in stages[name](spark, table, SF).collect()}
+    assert ids("quality_classifier") == {r.doc_id for r in queries.op2_ordinal_quality(spark, SF).collect() if r.kept}
+    assert ids("mixing") == {r.doc_id for r in queries.op7_rake_mixture(spark, SF).collect() if r.kept}
+    want = {i: b.decode(errors="ignore") for i, b in _left(docs).items()}
+    assert {r.doc_id: (r.text, r.n_chars) for r in stages["suffix_array_dedup"](spark, table, SF).collect()} == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
