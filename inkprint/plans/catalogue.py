@@ -548,11 +548,18 @@ def _neighbours(spark, sf) -> tuple[DataFrame, dict[str, int]]:
     return met, {f: v.count() for f, v in vocabs.items()}
 
 
-@query(f"with {_FAMILIES} select pair_id, count(*) as terms, round(sum(abs(a - b)), 4) as abs_diff, round(sum(a * b), 4) as product from al where family = 'char_ngrams' group by pair_id")
+_ALIGNED = (
+    "pp as (select a.doc_id pair_id, b.doc_id other from documents a join documents b on b.doc_id = a.doc_id + 1), "
+    "al as (select pair_id, term_idx, sum(a) a, sum(b) b from (select pair_id, term_idx, weight a, 0::double b from pp join x on x.doc_id = pair_id union all select pair_id, term_idx, 0, weight from pp join x on x.doc_id = other) group by all)"
+)
+
+
+@query(f"with {_weights_of('char_ngrams')}, {_ALIGNED} select pair_id, count(*) as terms, round(sum(abs(a - b)), 4) as abs_diff, round(sum(a * b), 4) as product from al group by pair_id")
 def pair_local(spark, sf):
-    met, _ = _neighbours(spark, sf)
-    d = sparse.distances(F.col("a")["char_ngrams"], F.col("b")["char_ngrams"])
-    return _rounded(met.select("pair_id", d.alias("d")).select("pair_id", "d.terms", "d.abs_diff", "d.product").where("terms > 0"), 4)
+    sides = written(_weights(spark, sf, "char_ngrams").select("doc_id", "w"), "sides")
+    met = sides.select(F.col("doc_id").alias("pair_id"), F.col("w").alias("a")).join(sides.select((F.col("doc_id") - 1).alias("pair_id"), F.col("w").alias("b")), "pair_id")
+    made = met.select("pair_id", sparse.distances(F.col("a"), F.col("b")).alias("d"))
+    return _rounded(made.select("pair_id", "d.terms", "d.abs_diff", "d.product").where("terms > 0"), 4)
 
 
 @query(
