@@ -25,6 +25,10 @@ from pyspark.sql import DataFrame
 from inkprint.llm.common import RecentCache, sliced, texts
 
 
+#: Recent words whose ids are remembered.
+CACHE = 500_000
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes -> rank of a rank file (base64, rank on each line)."""
     with open(path, "rb") as lines:
@@ -34,7 +38,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Encodes pieces of text by ranks; ``decode`` is its inverse."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token = [b""] * (max(ranks.values()) + 1)
         self.automaton = ahocorasick.Automaton()
@@ -49,6 +53,7 @@ class Encoder:
             self.shorter[rank] = next((ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in ranks), -1)
         #: (left << 20 | right) -> whether the two may stand side by side.
         self.pairs: dict[int, bool] = {}
+        self.most_pairs = cache * 5 // 3
         self.words, self.firsts, self.pieces = RecentCache(cache), RecentCache(20_000), RecentCache(cache // 4)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -64,7 +69,7 @@ class Encoder:
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joint bytes of two tokens gives just these two; remembered in ``pairs``."""
         joint = self.token[left] + self.token[right]
-        if len(self.pairs) > 250_000:
+        if len(self.pairs) > self.most_pairs:
             self.pairs.clear()
         found = self.pairs[left << 20 | right] = joint not in self.ranks and self.merge(joint) == [left, right]
         return found
@@ -157,21 +162,23 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, cache: int = CACHE) -> Encoder:
     """One encoder a worker process."""
-    return Encoder(read_ranks(path), pattern)
+    return Encoder(read_ranks(path), pattern, cache)
 
 
-def encode_column(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+def encode_column(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Encode each whole text and decode the ids again: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    ``keep_ids`` adds the ids themselves.  Null is the empty text: no ids, and
+    ``keep_ids`` adds the ids themselves; ``cache`` is how many recent words a
+    worker remembers, at about 300 bytes each.  An empty table gives an empty
+    result.  Null is the empty text: no ids, and
     the digests of nothing.  Very long texts and matches take time in proportion
     to their length.  Repeated rows are encoded each; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = encoder(path, pattern)
+        made = encoder(path, pattern, cache)
         for batch in sliced(batches):
             counts, digests, decoded, kept = [], [], [], []
             for text in texts(batch.column(1)):
