@@ -1,8 +1,10 @@
 """Mixing documents to target token weights by iterative proportional fitting.
 
-Topics are learnt: hashed TF-IDF vectors, less the mean of their language, are
-clustered by cosine on a bounded sample, with document frequencies over all
-rows, and every text gets the topic of its nearest centroid.
+Topics are learnt from every text with a word: TF-IDF vectors, hashed to
+``WIDTH`` signed numbers and less the mean of their language, are clustered by
+cosine, and every text gets the topic of its nearest centroid.  Each round of
+the clustering is one pass over the written vectors.  Sums and products are of
+whole numbers, so no order or partitioning of the rows changes a topic.
 
 Tokens are summed by cell (source, language, topic).  Raking multiplies the
 cells' keep rates so that each margin in turn meets its target, no rate above
@@ -19,19 +21,17 @@ number; beyond it the same steps run as aggregations and joins.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from inkprint.llm.common import materialise, sliced, texts
-from inkprint.llm.language import cluster, counts, document_frequency, drawn, groups, vectors
+from inkprint.llm.common import discard, materialise, sliced, texts, utf8
+from inkprint.llm.language import DIMENSIONS, counts, document_frequency, groups, vectors
 
 MARGINS = ("source", "lang", "topic")
 UNKNOWN = "unknown"
@@ -47,9 +47,9 @@ class Targets:
     shares: dict[str, dict[str, float]] = field(default_factory=dict)
     sweeps: int = 200
     tolerance: float = 1e-6
-    #: Topics, and the different texts that their clusters are learnt from.
+    #: Topics, and the most rounds of their clustering.
     topics: int = 12
-    sample: int = 1000
+    rounds: int = 12
     #: A margin's share may miss its target by this much before it counts as not met.
     slack: float = 0.005
     #: More cells than this are raked by aggregations.
@@ -63,38 +63,123 @@ def token_count(text: Column) -> Column:
 
 #: Languages with a mean of their own; texts of any other are compared with the mean of all.
 OWN_MEANS = 32
+#: Numbers of a text's vector, and what stands for 1.0 in it and in a centroid; products of both are exact in float64.
+WIDTH = 512
+ONE, FINE = 1 << 12, 1 << 20
+#: Starts drawn in one pass.
+DRAWN = 4
+_ORDER = np.random.default_rng(7).permutation(DIMENSIONS)
+_SIGNS = np.random.default_rng(8).choice(np.array([-1, 1], np.float32), DIMENSIONS)
 
 
-def _apart(rows: np.ndarray, langs: list[str], means: dict[str, np.ndarray]) -> np.ndarray:
-    """``rows``, changed in place to what sets each text apart from its language, so that topics don't repeat the languages."""
-    for i, lang in enumerate(langs):
-        rows[i] -= means.get(lang, means[""])
-        rows[i] /= max(float(np.linalg.norm(rows[i])), 1e-12)
-    return rows
+def folded(rows: np.ndarray) -> np.ndarray:
+    """``rows`` of DIMENSIONS numbers hashed to WIDTH each, with signs, so that products keep their expected values."""
+    return np.rint((rows[:, _ORDER] * _SIGNS).reshape(len(rows), WIDTH, -1).sum(axis=2) * ONE).astype(np.int16)
 
 
-def learn_topics(docs: DataFrame, targets: Targets) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """(mean vector of each language and of all, topic centroids, idf) of ``docs`` (doc_id, text, lang)."""
-    known = docs.where("text is not null").select("doc_id", F.concat_ws("\n", margins()["lang"], "text").alias("text"))
-    n, df = document_frequency(docs.where("text is not null"))
-    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+@dataclass(frozen=True)
+class Topics:
+    """Mean vector of each of the larger languages, of all (in the last row), and the topics' centroids."""
+
+    langs: dict[str, int]
+    means: np.ndarray
+    centres: np.ndarray
+
+    def apart(self, column: pa.Array, langs: pa.Array) -> np.ndarray:
+        """What sets each text apart from its language, as whole numbers of length ONE, so that topics don't repeat the languages; 0 if nothing does."""
+        of = [self.langs.get(x, len(self.langs)) for x in langs.to_pylist()]
+        rows = utf8(column)[0].view(np.int16).reshape(-1, WIDTH) - self.means[of]
+        size = np.sqrt((rows * rows).sum(axis=1))
+        return np.rint(rows * np.where(size < 1, 0, ONE / np.maximum(size, 1))[:, None])
+
+    def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and cosine of each row's nearest centroid; of equally near ones the first."""
+        found = rows @ self.centres.T
+        return np.argmax(found, axis=1), found.max(axis=1) / (ONE * FINE)
+
+
+def _unit(row: np.ndarray) -> np.ndarray:
+    return np.rint(row * (FINE / max(float(np.sqrt((row * row).sum())), 1e-12)))
+
+
+def _pass(rows: DataFrame, run: Callable, kinds: str) -> DataFrame:
+    """``run`` over chance, lang and vector of ``rows``, with what each of a few tasks a core makes."""
+    few = rows.select("chance", "lang", "vector").coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism)
+    return few.mapInArrow(run, kinds)
+
+
+def _sums(rows: DataFrame, parts: int, part_of: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the vectors and count of the rows of each part; ``part_of`` gives (part, vector) of each row of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((parts, WIDTH + 1), np.int64)
+        for batch in sliced(batches):
+            part, vector = part_of(batch)
+            for p in np.unique(part):
+                total[p, :WIDTH] += vector[part == p].sum(axis=0).astype(np.int64)
+                total[p, WIDTH] += np.count_nonzero(part == p)
+        flat = total.ravel()
+        hit = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(flat[hit])], ["slot", "n"])
+
+    out = np.zeros(parts * (WIDTH + 1))
+    for slot, n in _pass(rows, run, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():  # at most parts * (WIDTH + 1) rows
+        out[slot] = n
+    out = out.reshape(parts, -1)
+    return out[:, :WIDTH], out[:, WIDTH]
+
+
+def _starts(rows: DataFrame, topics: Topics, count: int) -> list[np.ndarray]:
+    """At most ``count`` different rows drawn by their chance, weighted by the distance from the centroids there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            vector = topics.apart(batch.column(2), batch.column(1))
+            far = 1 - topics.nearest(vector)[1] if len(topics.centres) else np.ones(len(vector))
+            far[(far < 1e-3) | ~vector.any(axis=1)] = 0
+            late = -np.log(batch.column(0).to_numpy()) / np.maximum(far, 1e-9)
+            best = [i for i in np.lexsort((batch.column(2).to_numpy(zero_copy_only=False), late))[:count] if far[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(late[best]), pa.array([vector[i].astype(np.int16).tobytes() for i in best], pa.binary())], ["late", "vector"])
+
+    found = _pass(rows, run, "late double, vector binary").orderBy("late", "vector").limit(count).collect()
+    return [_unit(np.frombuffer(x, np.int16).astype(np.float64)) for x in dict.fromkeys(bytes(r["vector"]) for r in found)]
+
+
+def learn_topics(rows: DataFrame, targets: Targets) -> Topics:
+    """Topics of ``rows`` (see ``vectors_of``), learnt from all that have a word.
 
-    def fit(table: pd.DataFrame) -> pd.DataFrame:
-        langs, bodies = zip(*(t.split("\n", 1) for t in table.sort_values(["h", "text"])["text"]))
-        rows, filled = np.zeros((len(bodies), len(idf)), np.float32), 0
-        for group in groups(t.encode() for t in bodies):
-            rows[filled : filled + len(group)] = vectors(counts(group), idf)
-            filled += len(group)
-        at = np.array(langs)
-        means = {x: rows[at == x].mean(axis=0) for x, _ in Counter(langs).most_common(OWN_MEANS)} | {"": rows.mean(axis=0)}
-        centres = cluster(_apart(rows, list(langs), means), targets.topics)[0]
-        made = [(x, m) for x, m in sorted(means.items())] + [(None, c) for c in centres]
-        return pd.DataFrame({"lang": [x for x, _ in made], "at": range(len(made)), "vector": [v.astype("float32") for _, v in made]})
+    Spherical k-means: starts are drawn one after another, farther rows with a
+    higher chance; then come rounds until no centroid moves, at most
+    ``targets.rounds``.
+    """
+    known = rows.where("n_tokens > 0")
+    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(OWN_MEANS).collect()]
+    langs = {x: i for i, x in enumerate(names)}
+
+    def by_lang(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([langs.get(x, len(langs)) for x in batch.column(1).to_pylist()]), utf8(batch.column(2))[0].view(np.int16).reshape(-1, WIDTH).astype(np.int64)
+
+    total, n = _sums(known, len(langs) + 1, by_lang)
+    total[-1], n[-1] = total.sum(axis=0), n.sum()
+    means, centres = total / np.maximum(n, 1)[:, None], np.zeros((0, WIDTH))
+    while len(centres) < targets.topics and n[-1]:
+        more = _starts(known, Topics(langs, means, centres), min(DRAWN, targets.topics - len(centres)))
+        if not more:
+            break
+        centres = np.array([*centres, *more])
+    for _ in range(targets.rounds if len(centres) else 0):
+        now = Topics(langs, means, centres)
 
-    sampled = drawn(known, [], targets.sample).withColumn("every", F.lit(0))
-    found = sorted(sampled.groupBy("every").applyInPandas(fit, "lang string, at int, vector array<float>").collect(), key=lambda r: r["at"])
-    means = {r["lang"]: np.array(r["vector"], np.float32) for r in found if r["lang"] is not None}
-    return means, np.array([r["vector"] for r in found if r["lang"] is None], np.float32).reshape(-1, len(idf)), idf
+        def by_topic(batch: pa.RecordBatch, now=now) -> tuple[np.ndarray, np.ndarray]:
+            vector = now.apart(batch.column(2), batch.column(1))
+            return now.nearest(vector)[0], vector
+
+        total, n = _sums(known, len(centres), by_topic)
+        new = np.array([_unit(t) if k else c for t, k, c in zip(total, n, centres)])
+        if (new == centres).all():
+            break
+        centres = new
+    return Topics(langs, means, centres)
 
 
 def margins() -> dict[str, Column]:
@@ -102,29 +187,47 @@ def margins() -> dict[str, Column]:
     return {m: F.coalesce(F.col(m).cast("string"), F.lit(UNKNOWN)) for m in ("source", "lang")}
 
 
+def vectors_of(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """u (see ``uniform``), source, lang, chance (a number above 0, made from doc_id and text), ``row`` (doc_id, if none is given), n_tokens and vector of each row; written."""
+    n, df = document_frequency(docs.where("text is not null"))
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            made, sizes = [], []
+            for group in groups(texts(batch.column(0))):
+                made += [v.tobytes() for v in folded(vectors(counts(group), idf))]
+                sizes += [len(text.split()) for text in group]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], [*batch.schema.names[1:], "n_tokens", "vector"])
+
+    chance = (F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 52)) + 1).cast("double") / float((1 << 52) + 1)
+    read = docs.select("text", uniform(71).alias("u"), *(c.alias(m) for m, c in margins().items()), chance.alias("chance"), (F.col("doc_id") if row is None else row).alias("row"))
+    kinds = StructType([*read.schema.fields[1:], StructField("n_tokens", LongType()), StructField("vector", BinaryType())])
+    return materialise(read.mapInArrow(run, kinds), "vectors")
+
+
 def cells_of(docs: DataFrame, targets: Targets, row: Column | None = None) -> DataFrame:
-    """u (see ``uniform``), the three margins, n_tokens and ``row`` (doc_id, if none is given) of each row.
+    """u (see ``uniform``), the three margins, n_tokens and ``row`` (doc_id, if none is given) of each row; written.
 
     A topic is named t00, t01, ...; a text without a word, or the only kind of
     texts there are, is of the topic ``unknown``.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(learn_topics(docs, targets))  # OWN_MEANS + topics vectors
+    rows = vectors_of(docs, row)
+    sent = docs.sparkSession.sparkContext.broadcast(learn_topics(rows, targets))  # OWN_MEANS + 1 + topics vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        means, centres, idf = sent.value
+        learnt = sent.value
         for batch in sliced(batches):
-            topics, sizes, langs = [], [], batch.column(3).to_pylist()
-            for group in groups(texts(batch.column(0))):
-                own = langs[len(topics) : len(topics) + len(group)]
-                best = np.argmax(_apart(vectors(counts(group), idf), own, means) @ centres.T, axis=1) if len(centres) else np.zeros(len(group), int)
-                for text, at in zip(group, best.tolist()):
-                    sizes.append(len(text.split()))
-                    topics.append(f"t{at:02d}" if sizes[-1] and len(centres) else UNKNOWN)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(topics, pa.string()), pa.array(sizes, pa.int64())], [*batch.schema.names[1:], "topic", "n_tokens"])
+            vector = learnt.apart(batch.column(0), batch.column(3))
+            best = learnt.nearest(vector)[0].tolist() if len(learnt.centres) else [0] * len(vector)
+            topics = [f"t{at:02d}" if size and len(learnt.centres) else UNKNOWN for at, size in zip(best, batch.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:5], pa.array(topics, pa.string()), batch.column(5)], [*batch.schema.names[1:5], "topic", "n_tokens"])
 
-    read = docs.select("text", uniform(71).alias("u"), *(c.alias(m) for m, c in margins().items()), (F.col("doc_id") if row is None else row).alias("row"))
-    kinds = StructType([*read.schema.fields[1:], StructField("topic", StringType()), StructField("n_tokens", LongType())])
-    return read.mapInArrow(run, kinds)
+    read = rows.select("vector", "u", "source", "lang", "row", "n_tokens")
+    kinds = StructType([*read.schema.fields[1:5], StructField("topic", StringType()), StructField("n_tokens", LongType())])
+    made = materialise(read.mapInArrow(run, kinds), "cells-of-rows")
+    discard(rows)
+    return made
 
 
 def _wanted(present: dict[str, float], margin: str, targets: Targets) -> dict[str, float]:
@@ -238,7 +341,7 @@ def mix(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
     number.  An empty table gives an empty result; other columns, whatever their
     names, are ignored.
     """
-    rows = materialise(cells_of(docs, targets), "tokens")
+    rows = cells_of(docs, targets)
     cells = rates(rows, targets)
     made = rows.join(cells.drop("tokens"), list(MARGINS))
     told = materialise(report(cells, targets).select("margin", "value", "target", "expected"), "report")
@@ -257,5 +360,5 @@ def sample(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
     ``mix``.  Every column keeps its value, whatever its name.
     """
     # written once: whether a row is kept then can't differ between the counts and the sample
-    rows = materialise(cells_of(docs, targets, F.struct(*(F.col(f"`{c}`") for c in docs.columns))), "cells-of-rows")
+    rows = cells_of(docs, targets, F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
     return rows.join(rates(rows, targets).drop("tokens"), list(MARGINS)).where("u < rate").select("row.*")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -343,6 +344,28 @@ def test_mixture(spark, docs):
     assert len({r.topic for r in rows}) > 3
 
 
+def test_topics_learn_from_every_text(spark):
+    """Means of the languages, rounds and topics as by plain arithmetic over all of 2,500 texts, however they are dealt."""
+    texts = [(i, " ".join(f"{'ab'[i % 2]}{k}{(i * k) % 97}x" for k in range(1, 9)), "xyz"[i % 3], "s") for i in range(2500)]
+    table = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string")
+    rows = mixture.vectors_of(table)
+    held = sorted((r.row, r.lang, bytes(r.vector)) for r in rows.collect())
+    vector = np.array([np.frombuffer(v, np.int16) for _, _, v in held], np.float64)
+    langs = np.array([x for _, x, _ in held])
+    learnt = mixture.learn_topics(rows, mixture.Targets(rounds=40))
+    assert set(learnt.langs) == {"x", "y", "z"} and learnt.means[-1] == pytest.approx(vector.mean(axis=0))
+    for lang, at in learnt.langs.items():
+        assert learnt.means[at] == pytest.approx(vector[langs == lang].mean(axis=0))
+    apart = vector - learnt.means[[learnt.langs[x] for x in langs]]
+    apart /= np.linalg.norm(apart, axis=1, keepdims=True)
+    own = np.argmax(apart @ learnt.centres.T, axis=1)
+    for j, centre in enumerate(learnt.centres):
+        mean = apart[own == j].sum(axis=0)
+        assert centre / mixture.FINE @ mean == pytest.approx(np.linalg.norm(mean), rel=1e-4)
+    one, two = ({r.row: r.topic for r in mixture.cells_of(table.repartition(n), mixture.Targets()).collect()} for n in (1, 7))
+    assert one == two and len(set(one.values())) > 8
+
+
 def test_mixture_reports_what_cannot_be_met(spark):
     cells = spark.createDataFrame([("a", "x", "t", 10, 1.0), ("b", "x", "t", 990, 0.2)], "source string, lang string, topic string, tokens long, rate double")
     told = {(r.margin, r.value): r for r in mixture.report(cells, mixture.Targets(shares={"source": {"a": 0.5, "b": 0.5}})).collect()}
