@@ -48,16 +48,29 @@ def _codes(data: np.ndarray) -> np.ndarray:
     return ((x * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64)
 
 
+def _pieces(text: bytes) -> Iterator[np.ndarray]:
+    """Numbers of a text's trigrams; a long text comes piece by piece."""
+    data = _lowered(text)
+    for at in range(0, len(data) - 2, _BYTES):
+        yield _codes(data[at : at + _BYTES + 2])
+
+
 def counts(batch: list[bytes]) -> np.ndarray:
-    """Trigram counts (texts x DIMENSIONS); a long text is counted piece by piece."""
+    """Trigram counts (texts x DIMENSIONS)."""
     out = np.zeros((len(batch), DIMENSIONS), np.float32)
     for row, text in enumerate(batch):
-        data = _lowered(text)
-        for at in range(0, len(data) - 2, _BYTES):
-            out[row] += np.bincount(_codes(data[at : at + _BYTES + 2]), minlength=DIMENSIONS)
+        for codes in _pieces(text):
+            out[row] += np.bincount(codes, minlength=DIMENSIONS)
     return out
 
 
+def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The different trigrams of one text, and how often each occurs."""
+    found = sum((np.bincount(codes, minlength=DIMENSIONS) for codes in _pieces(text)), np.zeros(DIMENSIONS, np.int64))
+    hit = np.flatnonzero(found)
+    return hit, found[hit]
+
+
 def vectors(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Normalised TF-IDF rows."""
     out = np.zeros_like(found)
@@ -99,9 +112,12 @@ def document_frequency(train: DataFrame) -> tuple[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(DIMENSIONS, np.int64)
         for batch in batches:
-            for group in groups(texts(batch.column(0))):
-                df += (counts(group) > 0).sum(axis=0)
-                n += len(group)
+            for text in texts(batch.column(0)):
+                seen = np.zeros(DIMENSIONS, bool)
+                for codes in _pieces(text):
+                    seen[codes] = True
+                df += seen
+                n += 1
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1).astype(np.int32)), pa.array(np.append(df[hit], n))], ["slot", "df"])
 

@@ -3,8 +3,9 @@
 Topics are learnt from every text with a word: TF-IDF vectors, hashed to
 ``WIDTH`` signed numbers and less the mean of their language, are clustered by
 cosine, and every text gets the topic of its nearest centroid.  Each round of
-the clustering is one pass over the written vectors.  Sums and products are of
-whole numbers, so no order or partitioning of the rows changes a topic.
+the clustering is one pass over what was written of the vectors, set apart from
+their languages.  Sums and products are of whole numbers, so no order or
+partitioning of the rows changes a topic.
 
 Tokens are summed by cell (source, language, topic).  Raking multiplies the
 cells' keep rates so that each margin in turn meets its target, no rate above
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from inkprint.llm.common import discard, materialise, sliced, texts, utf8
-from inkprint.llm.language import DIMENSIONS, counts, document_frequency, groups, vectors
+from inkprint.llm.language import DIMENSIONS, counted, document_frequency
 
 MARGINS = ("source", "lang", "topic")
 UNKNOWN = "unknown"
@@ -68,13 +69,26 @@ WIDTH = 512
 ONE, FINE = 1 << 12, 1 << 20
 #: Starts drawn in one pass.
 DRAWN = 4
+_BUCKETS, _SIGNS = np.empty(DIMENSIONS, np.int64), np.empty(DIMENSIONS)
 _ORDER = np.random.default_rng(7).permutation(DIMENSIONS)
-_SIGNS = np.random.default_rng(8).choice(np.array([-1, 1], np.float32), DIMENSIONS)
+_BUCKETS[_ORDER] = np.arange(DIMENSIONS) // (DIMENSIONS // WIDTH)
+_SIGNS[_ORDER] = np.random.default_rng(8).choice(np.array([-1, 1]), DIMENSIONS)
 
 
-def folded(rows: np.ndarray) -> np.ndarray:
-    """``rows`` of DIMENSIONS numbers hashed to WIDTH each, with signs, so that products keep their expected values."""
-    return np.rint((rows[:, _ORDER] * _SIGNS).reshape(len(rows), WIDTH, -1).sum(axis=2) * ONE).astype(np.int16)
+def hashed(text: bytes, idf: np.ndarray) -> np.ndarray:
+    """The TF-IDF vector of one text hashed to WIDTH numbers, with signs, so that products keep their expected values.
+
+    Only the trigrams it has are weighted, not all DIMENSIONS.
+    """
+    hit, n = counted(text)
+    weight = (1 + np.log(n)) * idf[hit]
+    size = max(float(np.sqrt((weight * weight).sum())), 1e-12)
+    return np.rint(np.bincount(_BUCKETS[hit], weight * _SIGNS[hit], WIDTH) * (ONE / size)).astype(np.int16)
+
+
+def _held(column: pa.Array) -> np.ndarray:
+    """The vectors of a binary column, one a row, as float64."""
+    return utf8(column)[0].view(np.int16).reshape(-1, WIDTH).astype(np.float64)
 
 
 @dataclass(frozen=True)
@@ -88,7 +102,7 @@ class Topics:
     def apart(self, column: pa.Array, langs: pa.Array) -> np.ndarray:
         """What sets each text apart from its language, as whole numbers of length ONE, so that topics don't repeat the languages; 0 if nothing does."""
         of = [self.langs.get(x, len(self.langs)) for x in langs.to_pylist()]
-        rows = utf8(column)[0].view(np.int16).reshape(-1, WIDTH) - self.means[of]
+        rows = _held(column) - self.means[of]
         size = np.sqrt((rows * rows).sum(axis=1))
         return np.rint(rows * np.where(size < 1, 0, ONE / np.maximum(size, 1))[:, None])
 
@@ -103,21 +117,20 @@ def _unit(row: np.ndarray) -> np.ndarray:
 
 
 def _pass(rows: DataFrame, run: Callable, kinds: str) -> DataFrame:
-    """``run`` over chance, lang and vector of ``rows``, with what each of a few tasks a core makes."""
-    few = rows.select("chance", "lang", "vector").coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism)
-    return few.mapInArrow(run, kinds)
+    """``run`` over ``rows``, with what each of a few tasks a core makes."""
+    return rows.coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, kinds)
 
 
 def _sums(rows: DataFrame, parts: int, part_of: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the vectors and count of the rows of each part; ``part_of`` gives (part, vector) of each row of a batch."""
+    """Sum of the vectors (the first column) and count of the rows of each part; ``part_of`` gives each row's part from a batch and its vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((parts, WIDTH + 1), np.int64)
         for batch in sliced(batches):
-            part, vector = part_of(batch)
-            for p in np.unique(part):
-                total[p, :WIDTH] += vector[part == p].sum(axis=0).astype(np.int64)
-                total[p, WIDTH] += np.count_nonzero(part == p)
+            vector = _held(batch.column(0))
+            member = (np.arange(parts)[:, None] == part_of(batch, vector)).astype(np.float64)
+            total[:, :WIDTH] += (member @ vector).astype(np.int64)  # whole numbers far under 2^53
+            total[:, WIDTH] += member.sum(axis=1).astype(np.int64)
         flat = total.ravel()
         hit = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(flat[hit])], ["slot", "n"])
@@ -129,19 +142,31 @@ def _sums(rows: DataFrame, parts: int, part_of: Callable) -> tuple[np.ndarray, n
     return out[:, :WIDTH], out[:, WIDTH]
 
 
-def _starts(rows: DataFrame, topics: Topics, count: int) -> list[np.ndarray]:
+def _set_apart(rows: DataFrame, topics: Topics) -> DataFrame:
+    """Chance and ``Topics.apart`` of each row; written, as every start and round reads it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            made = [v.tobytes() for v in topics.apart(batch.column(0), batch.column(1)).astype(np.int16)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(2)], ["vector", "chance"])
+
+    return materialise(rows.select("vector", "lang", "chance").mapInArrow(run, "vector binary, chance double"), "apart")
+
+
+def _starts(apart: DataFrame, topics: Topics, count: int) -> list[np.ndarray]:
     """At most ``count`` different rows drawn by their chance, weighted by the distance from the centroids there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            vector = topics.apart(batch.column(2), batch.column(1))
+            vector = _held(batch.column(0))
             far = 1 - topics.nearest(vector)[1] if len(topics.centres) else np.ones(len(vector))
-            far[(far < 1e-3) | ~vector.any(axis=1)] = 0
-            late = -np.log(batch.column(0).to_numpy()) / np.maximum(far, 1e-9)
-            best = [i for i in np.lexsort((batch.column(2).to_numpy(zero_copy_only=False), late))[:count] if far[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(late[best]), pa.array([vector[i].astype(np.int16).tobytes() for i in best], pa.binary())], ["late", "vector"])
+            late = np.where((far < 1e-3) | ~vector.any(axis=1), np.inf, -np.log(batch.column(1).to_numpy()) / np.maximum(far, 1e-9))
+            # the first ``count``, and what is level with the last of them
+            last = np.sort(late)[:count][-1]
+            best = sorted((late[i], batch.column(0)[i].as_py()) for i in np.flatnonzero((late <= last) & np.isfinite(late)))[:count]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in best], pa.float64()), pa.array([v for _, v in best], pa.binary())], ["late", "vector"])
 
-    found = _pass(rows, run, "late double, vector binary").orderBy("late", "vector").limit(count).collect()
+    found = _pass(apart.select("vector", "chance"), run, "late double, vector binary").orderBy("late", "vector").limit(count).collect()
     return [_unit(np.frombuffer(x, np.int16).astype(np.float64)) for x in dict.fromkeys(bytes(r["vector"]) for r in found)]
 
 
@@ -156,29 +181,28 @@ def learn_topics(rows: DataFrame, targets: Targets) -> Topics:
     names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(OWN_MEANS).collect()]
     langs = {x: i for i, x in enumerate(names)}
 
-    def by_lang(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([langs.get(x, len(langs)) for x in batch.column(1).to_pylist()]), utf8(batch.column(2))[0].view(np.int16).reshape(-1, WIDTH).astype(np.int64)
+    def by_lang(batch: pa.RecordBatch, vector: np.ndarray) -> np.ndarray:
+        return np.array([langs.get(x, len(langs)) for x in batch.column(1).to_pylist()])
 
-    total, n = _sums(known, len(langs) + 1, by_lang)
+    total, n = _sums(known.select("vector", "lang"), len(langs) + 1, by_lang)
     total[-1], n[-1] = total.sum(axis=0), n.sum()
     means, centres = total / np.maximum(n, 1)[:, None], np.zeros((0, WIDTH))
-    while len(centres) < targets.topics and n[-1]:
-        more = _starts(known, Topics(langs, means, centres), min(DRAWN, targets.topics - len(centres)))
+    if not n[-1]:
+        return Topics(langs, means, centres)
+    apart = _set_apart(known, Topics(langs, means, centres))
+    while len(centres) < targets.topics:
+        more = _starts(apart, Topics(langs, means, centres), min(DRAWN, targets.topics - len(centres)))
         if not more:
             break
         centres = np.array([*centres, *more])
     for _ in range(targets.rounds if len(centres) else 0):
         now = Topics(langs, means, centres)
-
-        def by_topic(batch: pa.RecordBatch, now=now) -> tuple[np.ndarray, np.ndarray]:
-            vector = now.apart(batch.column(2), batch.column(1))
-            return now.nearest(vector)[0], vector
-
-        total, n = _sums(known, len(centres), by_topic)
+        total, n = _sums(apart.select("vector"), len(centres), lambda batch, vector, now=now: now.nearest(vector)[0])
         new = np.array([_unit(t) if k else c for t, k, c in zip(total, n, centres)])
         if (new == centres).all():
             break
         centres = new
+    discard(apart)
     return Topics(langs, means, centres)
 
 
@@ -195,9 +219,9 @@ def vectors_of(docs: DataFrame, row: Column | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             made, sizes = [], []
-            for group in groups(texts(batch.column(0))):
-                made += [v.tobytes() for v in folded(vectors(counts(group), idf))]
-                sizes += [len(text.split()) for text in group]
+            for text in texts(batch.column(0)):
+                made.append(hashed(text, idf).tobytes())
+                sizes.append(len(text.split()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], [*batch.schema.names[1:], "n_tokens", "vector"])
 
     chance = (F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 52)) + 1).cast("double") / float((1 << 52) + 1)

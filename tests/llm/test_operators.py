@@ -366,6 +366,27 @@ def test_topics_learn_from_every_text(spark):
     assert one == two and len(set(one.values())) > 8
 
 
+def test_vectors_are_set_apart_once(spark, docs, monkeypatch):
+    """Starts and rounds read one written table of every text with a word, which goes afterwards; frequencies are by whole rows of trigrams."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    n, df = language.document_frequency(table.where("text is not null"))
+    held = [t.encode() for t in docs.values() if t is not None]
+    assert n == len(held) and (df == (language.counts(held) > 0).sum(axis=0)).all()
+    rows, made, gone = mixture.vectors_of(table), [], []
+    write, drop = mixture.materialise, mixture.discard
+
+    def noted(df, name):
+        out = write(df, name)
+        made.append((name, out.count(), out))
+        return out
+
+    monkeypatch.setattr(mixture, "materialise", noted)
+    monkeypatch.setattr(mixture, "discard", lambda df: (gone.append(df), drop(df)))
+    learnt = mixture.learn_topics(rows, mixture.Targets())
+    assert [x[:2] for x in made] == [("apart", sum(bool(t.split()) for t in held))] and gone == [made[0][2]]
+    assert len(learnt.centres) == mixture.Targets().topics
+
+
 def test_mixture_reports_what_cannot_be_met(spark):
     cells = spark.createDataFrame([("a", "x", "t", 10, 1.0), ("b", "x", "t", 990, 0.2)], "source string, lang string, topic string, tokens long, rate double")
     told = {(r.margin, r.value): r for r in mixture.report(cells, mixture.Targets(shares={"source": {"a": 0.5, "b": 0.5}})).collect()}
