@@ -11,9 +11,9 @@ from inkprint.functions.text import normalize
 from inkprint.plans.scorer import Scorer
 
 
-def masked_stream(texts: DataFrame, column: str = "text") -> DataFrame:
+def masked_stream(texts: DataFrame, column: str = "text", ascii: bool = False) -> DataFrame:
     """Normalised and masked texts of a stream; no state is held."""
-    return texts.withColumn(column, mask_all(normalize(F.col(column))))
+    return texts.withColumn(column, normalize(F.col(column))).withColumn(column, mask_all(F.col(column), ascii))
 
 
 def score_stream(pairs: DataFrame, scorer: Scorer, sink: str, checkpoint: str) -> StreamingQuery:

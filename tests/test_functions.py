@@ -2,13 +2,14 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkprint.functions import lexicon, masking, text
 from inkprint.operators import annotate, audit, metrics, model, reduce, sparse, stats, terms
-from inkprint.plans import fixtures
+from inkprint.plans import catalogue, fixtures
 
 SINGLE = [
     ("url", "see (https://a.b/c?x=1). ok", "see (<URL>). ok"),
@@ -57,6 +58,23 @@ def test_chain_equals_python(spark):
     assert _one(spark, value, masking.mask_all) == want
 
 
+ASCII = "coñ Ñco. ñ12 12é \x0bco a\u00a0co. Acme Inc. at 10:30\x0bpm ümail a@b.co \u212aelvin\u212aco 5\u212a co\u017f"
+
+
+def test_ascii_edges_are_duckdbs(spark):
+    for rule in masking.RULES:
+        sql = catalogue._re2(rule)
+        want = duckdb.execute(f"select regexp_replace($1, '{sql}', '{masking.placeholder(rule)}', 'g'), len(regexp_extract_all($1, '{sql}'))", [ASCII]).fetchone()
+        assert (_one(spark, ASCII, lambda c: masking.mask(c, rule, ascii=True)), _one(spark, ASCII, lambda c: masking.count(c, rule, ascii=True))) == want
+    assert _one(spark, "Ñco coñ ñ12", masking.mask_all) == "Ñco coñ ñ12"
+    assert _one(spark, "Ñco coñ ñ12", lambda c: masking.mask_all(c, ascii=True)) == "Ñ<ORG_SUFFIX> <ORG_SUFFIX>ñ ñ<NUMBER>"
+
+
+def test_display_rounds_the_decimal_form(spark):
+    rows = spark.createDataFrame([(0.0045,), (2.0,), (0.5,)], "p double").select(*(c.alias(n) for n, c in metrics.display(F.col("p")).items())).collect()
+    assert [(r.angle, r.percent) for r in rows] == [(1.62, 0.5), (360.0, 100.0), (180.0, 50.0)]
+
+
 def test_whitespace_is_pythons(spark):
     value = "a b c\x85d\x1ce"
     assert _one(spark, value, text.words) == value.split()
