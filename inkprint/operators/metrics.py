@@ -102,6 +102,7 @@ def decision(p: Column, threshold: Column | float) -> Column:
 
 
 def display(p: Column) -> dict[str, Column]:
-    """Clamped probability as hue, angle and percentage."""
+    """Clamped probability as hue, angle and percentage, rounded from their decimal form of 16 places."""
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
-    return {"hue": 8 + clamped * 126, "angle": F.round(clamped * 360, 2), "percent": F.round(clamped * 100, 1)}
+    r = lambda value, digits: F.round(value.cast("string").cast("decimal(24,16)"), digits).cast("double")
+    return {"hue": 8 + clamped * 126, "angle": r(clamped * 360, 2), "percent": r(clamped * 100, 1)}
