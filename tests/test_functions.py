@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,14 @@ def test_sparse_agrees_with_long_form(spark):
         assert made.count() == 4 and sorted((r.id, r.term_idx, round(r.weight, 12)) for r in sparse.long_weights(made, "w", ["id"]).collect()) == want
 
 
+def test_results_are_made_few_rows_at_a_time():
+    """What a function of rows holds doesn't grow with the batch it gets."""
+    text = pa.array(["ab abc abcd"] * 1000 + [None])
+    seen = []
+    made = sparse.pieces(lambda x: seen.append(len(x)) or x, iter([text, text[:0], (text[:3],)]))
+    assert sum(len(x) for x in made) == 1004 and max(seen) == sparse.ROWS
+
+
 def test_svd_equals_dense_decomposition(spark):
     rng = np.random.default_rng(0)
     a = rng.normal(size=(60, 12)) * (rng.random((60, 12)) < 0.5) * np.arange(12, 0, -1)
