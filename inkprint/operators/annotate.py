@@ -4,21 +4,28 @@ A record is tokens array<struct<text,lower,lemma,pos,dep,is_punct,is_space>>,
 sentences and chunks array<struct<start,end>> (half-open token ranges), and
 ents array<struct<start,end,label>> (character ranges).
 
-``records`` is the backend that needs no model: native expressions over word
-lists and endings.  ``model_records`` fills the same schema from a model.
+``records`` is the backend that needs no model: word lists and endings, asked
+once for each different token of a few rows.  ``model_records`` fills the same
+schema from a model.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.functions.lexicon import ENTITY_PLACEHOLDERS
 from inkprint.functions.text import coerce
+from inkprint.operators import sparse
 
 TOKEN = "struct<text:string,lower:string,lemma:string,pos:string,dep:string,is_punct:boolean,is_space:boolean>"
 SPAN = "struct<start:int,end:int>"
@@ -40,23 +47,37 @@ CLASSES = {
 ENDINGS = {"ADV": "ly", "VERB": "ing ed ize ise", "ADJ": "ous ful ive able ible al ic less"}
 
 
-def _in(word: Column, words: str) -> Column:
-    return word.isin(*words.split())
+_TAGS = {word: tag for tag, words in reversed(CLASSES.items()) for word in words.split()}
+_PLACEHOLDER = re.compile("<[A-Z_]+>")
+_ENDINGS = {tag: tuple(endings.split()) for tag, endings in ENDINGS.items()}
 
 
-def _pos(text: Column, lower: Column) -> Column:
-    out = F.when(text.rlike(r"^<[A-Z_]+>$"), "X").when(text.rlike(r"^\p{N}"), "NUM").when(~text.rlike(r"^\p{L}"), F.when(text.rlike(r"^\p{P}"), "PUNCT").otherwise("SYM"))
-    for tag, words in CLASSES.items():
-        out = out.when(_in(lower, words), tag)
-    out = out.when(text.rlike(r"^\p{Lu}\p{Ll}"), "PROPN")
-    for tag, endings in ENDINGS.items():
-        out = out.when(lower.rlike(rf"\p{{L}}{{3}}(?:{'|'.join(endings.split())})$"), tag)
-    return out.otherwise("NOUN")
+_ANY_ENDING = tuple(x for endings in _ENDINGS.values() for x in endings)
 
 
-def _lemma(lower: Column, pos: Column) -> Column:
-    stem = F.when((pos == "VERB") & lower.rlike("ing$"), F.regexp_replace(lower, "ing$", "")).when((pos == "VERB") & lower.rlike("ed$"), F.regexp_replace(lower, "ed$", ""))
-    return stem.when(pos.isin("NOUN", "VERB") & lower.rlike("[^s]s$"), F.regexp_replace(lower, "s$", "")).otherwise(lower)
+def _pos(text: str, lower: str) -> str:
+    kind = unicodedata.category(text[0])
+    if kind[0] != "L":
+        if kind[0] == "N":
+            return "NUM"
+        return "X" if _PLACEHOLDER.fullmatch(text) else "PUNCT" if kind[0] == "P" else "SYM"
+    if lower in _TAGS:
+        return _TAGS[lower]
+    if kind == "Lu" and unicodedata.category(text[1:2] or " ") == "Ll":
+        return "PROPN"
+    if lower.endswith(_ANY_ENDING):
+        for tag, endings in _ENDINGS.items():
+            for ending in endings:
+                stem = lower[: -len(ending)][-3:]
+                if lower.endswith(ending) and len(stem) == 3 and all(unicodedata.category(x)[0] == "L" for x in stem):
+                    return tag
+    return "NOUN"
+
+
+def _lemma(lower: str, pos: str) -> str:
+    if pos == "VERB" and lower.endswith(("ing", "ed")):
+        return lower[: -3 if lower.endswith("ing") else -2]
+    return lower[:-1] if pos in ("NOUN", "VERB") and len(lower) > 1 and lower[-1] == "s" != lower[-2] else lower
 
 
 #: Roles by part of speech alone: all that rules without a parse can tell.
@@ -66,11 +87,12 @@ DEPS = {
 }
 
 
-def _dep(pos: Column) -> Column:
-    out = F.lit("dep")
-    for tag, role in DEPS.items():
-        out = F.when(pos == tag, role).otherwise(out)
-    return out
+@lru_cache(maxsize=200_000)
+def _tagged(text: str) -> tuple[str, str, str, str]:
+    """Lower case, lemma, part of speech and role of a token, which its text alone decides."""
+    lower = text.lower()
+    pos = _pos(text, lower)
+    return lower, _lemma(lower, pos), pos, DEPS.get(pos, "dep")
 
 
 def empty_record() -> dict[str, Column]:
@@ -78,26 +100,37 @@ def empty_record() -> dict[str, Column]:
     return {f.split(" ")[0]: F.array().cast(f.split(" ", 1)[1]) for f in ("tokens array<" + TOKEN + ">", f"sentences array<{SPAN}>", f"chunks array<{SPAN}>", f"ents array<{ENTITY}>")}
 
 
+def _record_columns(found: pa.ListArray) -> pa.StructArray:
+    """Records of the token texts of each row: each different text is tagged once, and all its places take what it got."""
+    sizes = sparse.sizes_of(found)
+    texts = found.flatten().dictionary_encode()
+    at = texts.indices
+    lower, lemma, pos, dep = [pa.array(column, pa.string()) for column in zip(*map(_tagged, texts.dictionary.to_pylist()))] or [pa.array([], pa.string())] * 4
+    among = lambda column, *values: pc.is_in(column, pa.array(values)).to_numpy(zero_copy_only=False)[at.to_numpy()]
+    fields = [t.take(at) for t in (texts.dictionary, lower, lemma, pos, dep)] + [pa.array(among(pos, "PUNCT")), pa.array(np.zeros(len(at), bool))]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+    last = place == sizes[row] - 1
+
+    def spans(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.ListArray:
+        made = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["start", "end"])
+        return sparse.lists_of(np.bincount(rows, minlength=len(sizes)), made)
+
+    closes = np.flatnonzero(last | among(texts.dictionary, ".", "!", "?"))
+    end = place[closes] + 1
+    start = np.concatenate(([0], end[:-1])) * np.concatenate(([0], row[closes][1:] == row[closes][:-1])) if len(end) else end
+    named = among(pos, "NOUN", "PROPN")
+    head = np.flatnonzero((named | among(pos, "PRON")) & (last | ~np.concatenate((named[1:], [False]))[: len(named)]))
+    listed = sparse.lists_of(sizes, pa.StructArray.from_arrays(fields, ["text", "lower", "lemma", "pos", "dep", "is_punct", "is_space"]))
+    return pa.StructArray.from_arrays([listed, spans(row[closes], start, end), spans(row[head], place[head], place[head] + 1)], ["tokens", "sentences", "chunks"])
+
+
 def records(df: DataFrame, text: str = "text") -> DataFrame:
     """Add tokens, sentences, chunks and ents to each row, by rules; a null or blank text gets an empty record."""
     found = F.regexp_extract_all(coerce(F.col(text)), F.lit(TOKEN_PATTERN), F.lit(0))
-    # one transform inside the other, so that each token is tagged once
-    tagged = F.transform(F.transform(found, lambda t: F.struct(t.alias("text"), F.lower(t).alias("lower"))), lambda t: F.struct(t["text"].alias("text"), t["lower"].alias("lower"), _pos(t["text"], t["lower"]).alias("pos")))
-    token = lambda t: F.struct(
-        t["text"].alias("text"), t["lower"].alias("lower"), _lemma(t["lower"], t["pos"]).alias("lemma"), t["pos"].alias("pos"),
-        _dep(t["pos"]).alias("dep"), (t["pos"] == "PUNCT").alias("is_punct"), F.lit(False).alias("is_space"),
-    )
-    staged = df.withColumn("tokens", F.transform(tagged, token))
-    at = lambda test: F.filter(F.transform("tokens", lambda t, i: F.when(test(t), i + 1)), lambda x: x.isNotNull())
-    ends = at(lambda t: t["text"].isin(".", "!", "?"))
-    closed = F.when(F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)) < F.size("tokens"), F.concat(ends, F.array(F.size("tokens")))).otherwise(ends)
-    staged = staged.withColumn("_ends", closed)
-    spans = F.transform("_ends", lambda e, i: F.struct(F.when(i == 0, 0).otherwise(F.get(F.col("_ends"), i - 1)).cast("int").alias("start"), e.cast("int").alias("end")))
-    nominal = lambda t: t["pos"].isin("NOUN", "PROPN", "PRON")
-    heads = F.filter(F.transform("tokens", lambda t, i: F.when(nominal(t), i)), lambda x: x.isNotNull())
-    last = F.filter(heads, lambda i: ~F.coalesce(F.get(F.col("tokens"), i + 1)["pos"].isin("NOUN", "PROPN"), F.lit(False)))
-    chunks = F.transform(last, lambda i: F.struct(i.cast("int").alias("start"), (i + 1).cast("int").alias("end")))
-    return staged.withColumns({"sentences": spans, "chunks": chunks, "ents": empty_record()["ents"]}).drop("_ends")
+    made = sparse.by_rows(_record_columns, f"struct<tokens:array<{TOKEN}>,sentences:array<{SPAN}>,chunks:array<{SPAN}>>")
+    staged = df.withColumn("_record", made(found))
+    return staged.withColumns({**{c: F.col("_record")[c] for c in ("tokens", "sentences", "chunks")}, "ents": empty_record()["ents"]}).drop("_record")
 
 
 @lru_cache(maxsize=1)

@@ -39,7 +39,7 @@ def keep_token(t: Column, function_list: tuple[str, ...], stop_list: tuple[str,
     """Content words: a letter in the lemma, an allowed part of speech, in neither word list, no placeholder."""
     lemma = F.lower(t["lemma"])
     marked = t["text"].startswith("<") & t["text"].endswith(">")
-    return is_word(t) & ~marked & (F.length(lemma) >= least) & lemma.rlike(r"\p{L}") & t["pos"].isin(*pos) & ~lemma.isin(*function_list) & ~lemma.isin(*stop_list)
+    return t["pos"].isin(*pos) & is_word(t) & ~marked & (F.length(lemma) >= least) & ~lemma.isin(*function_list) & ~lemma.isin(*stop_list) & lemma.rlike(r"\p{L}")
 
 
 def content_lemmas(tokens: Column, function_list: tuple[str, ...] | None = None, stop_list: tuple[str, ...] | None = None) -> Column:

@@ -187,6 +187,18 @@ def test_math_and_html(spark):
     assert _one(spark, "a &amp; b &lt;c&gt; e\u0301", text.normalize) == "a & b <c> \u00e9"
 
 
+def test_records_of_many_rows(spark):
+    """Rows don't run into each other, and equal tokens get equal tags wherever they stand."""
+    texts = ["He runs. <URL> dogs barked 3 times!", "", "The Ñandú saw", None, "Dogs", ". .", "of it", "ly xly abcly Ünlich's naïveté 5ing ßßßed"]
+    rows = annotate.records(spark.createDataFrame([(i, t) for i, t in enumerate(texts * 40)], "i int, text string").coalesce(1)).orderBy("i").collect()
+    assert len(rows) == 320 and all(tuple(r)[2:] == tuple(rows[i % 8])[2:] for i, r in enumerate(rows))
+    assert [[(s.start, s.end) for s in r.sentences] for r in rows[:7]] == [[(0, 3), (3, 9)], [], [(0, 3)], [], [(0, 1)], [(0, 1), (1, 2)], [(0, 2)]]
+    assert [[(s.start, s.end) for s in r.chunks] for r in rows[:7]] == [[(0, 1), (4, 5), (7, 8)], [], [(1, 2)], [], [(0, 1)], [], [(1, 2)]]
+    assert [(t.text, t.lemma, t.pos) for t in rows[7].tokens] == [
+        ("ly", "ly", "NOUN"), ("xly", "xly", "NOUN"), ("abcly", "abcly", "ADV"), ("Ünlich's", "ünlich's", "PROPN"), ("naïveté", "naïveté", "NOUN"), ("5", "5", "NUM"), ("ing", "ing", "NOUN"), ("ßßßed", "ßßß", "VERB"),
+    ]
+
+
 def test_rules_and_empty_record(spark):
     row = annotate.records(spark.createDataFrame([("He runs. <URL> dogs barked 3 times!",)], "text string")).first()
     assert [(t.text, t.lemma, t.pos) for t in row.tokens] == [
