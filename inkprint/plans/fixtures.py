@@ -9,6 +9,10 @@ from inkprint.operators import annotate
 from inkprint.sources.tables import read_table
 
 
+#: A pair's id is this times the id of its first text and that of its second.
+PAIR = 10_000_000
+
+
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").where("lang = 'en'")
 
@@ -22,7 +26,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     far = made.where("id2 = id1 + 20 and id1 % 7 = 0")
     swapped = far.select(F.col("id2").alias("id1"), F.col("id1").alias("id2"), F.col("text2").alias("text1"), F.col("text1").alias("text2"), F.lit(1).alias("same"))
     split = F.when(F.col("id1") % 10 < 7, "train").when(F.col("id1") % 10 < 8, "validation").otherwise("test")
-    return made.unionByName(swapped).select((F.col("id1") * 10_000_000 + F.col("id2")).alias("pair_id"), split.alias("split"), "text1", "text2", "same")
+    return made.unionByName(swapped).select((F.col("id1") * PAIR + F.col("id2")).alias("pair_id"), split.alias("split"), "text1", "text2", "same")
 
 
 PAIRS_SQL = """
